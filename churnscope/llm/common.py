@@ -62,6 +62,13 @@ def drop_scratch() -> None:
 atexit.register(drop_scratch)
 
 
+def bound_batches(spark: SparkSession, size: int = 16 << 20) -> None:
+    """Keep Arrow batches under ``size`` bytes, whatever the length of the texts in them."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("b")) > size:
+        spark.conf.set(key, str(size))
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once, also inside lambdas."""
     return F.transform(F.array(value), body)[0]

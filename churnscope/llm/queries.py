@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from churnscope.llm import mixing, quality
+from churnscope.llm import bpe, dedup, mixing, quality
 from churnscope.llm.common import table
 
 _SQL_WORD = r"[^\x20\x09-\x0D]+"
@@ -45,6 +46,10 @@ FROM r
 """
 
 
+def op5_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     q = "_q_quality."
@@ -83,5 +88,15 @@ v AS (SELECT *, CASE WHEN n_words < 20 THEN 'too_short' WHEN mean_word < 2.0 OR
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rule IS NULL AS kept, rule FROM v
 """
 
-QUERIES = {"op1_mixing": op1_mixing, "op7_quality": op7_quality}
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = bpe.bpe_encode(docs, ranks, public_tokenizers.PATTERN).select("doc_id", "_ids")
+    return bpe.bpe_decode(encoded, ranks, public_tokenizers.PATTERN).select(
+        "doc_id", bpe.n_ids(F.col("_ids")).alias("n_tokens"),
+        F.sha2("_ids", 256).alias("ids_sha256"), F.sha2("_bytes", 256).alias("decoded_sha256"),
+    )
+
+
+QUERIES = {"op1_mixing": op1_mixing, "op5_dedup": op5_dedup, "op7_quality": op7_quality, "op10_bpe": op10_bpe}
 ORACLES = {"op1_mixing": OP1_SQL, "op7_quality": OP7_SQL}
