@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from churnscope.llm import bpe, dedup, mixing, quality
+from churnscope.llm import bpe, dedup, mixing, quality, secrets, url_rules
 from churnscope.llm.common import table
 
 _SQL_WORD = r"[^\x20\x09-\x0D]+"
@@ -46,6 +46,49 @@ FROM r
 """
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    found = secrets.scan_secrets(docs, F.col("source"), F.concat_ws("/", "source", "lang"))
+    of_kind = lambda kind: lambda s: s["kind"] == kind
+    n = lambda test: F.size(F.filter("_secrets", test)).cast("long")
+    return found.select(
+        "doc_id", *[n(of_kind(k)).alias(f"n_{k}") for k in ("assign", "access", "hex", "mixed")],
+        F.sha2(secrets.listed(F.filter("_secrets", lambda s: s["kind"] != "mixed")), 256).alias("base_sha256"),
+        secrets.listed(F.col("_secrets")).alias("spans"),
+        n(lambda s: s["is_example"]).alias("n_example"),
+    )
+
+
+def _kind_sql(order: int, kind: secrets.Kind) -> str:
+    pattern = kind.pattern.replace("'", "''")
+    tests = "".join(f" AND regexp_matches(secret, '{x}')" for x in kind.needs)
+    return rf"""
+SELECT rid, {order} AS kind_order, '{kind.name}' AS kind, start, start + len(whole) AS stop, secret FROM (
+  SELECT rid, whole[i] AS whole, secrets[i] AS secret,
+         list_sum(list_transform(gaps[1:i], lambda x: len(x)))::BIGINT + coalesce(list_sum(list_transform(whole[1:i-1], lambda x: len(x))), 0)::BIGINT AS start
+  FROM (SELECT rid, string_split_regex(t, '{pattern}') AS gaps, regexp_extract_all(t, '{pattern}', 1) AS whole,
+               regexp_extract_all(t, '{pattern}', {kind.group}) AS secrets FROM d WHERE regexp_matches(t, '{pattern}')), unnest(range(1, len(whole) + 1)) AS u(i)
+) WHERE len(secret) >= {kind.least}{tests}"""
+
+
+OP2_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, lang, coalesce(text, '') AS t FROM documents),
+b AS ({" UNION ALL ".join(_kind_sql(i, k) for i, k in enumerate(secrets.KINDS) if k.base)}),
+x AS ({" UNION ALL ".join(_kind_sql(i, k) for i, k in enumerate(secrets.KINDS) if not k.base)}),
+a AS (SELECT * FROM b UNION ALL SELECT * FROM x WHERE NOT EXISTS (
+  SELECT 1 FROM b WHERE b.rid = x.rid AND b.start < x.stop AND x.start < b.stop)),
+o AS (SELECT secret, count(DISTINCT coalesce('=' || source, '')) >= {secrets.EXAMPLE_OWNERS} AS is_example FROM a JOIN d USING (rid) GROUP BY secret),
+j AS (SELECT a.*, is_example FROM a JOIN o USING (secret) WHERE kind <> 'mixed' OR NOT is_example),
+r AS (SELECT rid, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+             count(*) FILTER (kind = 'hex') AS n_hex, count(*) FILTER (kind = 'mixed') AS n_mixed, count(*) FILTER (is_example) AS n_example,
+             string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, kind_order) FILTER (kind <> 'mixed') AS base,
+             string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, kind_order) AS spans FROM j GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+       coalesce(n_mixed, 0)::BIGINT AS n_mixed, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_example, 0)::BIGINT AS n_example
+FROM d LEFT JOIN r USING (rid)
+"""
+
+
 def op5_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -88,6 +131,13 @@ v AS (SELECT *, CASE WHEN n_words < 20 THEN 'too_short' WHEN mean_word < 2.0 OR
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rule IS NULL AS kept, rule FROM v
 """
 
+def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.when(bad, F.lit("block")).otherwise(F.lit("allow")).alias("verdict"))
+    return url_rules.url_filter(pages, labels).select("page_id", *[f"_url.{c}" for c in ("host", "path", "rule", "verdict", "mined")])
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -98,5 +148,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op5_dedup": op5_dedup, "op7_quality": op7_quality, "op10_bpe": op10_bpe}
-ORACLES = {"op1_mixing": OP1_SQL, "op7_quality": OP7_SQL}
+QUERIES = {"op1_mixing": op1_mixing, "op2_secrets": op2_secrets, "op5_dedup": op5_dedup, "op7_quality": op7_quality, "op8_urls": op8_urls, "op10_bpe": op10_bpe}
+ORACLES = {"op1_mixing": OP1_SQL, "op2_secrets": OP2_SQL, "op7_quality": OP7_SQL}
