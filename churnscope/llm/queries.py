@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from churnscope.llm import bpe, dedup, maxent, mixing, quality, secrets, url_rules
+from churnscope.llm import bpe, dedup, maxent, mixing, onebit_ann, quality, secrets, url_rules
 from churnscope.llm.common import table
 
 _SQL_WORD = r"[^\x20\x09-\x0D]+"
@@ -93,6 +93,11 @@ def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxent.score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return onebit_ann.nearest(vectors, F.col("vec_id") % 100 == 0)
+
+
 def op5_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -152,5 +157,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_secrets": op2_secrets, "op3_lm": op3_lm, "op5_dedup": op5_dedup, "op7_quality": op7_quality, "op8_urls": op8_urls, "op10_bpe": op10_bpe}
+QUERIES = {"op1_mixing": op1_mixing, "op2_secrets": op2_secrets, "op3_lm": op3_lm, "op4_ann": op4_ann, "op5_dedup": op5_dedup, "op7_quality": op7_quality, "op8_urls": op8_urls, "op10_bpe": op10_bpe}
 ORACLES = {"op1_mixing": OP1_SQL, "op2_secrets": OP2_SQL, "op7_quality": OP7_SQL}
