@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from churnscope.llm import bpe, dedup, maxent, mixing, onebit_ann, quality, secrets, url_rules
+from churnscope.llm import bpe, dedup, licenses, maxent, mixing, onebit_ann, packing, quality, secrets, url_rules
 from churnscope.llm.common import table
 
 _SQL_WORD = r"[^\x20\x09-\x0D]+"
@@ -147,6 +147,15 @@ def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.url_filter(pages, labels).select("page_id", *[f"_url.{c}" for c in ("host", "path", "rule", "verdict", "mined")])
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
+
+
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -157,5 +166,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_secrets": op2_secrets, "op3_lm": op3_lm, "op4_ann": op4_ann, "op5_dedup": op5_dedup, "op7_quality": op7_quality, "op8_urls": op8_urls, "op10_bpe": op10_bpe}
+QUERIES = {"op1_mixing": op1_mixing, "op2_secrets": op2_secrets, "op3_lm": op3_lm, "op4_ann": op4_ann, "op5_dedup": op5_dedup, "op6_packing": op6_packing, "op7_quality": op7_quality, "op8_urls": op8_urls, "op9_licenses": op9_licenses, "op10_bpe": op10_bpe}
 ORACLES = {"op1_mixing": OP1_SQL, "op2_secrets": OP2_SQL, "op7_quality": OP7_SQL}
