@@ -92,8 +92,7 @@ def phrase(labels: Column) -> Column:
 
 def fixed(value: Column, digits: int) -> Column:
     """A double with fixed decimals, by the exact binary value (half-even on ties)."""
-    exact = F.bround(value.cast("decimal(38,20)"), digits)
-    return F.format_string(f"%.{digits}f", exact)
+    return F.bround(value.cast("decimal(38,20)"), digits).cast(f"decimal(38,{digits})").cast("string")
 
 
 def primary_driver(dimension: Column) -> Column:
