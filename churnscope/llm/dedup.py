@@ -119,8 +119,9 @@ def _sketches(options: DedupOptions):
                     rows.append((doc_id, None, 0, [], 0, 0))
                     continue
                 rows.append((doc_id, _node(s), n, s[: options.lists].tolist(), *_bits(s)))
-            yield pd.DataFrame(rows, columns=["doc_id", "node", "n", "kept_values", "bits_a", "bits_b"]).astype(
-                {"doc_id": "Int64", "node": "Int64", "n": "int64"})
+            doc_ids, nodes, *rest = zip(*rows) if rows else ((),) * 6
+            # 64-bit numbers beside nulls must not pass through doubles
+            yield pd.DataFrame({"doc_id": pd.array(doc_ids, dtype="Int64"), "node": pd.array(nodes, dtype="Int64")} | dict(zip(("n", "kept_values", "bits_a", "bits_b"), rest)))
 
     return run
 
