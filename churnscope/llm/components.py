@@ -14,15 +14,21 @@ def _smallest(edges: DataFrame, strict: bool) -> DataFrame:
     return edges.groupBy("a").agg(low if strict else F.least(F.col("a"), low).alias("low"))
 
 
+def _with_low(edges: DataFrame, low: DataFrame, salts: int = 16) -> DataFrame:
+    """Edges with the low of their ``a``; a hub's edges are spread over ``salts`` keys."""
+    spread = edges.withColumn("_salt", F.pmod(F.hash("b"), F.lit(salts)))
+    return spread.join(low.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["a", "_salt"]).drop("_salt")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    return both.where("b > a").join(_smallest(both, False), "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
+    return _with_low(both.where("b > a"), _smallest(both, False)).select(F.col("b").alias("a"), F.col("low").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     low = _smallest(down, True)
-    linked = down.join(low, "a").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
+    linked = _with_low(down, low).where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
     return linked.unionByName(low.select("a", F.col("low").alias("b")))
 
 
