@@ -25,7 +25,7 @@ _END = 1 << 60
 class Codec:
     """Ranks as bytes -> id. Ids are ranks, as in tiktoken's files."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, cached: int = 300_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cached: int = 150_000):
         self.ranks, self.pattern, self.cached = ranks, regex.compile(pattern), cached
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.longest = max(map(len, ranks), default=1)
@@ -48,8 +48,7 @@ class Codec:
 
     @classmethod
     def from_bytes(cls, data: bytes, pattern: str, **options) -> Codec:
-        pairs = (line.split() for line in data.splitlines() if line)
-        return cls({base64.b64decode(b): int(i) for b, i in pairs}, pattern, **options)
+        return cls(dict(rank_pairs(data)), pattern, **options)
 
     def _merged(self, data: bytes, below: int = _END) -> list[int]:
         """Lowest rank first, leftmost at ties, with ranks under ``below`` only."""
@@ -131,9 +130,19 @@ class Codec:
         return b"".join([known(p) or packed(p) for p in self.pattern.findall(text)])
 
     def decode(self, packed: bytes) -> bytes:
-        ids = array("I")
-        ids.frombytes(packed)
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+        return unpacked(self.bytes_of, packed)
+
+
+def rank_pairs(data: bytes) -> Iterator[tuple[bytes, int]]:
+    """(token, id) of a rank file's lines."""
+    return ((base64.b64decode(b), int(i)) for b, i in (line.split() for line in data.splitlines() if line))
+
+
+def unpacked(bytes_of: dict[int, bytes], packed: bytes) -> bytes:
+    """The bytes that packed ids stand for."""
+    ids = array("I")
+    ids.frombytes(packed)
+    return b"".join(map(bytes_of.__getitem__, ids))
 
 
 class EditableEncoding:
@@ -210,14 +219,14 @@ def encoder(rank_data: bytes, pattern: str):
     return encode
 
 
-def decoder(rank_data: bytes, pattern: str):
-    """A pandas UDF packed ids -> bytes; null decodes to no bytes."""
+def decoder(rank_data: bytes):
+    """A pandas UDF packed ids -> bytes; null decodes to no bytes. It needs the tokens alone."""
 
     @F.pandas_udf("binary")
     def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        codec = _codec(rank_data, pattern)
+        bytes_of = {i: b for b, i in rank_pairs(rank_data)}
         for packed in batches:
-            yield pd.Series([codec.decode(p) if p else b"" for p in packed], dtype=object)
+            yield pd.Series([unpacked(bytes_of, p) if p else b"" for p in packed], dtype=object)
 
     return decode
 
@@ -242,6 +251,6 @@ def bpe_encode(docs: DataFrame, rank_path: str, pattern: str, text_col: str = "t
     return docs.withColumn("_ids", encoder(read_ranks(rank_path), pattern)(F.col(text_col)))
 
 
-def bpe_decode(encoded: DataFrame, rank_path: str, pattern: str) -> DataFrame:
+def bpe_decode(encoded: DataFrame, rank_path: str) -> DataFrame:
     """Adds a binary column ``_bytes``: what the ids in ``_ids`` stand for."""
-    return encoded.withColumn("_bytes", decoder(read_ranks(rank_path), pattern)(F.col("_ids")))
+    return encoded.withColumn("_bytes", decoder(read_ranks(rank_path))(F.col("_ids")))

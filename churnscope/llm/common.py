@@ -62,7 +62,7 @@ def drop_scratch() -> None:
 atexit.register(drop_scratch)
 
 
-def bound_batches(spark: SparkSession, size: int = 16 << 20) -> None:
+def bound_batches(spark: SparkSession, size: int = 8 << 20) -> None:
     """Keep Arrow batches under ``size`` bytes, whatever the length of the texts in them."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if int(spark.conf.get(key).rstrip("b")) > size:

@@ -160,7 +160,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     encoded = bpe.bpe_encode(docs, ranks, public_tokenizers.PATTERN).select("doc_id", "_ids")
-    return bpe.bpe_decode(encoded, ranks, public_tokenizers.PATTERN).select(
+    return bpe.bpe_decode(encoded, ranks).select(
         "doc_id", bpe.n_ids(F.col("_ids")).alias("n_tokens"),
         F.sha2("_ids", 256).alias("ids_sha256"), F.sha2("_bytes", 256).alias("decoded_sha256"),
     )

@@ -81,7 +81,7 @@ def test_bpe_equals_tiktoken(spark):
     r = random.Random(3)
     texts = [None, "", " ", "\n\n x", "日本語のテキスト", "🎉👩‍👩‍👧", "<|endoftext|>", "a" * 5000, "I'll don't  \t\n"] + [
         "".join(r.choice("abcdetionhe \n'.,é日st0") for _ in range(r.randrange(80))) for _ in range(60)]
-    rows = bpe.bpe_decode(bpe.bpe_encode(docs(spark, texts), RANKS, public_tokenizers.PATTERN), RANKS, public_tokenizers.PATTERN).collect()
+    rows = bpe.bpe_decode(bpe.bpe_encode(docs(spark, texts), RANKS, public_tokenizers.PATTERN), RANKS).collect()
     for row in rows:
         text = texts[row.doc_id] or ""
         assert bytes(row._ids) == array("I", plain.encode_ordinary(text)).tobytes() and bytes(row._bytes).decode() == text
