@@ -8,7 +8,9 @@ Lists can be as long as the table, so no list is expanded into its pairs. Rows o
 all lists are range-sorted by value and by how the sketch goes on after it, which
 puts alike documents side by side, and each row meets its next neighbours only. A
 pair over the threshold shares most of its retained values, so it has as many
-chances to be neighbours, at other places each time. Equal sets are one node.
+chances to be neighbours, at other places each time. In long lists all rows also
+meet a few hubs, the rows nearest to what the list's rows have in common. Equal sets
+are one node.
 
 Null or blank texts have no shingles and stay alone. Texts under five words are one
 shingle. Rows with the same doc_id stay separate rows; extra columns pass through.
@@ -36,7 +38,8 @@ _P1, _P2, _P3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np
 class DedupOptions:
     """``percent``: least Jaccard similarity. ``lists``: retained values that are
     looked up; ``sketch``: those that estimates use; ``near``: neighbours a row
-    meets in a list. ``slack``: how far, in percent, an estimate may lie below.
+    meets in a list; ``hubs``: rows nearest to what a list has in common that all its
+    rows meet. ``slack``: how far, in percent, an estimate may lie below.
     ``broadcast_rows``: up to so many (node, doc_id) rows are broadcast to fetch
     texts; beyond that texts are shuffled."""
 
@@ -45,6 +48,7 @@ class DedupOptions:
     lists: int = 12
     sketch: int = 64
     near: int = 4
+    hubs: int = 4
     slack: int = 30
     broadcast_rows: int = 1_000_000
 
@@ -126,29 +130,67 @@ def _sketches(options: DedupOptions):
     return run
 
 
+def _runs(*keys: np.ndarray) -> np.ndarray:
+    """Starts of the runs of equal keys."""
+    new = np.zeros(len(keys[0]), dtype=bool)
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    new[:1] = True
+    return np.flatnonzero(new)
+
+
+def _hubs(starts: np.ndarray, bits: np.ndarray, many: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hub): rows of long runs with the ``many`` rows nearest to the run's majority bits.
+
+    Copies that were changed here and there are all near to what they have in common,
+    though not to each other.
+    """
+    sizes = np.diff(np.append(starts, len(bits)))
+    run = np.repeat(np.arange(len(starts)), sizes)
+    rows = np.flatnonzero(sizes[run] > least)
+    if not len(rows):
+        return rows, rows
+    run = run[rows]
+    first = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
+    size = np.diff(np.append(first, len(rows)))
+    number = np.repeat(np.arange(len(first)), size)
+    majority = 2 * np.add.reduceat(bits[rows].astype(np.int32), first, axis=0) > size[:, None]
+    order = np.lexsort(((bits[rows] != majority[number]).sum(axis=1), number))
+    nearest = rows[order[first[:, None] + np.arange(many)]]  # runs are longer than ``many``
+    return np.repeat(rows, many), nearest[number].ravel()
+
+
 def _neighbours(options: DedupOptions):
     """Pairs of near rows in one list, from rows sorted by list and content."""
+    columns = ["value", "next_1", "next_3", "node", "n", "bits_a", "bits_b"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns, tail = ["value", "node", "n", "bits_a", "bits_b"], None
+        before = None
         for batch in batches:
-            rows = batch[columns] if tail is None else pd.concat([tail, batch[columns]], ignore_index=True)
-            value, node, n = (rows[c].to_numpy() for c in ("value", "node", "n"))
-            a, b = rows["bits_a"].to_numpy().view(np.uint64), rows["bits_b"].to_numpy().view(np.uint64)
-            new, out = 0 if tail is None else len(tail), []
-            for step in range(1, options.near + 1):
-                i = np.arange(max(0, new - step), len(rows) - step)
-                j = i + step
+            rows = batch[columns] if before is None else pd.concat([before, batch[columns]], ignore_index=True)
+            value, one, three, node, n = (rows[c].to_numpy() for c in columns[:5])
+            a, b = rows["bits_a"].to_numpy(), rows["bits_b"].to_numpy()
+            bits = np.unpackbits(np.stack([a, b], axis=1).view(np.uint8), axis=1)
+            pairs = [(np.arange(len(rows) - k), np.arange(k, len(rows))) for k in range(1, min(options.near, len(rows) - 1) + 1)]
+            lists = _runs(value)
+            least = max(options.near, options.hubs)
+            pairs += [_hubs(starts, bits, options.hubs, least) for starts in (lists, _runs(value, one), _runs(value, one, three))]
+            out = []
+            for i, j in pairs:
                 fits = (value[i] == value[j]) & (node[i] != node[j])
                 fits &= 100 * np.minimum(n[i], n[j]) >= options.percent * np.maximum(n[i], n[j])
                 i, j = i[fits], j[fits]
-                differ = np.bitwise_count(a[i] ^ a[j]).astype(int) + np.bitwise_count(b[i] ^ b[j])
+                differ = (np.bitwise_count(a[i].view(np.uint64) ^ a[j].view(np.uint64)).astype(int) + np.bitwise_count(b[i].view(np.uint64) ^ b[j].view(np.uint64)))
                 # at the threshold 9.6 bits differ, with a deviation of 3; small sets repeat bits
                 fits = (differ <= 30) | (np.minimum(n[i], n[j]) < 128)
                 i, j = i[fits], j[fits]
                 out.append(pd.DataFrame({"a": np.maximum(node[i], node[j]), "b": np.minimum(node[i], node[j]), "differ": differ[fits]}))
-            yield pd.concat(out, ignore_index=True).drop_duplicates()
-            tail = rows.iloc[-options.near :]
+            yield pd.concat(out, ignore_index=True).drop_duplicates() if out else pd.DataFrame({"a": [], "b": [], "differ": []}, dtype="int64")
+            # the next batch may go on with the last list: its hubs and last rows stay
+            start = lists[-1] if len(lists) else 0
+            hub = np.unique(_hubs(np.array([0]), bits[start:], options.hubs, least)[1]) + start
+            keep = np.unique(np.r_[hub, np.arange(max(0, len(rows) - options.near), len(rows))].astype(int))
+            before = rows.iloc[keep]
 
     return run
 
