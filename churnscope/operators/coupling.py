@@ -33,16 +33,20 @@ def resolve_imports(references: DataFrame, packages: DataFrame, module_prefix: s
 
 
 def dependency_edges(resolved: DataFrame) -> DataFrame:
-    """Distinct (source_path, source_package, target_package); edges within a package stay."""
+    """Distinct (source_path, source_package, target_package); edges within a package stay.
+
+    The package follows from the path, so each (source_path, target_package) is one row
+    and couplings are plain counts.
+    """
     return resolved.where("resolved_package IS NOT NULL").select("source_path", "source_package", F.col("resolved_package").alias("target_package")).distinct()
 
 
 def coupling_in(edges: DataFrame) -> DataFrame:
-    return edges.groupBy(F.col("target_package").alias("package")).agg(F.countDistinct("source_path").alias("coupling_in"))
+    return edges.groupBy(F.col("target_package").alias("package")).agg(F.count("*").alias("coupling_in"))
 
 
 def coupling_out(edges: DataFrame) -> DataFrame:
-    return edges.groupBy(F.col("source_path").alias("path")).agg(F.countDistinct("target_package").alias("coupling_out"))
+    return edges.groupBy(F.col("source_path").alias("path")).agg(F.count("*").alias("coupling_out"))
 
 
 def file_facts(files: DataFrame, metrics: DataFrame, owners: DataFrame, packages: DataFrame, edges: DataFrame) -> DataFrame:
