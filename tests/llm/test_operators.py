@@ -69,6 +69,21 @@ def test_near_duplicates(spark):
     assert dedup.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_a_large_group_of_changed_copies(spark):
+    """Copies that are near to their common text but mostly not to each other."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(4))
+    base = [word() for _ in range(150)]
+    texts = [" ".join(base)]
+    for _ in range(250):
+        copy = list(base)
+        for _ in range(r.randrange(1, 5)):
+            copy[r.randrange(len(copy))] = word()
+        texts.append(" ".join(copy))
+    got = {x.doc_id: x.component_id for x in dedup.near_duplicates(docs(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_components(texts)[0]
+
+
 def test_components_of_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(1, 60)] + [(1000, x) for x in range(1001, 1050)] + [(5, 5)]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
