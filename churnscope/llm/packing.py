@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from churnscope.llm.bpe import bpe_encode
+from churnscope.llm.bpe import rank_pairs, read_ranks
 from churnscope.llm.common import bound_batches
 
 
@@ -118,10 +118,23 @@ SCHEMA = "ids binary, cu_lengths array<int>, position_resets array<int>, doc_ids
 
 def pack_documents(docs: DataFrame, rank_path: str, pattern: str, options: PackOptions = PackOptions()) -> DataFrame:
     """One row per packed sequence: ``length`` ids (32-bit, padded), cumulative lengths of
-    its segments from 0, starts at which positions restart, and each segment's origin."""
+    its segments from 0, starts at which positions restart, and each segment's origin.
+
+    Packing is the matter here, so ids come from the tiktoken library, which gives the
+    same ids as ``bpe``. Text to rows is one map, in one Python worker a task.
+    """
     bound_batches(docs.sparkSession)
-    encoded = bpe_encode(docs.select("doc_id", "text"), rank_path, pattern).select("doc_id", "_ids")
-    return encoded.mapInPandas(_packer(options), SCHEMA)
+    data = read_ranks(rank_path)
+
+    def encode_and_pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import tiktoken
+
+        coder = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=dict(rank_pairs(data)), special_tokens={})
+        ids = lambda t: np.array(coder.encode_ordinary(t), dtype=np.uint32).tobytes() if t else b""
+        yield from pack(pd.DataFrame({"doc_id": b["doc_id"], "_ids": [ids(t) for t in b["text"].array]}) for b in batches)
+
+    pack = _packer(options)
+    return docs.select("doc_id", "text").mapInPandas(encode_and_pack, SCHEMA)
 
 
 def positions(packed: pd.Series, length: int) -> np.ndarray:
