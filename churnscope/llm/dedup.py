@@ -12,6 +12,11 @@ chances to be neighbours, at other places each time. In long lists all rows also
 meet a few hubs, the rows nearest to what the list's rows have in common. Equal sets
 are one node.
 
+That links most of what is alike, but rows of a long list that share a passage tie
+there. So the rows of lists longer than the window are looked up again, by values that
+are rare among them (a prefix filter), and in these lists every pair that is not linked
+yet is tested, long lists in blocks.
+
 Null or blank texts have no shingles and stay alone. Texts under five words are one
 shingle. Rows with the same doc_id stay separate rows; extra columns pass through.
 """
@@ -39,7 +44,9 @@ class DedupOptions:
     """``percent``: least Jaccard similarity. ``lists``: retained values that are
     looked up; ``sketch``: those that estimates use; ``near``: neighbours a row
     meets in a list; ``hubs``: rows nearest to what a list has in common that all its
-    rows meet. ``slack``: how far, in percent, an estimate may lie below.
+    rows meet. ``slack``: how far, in percent, an estimate may lie below. ``sample``:
+    sets whose values are counted to tell rare ones; ``block``: rows of a rare value's
+    list that are paired in one place.
     ``broadcast_rows``: up to so many (node, doc_id) rows are broadcast to fetch
     texts; beyond that texts are shuffled."""
 
@@ -50,6 +57,8 @@ class DedupOptions:
     near: int = 4
     hubs: int = 4
     slack: int = 30
+    sample: int = 10_000
+    block: int = 256
     broadcast_rows: int = 1_000_000
 
 
@@ -161,11 +170,14 @@ def _hubs(starts: np.ndarray, bits: np.ndarray, many: int, least: int) -> tuple[
 
 
 def _neighbours(options: DedupOptions):
-    """Pairs of near rows in one list, from rows sorted by list and content."""
+    """Pairs of near rows in one list, from rows sorted by list and content.
+
+    Rows of lists that may be longer than the window also come as a pair with themselves.
+    """
     columns = ["value", "next_1", "next_3", "node", "n", "bits_a", "bits_b"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        before = None
+        before, at_start = None, True
         for batch in batches:
             rows = batch[columns] if before is None else pd.concat([before, batch[columns]], ignore_index=True)
             value, one, three, node, n = (rows[c].to_numpy() for c in columns[:5])
@@ -175,7 +187,12 @@ def _neighbours(options: DedupOptions):
             lists = _runs(value)
             least = max(options.near, options.hubs)
             pairs += [_hubs(starts, bits, options.hubs, least) for starts in (lists, _runs(value, one), _runs(value, one, three))]
-            out = []
+            sizes = np.diff(np.append(lists, len(rows)))
+            long = sizes > options.near + 1
+            long[:1] |= at_start  # a part may begin or end within a list
+            at_start = at_start and not len(rows)
+            once = np.unique(node[np.repeat(long, sizes)])
+            out = [pd.DataFrame({"a": once, "b": once, "differ": np.zeros(len(once), dtype=int)})]
             for i, j in pairs:
                 fits = (value[i] == value[j]) & (node[i] != node[j])
                 fits &= 100 * np.minimum(n[i], n[j]) >= options.percent * np.maximum(n[i], n[j])
@@ -185,23 +202,138 @@ def _neighbours(options: DedupOptions):
                 fits = (differ <= 30) | (np.minimum(n[i], n[j]) < 128)
                 i, j = i[fits], j[fits]
                 out.append(pd.DataFrame({"a": np.maximum(node[i], node[j]), "b": np.minimum(node[i], node[j]), "differ": differ[fits]}))
-            yield pd.concat(out, ignore_index=True).drop_duplicates() if out else pd.DataFrame({"a": [], "b": [], "differ": []}, dtype="int64")
+            yield pd.concat(out, ignore_index=True).drop_duplicates()
             # the next batch may go on with the last list: its hubs and last rows stay
             start = lists[-1] if len(lists) else 0
             hub = np.unique(_hubs(np.array([0]), bits[start:], options.hubs, least)[1]) + start
-            keep = np.unique(np.r_[hub, np.arange(max(0, len(rows) - options.near), len(rows))].astype(int))
+            keep = np.unique(np.r_[hub, np.arange(max(0, len(rows) - options.near - 1), len(rows))].astype(int))
             before = rows.iloc[keep]
+        if before is not None and len(before):
+            last = before["node"][before["value"] == before["value"].iloc[-1]].unique()
+            yield pd.DataFrame({"a": last, "b": last, "differ": 0})
+
+    return run
+
+
+def _parities(shingles: np.ndarray) -> np.ndarray:
+    """512 parities of set sizes; two sets disagree in no more of them than they have values apart."""
+    place = (_mix(shingles.view(np.uint64)) & np.uint64(511)).astype(np.int64)
+    return np.packbits(np.bincount(place, minlength=512).astype(np.uint8) & 1)
+
+
+def _looked_up(shingles: np.ndarray, often: np.ndarray, percent: int) -> np.ndarray:
+    """Values of a set of which a pair over the threshold shares one, those seen least often first.
+
+    Without n - ceil(percent * n) of its values a set still has one that is shared. Where
+    enough values are rare, fewer do: over the threshold at most ``apart`` of the rare ones
+    are not shared, and the least by hash are a sample of them (miss under 1e-7).
+    """
+    n = len(shingles)
+    few = n - (percent * n + 99) // 100 + 1
+    rare, apart = int((often == 0).sum()), (100 - percent) * n / percent
+    if rare > apart:
+        sampled = int(np.ceil(np.log(1e-7) / np.log(apart / rare)))
+        few = min(few, sampled) if sampled <= rare else few
+    return shingles[np.lexsort((shingles, often))[:few]]
+
+
+def _rare(options: DedupOptions, sent):
+    """Rows of the second look-up, with what the tests of a pair need."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen, times = sent.value
+        for batch in batches:
+            values, signs = [], []
+            for s in batch["shingles"].array:
+                s = np.asarray(s, dtype=np.int64)
+                at = np.minimum(np.searchsorted(seen, s), max(len(seen) - 1, 0))
+                often = np.where(seen[at] == s, times[at], 0) if len(seen) else np.zeros(len(s), dtype=np.int64)
+                values.append(_looked_up(s, often, options.percent))
+                signs.append(_parities(s).tobytes() + np.array(_bits(s), dtype=np.int64).tobytes())
+            sizes = [len(v) for v in values]
+            rows = batch[["node", "root"]].assign(n=[len(s) for s in batch["shingles"].array], sign=signs)
+            rows = rows.loc[rows.index.repeat(sizes)].reset_index(drop=True)
+            yield rows.assign(value=np.concatenate(values) if values else np.empty(0, dtype=np.int64))[["value", "node", "root", "n", "sign"]]
+
+    return run
+
+
+def _unlinked(rows: pd.DataFrame, starts: np.ndarray, options: DedupOptions) -> pd.DataFrame:
+    """Every pair within a run whose roots differ and that may be over the threshold."""
+    block, lo, hi, node, root, n = (rows[c].to_numpy() for c in ("block", "lo", "hi", "node", "root", "n"))
+    sign = np.frombuffer(b"".join(rows["sign"].array), dtype=np.uint64).reshape(len(rows), 10)
+    after = np.repeat(np.append(starts[1:], len(rows)), np.diff(np.append(starts, len(rows)))) - np.arange(len(rows)) - 1
+    i, k, out = np.flatnonzero(after > 0), 1, []
+    while len(i):
+        fits = (root[i] != root[i + k]) & ((lo[i] == hi[i]) | (block[i] != block[i + k]))
+        x, y = i[fits], i[fits] + k
+        fits = 100 * np.minimum(n[x], n[y]) >= options.percent * np.maximum(n[x], n[y])
+        x, y = x[fits], y[fits]
+        differ = np.bitwise_count(sign[x] ^ sign[y]).astype(int)
+        fits = (100 + options.percent) * differ[:, :8].sum(axis=1) <= (100 - options.percent) * (n[x] + n[y])
+        fits &= (differ[:, 8:].sum(axis=1) <= 30) | (np.minimum(n[x], n[y]) < 128)
+        out.append(np.stack([np.maximum(node[x], node[y])[fits], np.minimum(node[x], node[y])[fits]], axis=1))
+        k += 1
+        i = i[after[i] >= k]
+    found = np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), dtype=np.int64)
+    return pd.DataFrame(found, columns=["a", "b"])
+
+
+def _across(options: DedupOptions):
+    """``_unlinked`` over rows sorted by (value, lo, hi)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        before = None
+        for batch in batches:
+            rows = batch if before is None else pd.concat([before, batch], ignore_index=True)
+            if not len(rows):
+                continue
+            starts = _runs(*(rows[c].to_numpy() for c in ("value", "lo", "hi")))
+            before = rows.iloc[starts[-1] :]  # the next batch may go on with it
+            if len(starts) > 1:
+                yield _unlinked(rows.iloc[: starts[-1]], starts[:-1], options)
+        if before is not None:
+            yield _unlinked(before, np.array([0]), options)
 
     return run
 
 
+def _rest(sets: DataFrame, roots: DataFrame, options: DedupOptions) -> DataFrame | None:
+    """Candidates (a, b) between roots, of sets in long lists, by values that are rare among these."""
+    spark = sets.sparkSession
+    long = sets.where("long")
+    many = long.count()
+    if not many:
+        return None
+    counted = long.where(F.pmod(F.xxhash64("node"), F.lit(many)) < options.sample).select(F.explode("shingles").alias("value"))
+    seen = counted.groupBy("value").count().where("count > 2").toPandas().sort_values("value")
+    sent = spark.sparkContext.broadcast((seen["value"].to_numpy(np.int64), seen["count"].to_numpy(np.int64)))
+    placed = long.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "shingles")
+    rows = materialize(placed.mapInPandas(_rare(options, sent), "value long, node long, root long, n long, sign binary"), "rare")
+
+    # only lists with several roots: the commonest root's rows meet the others, these meet each other
+    by_root = rows.groupBy("value", "root").agg(F.count("*").alias("n"))
+    lists = by_root.groupBy("value").agg(F.sum("n").alias("size"), F.max(F.struct("n", "root")).alias("most"), F.count("*").alias("roots"))
+    blocks = lambda n: F.ceil(n / options.block).cast("int")
+    lists = materialize(lists.where("roots > 1").select(
+        "value", F.col("most.root").alias("most"), blocks(F.col("most.n")).alias("same"), blocks(F.col("size") - F.col("most.n")).alias("others")), "open")
+    met = lookup_join(rows, lists, ["value"], ["node"]).where("most is not null")
+    own = F.when(F.col("root") == F.col("most"), -1 - F.pmod(F.hash("node"), "same")).otherwise(F.pmod(F.hash("node"), "others"))
+    first = F.when(F.col("root") == F.col("most"), F.lit(0)).otherwise(-F.col("same"))
+    met = met.select("value", "node", "root", "n", "sign", own.alias("block"), F.explode(F.sequence(first, F.col("others") - 1)).alias("other")).select(
+        "value", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "root", "n", "sign")
+    parts, key = int(spark.conf.get("spark.sql.shuffle.partitions")), ["value", "lo", "hi"]
+    met = met.repartition(parts, *key).sortWithinPartitions(*key).mapInPandas(_across(options), "a long, b long")
+    return materialize(met.distinct(), "rest")
+
+
 def _sets(options: DedupOptions):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler(options.words)
         for batch in batches:
             sets = [shingler.shingles(t) for t in batch["text"].array]
             same = [_node(s) == node for s, node in zip(sets, batch["node"].array)]  # a doc_id may come with other texts
-            yield pd.DataFrame({"node": batch["node"], "shingles": [s.tolist() for s in sets]})[same]
+            yield pd.DataFrame({"node": batch["node"], "shingles": [s.tolist() for s in sets], "long": batch["long"]})[same]
 
     return run
 
@@ -236,14 +368,15 @@ def near_duplicates(docs: DataFrame, options: DedupOptions = DedupOptions()) ->
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     met = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInPandas(
         _neighbours(options), "a long, b long, differ int")
-    pairs = materialize(met.groupBy("a", "b").agg(F.min("differ").alias("differ")), "pairs")
+    met = materialize(met.groupBy("a", "b").agg(F.min("differ").alias("differ")), "pairs")
+    pairs = met.where("a <> b")
 
     # first each node's most alike neighbour; then only pairs that this left apart
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = materialize(nodes.join(wanted, "node", "left_semi").select("node", F.col("first_doc").alias("doc_id")), "wanted")
+    wanted = met.select(F.explode(F.array("a", "b")).alias("node"), (F.col("a") == F.col("b")).alias("long")).groupBy("node").agg(F.max("long").alias("long"))
+    wanted = materialize(nodes.join(wanted, "node").select("node", F.col("first_doc").alias("doc_id"), "long"), "wanted")
     few = wanted.count() <= options.broadcast_rows
-    texts = docs.join(F.broadcast(wanted) if few else wanted, "doc_id").select("node", "text")
-    sets = materialize(texts.mapInPandas(_sets(options), "node long, shingles array<long>").dropDuplicates(["node"]), "sets")
+    texts = docs.join(F.broadcast(wanted) if few else wanted, "doc_id").select("node", "text", "long")
+    sets = materialize(texts.mapInPandas(_sets(options), "node long, shingles array<long>, long boolean").dropDuplicates(["node"]), "sets")
     best = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("node"), "differ").groupBy("node").agg(
         F.min(F.struct("differ", "a", "b")).alias("best")).select("best.a", "best.b").distinct()
     links = materialize(_verify(best, sets, options), "links")
@@ -252,7 +385,14 @@ def near_duplicates(docs: DataFrame, options: DedupOptions = DedupOptions()) ->
     apart = pairs.join(best, ["a", "b"], "left_anti").join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").where(
         "coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b")
     more = materialize(_verify(apart, sets, options), "links")
-    roots = materialize(components(links.unionByName(more)), "roots")
+    links = links.unionByName(more)
+    roots = materialize(components(links), "roots")
+    # then all that long lists kept apart
+    rest = _rest(sets, roots, options)
+    if rest is not None:
+        rest = materialize(_verify(rest, sets, options), "links")
+        if not rest.isEmpty():
+            roots = materialize(components(links.unionByName(rest)), "roots")
 
     placed = nodes.select("node", "first_doc").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = placed.groupBy("root").agg(F.min("first_doc").alias("component_id"))

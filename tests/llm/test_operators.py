@@ -69,6 +69,25 @@ def test_near_duplicates(spark):
     assert dedup.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_near_pairs_in_a_large_template_group(spark):
+    """Near pairs among hundreds of documents that share most of their text but are not near as a group."""
+    r = random.Random(31)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    passage, texts = [word() for _ in range(300)], []
+    for k in range(500):
+        own = [word() for _ in range(60)]
+        texts.append(" ".join(passage + own))
+        if k % 10 == 0:
+            own[30] = word()
+            own[50] = word()
+            texts.append(" ".join(passage[:150] + [word()] + passage[150:] + own))
+    r.shuffle(texts)
+    want, _ = brute_components(texts)
+    assert len(set(want)) == 500
+    got = {x.doc_id: x.component_id for x in dedup.near_duplicates(docs(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def test_a_large_group_of_changed_copies(spark):
     """Copies that are near to their common text but mostly not to each other."""
     r = random.Random(9)
