@@ -19,7 +19,7 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return dedup.dedup_stage(docs)
+    return dedup.dedup_stage(docs, dedup.DedupOptions(percent=80))
 
 
 def take_out_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,3 +28,17 @@ def test_pipeline_end_to_end(spark, tmp_path):
     assert sorted(codec.decode(bytes(x.ids)).decode() for x in seen["byte-level BPE"].collect()) == texts_mixed
     whole = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted(x.doc_id for x in whole.collect()) == sorted(x.doc_id for x in seen["byte-level BPE"].collect())
+
+
+def test_near_copies_from_80_percent_go(spark):
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
+    words = [word() for _ in range(100)]
+    near, far = list(words), list(words)
+    for k in (30, 70):  # 86 of 106 shingles shared
+        near[k] = word()
+    for k in (20, 40, 60):  # 81 of 111
+        far[k] = word()
+    rows = [(i, " ".join(w)) for i, w in enumerate([words, near, far])]
+    kept = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert {x.doc_id for x in kept.collect()} == {0, 2}
