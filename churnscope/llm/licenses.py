@@ -1,7 +1,8 @@
 """License scans by winnowed fingerprints and banded alignment.
 
 Templates are cut into words; hashes of word k-grams are winnowed and put into an
-inverted index (hash -> template, place). A text's own k-grams look the index up;
+inverted index (hash -> template, place). Templates too short for winnowing to promise a
+hit keep all grams, of as few words as it takes. A text's own k-grams look the index up;
 hits on nearby diagonals make a candidate, and a banded alignment of the template
 with the words around the hits reports how much of it is there, and where.
 
@@ -125,12 +126,18 @@ class LicenseIndex:
         self.words = [_WORD.findall(lowered(templates[n])) for n in self.names]
         if any(len(w) < options.gram for w in self.words):
             raise ValueError("a template is shorter than a gram")
-        self.index: dict[int, list[tuple[int, int]]] = {}
+        self.index: dict[tuple[int, int], list[tuple[int, int]]] = {}  # (words of the gram, hash)
         self.vocabulary = {w for words in self.words for w in words}
         for k, words in enumerate(self.words):
-            hashes = [gram_hash(words[i : i + options.gram]) for i in range(len(words) - options.gram + 1)]
-            for h, at in winnow(hashes, options.window):
-                self.index.setdefault(h, []).append((k, at))
+            # words that a match may lack cut the rest into runs, the longest of ``whole`` words at least
+            lacking = sum(n >= options.coverage * len(words) for n in range(len(words)))
+            whole = -(-(len(words) - lacking) // (lacking + 1))
+            long = len(words) >= 2 * options.window * options.gram
+            gram = options.gram if long else max(1, min(options.gram, whole))
+            hashes = [gram_hash(words[i : i + gram]) for i in range(len(words) - gram + 1)]
+            for h, at in winnow(hashes, options.window if long else 1):
+                self.index.setdefault((gram, h), []).append((k, at))
+        self.grams = sorted({gram for gram, _ in self.index})
 
     def matches(self, text: str) -> list[tuple[str, float, int, int, int]]:
         """(license, coverage, matched words, start, end) in code points, by place."""
@@ -138,12 +145,14 @@ class LicenseIndex:
         words = _WORD.findall(data)
         found: dict[tuple[int, int], int] = {}
         # only grams of template words can be in the index
-        known, full = bytes(map(self.vocabulary.__contains__, words)), b"\x01" * o.gram
-        i = known.find(full)
-        while i >= 0:
-            for k, at in self.index.get(gram_hash(words[i : i + o.gram]), ()):
-                found.setdefault((k, (i - at) // o.band), i - at)
-            i = known.find(full, i + 1)
+        known = bytes(map(self.vocabulary.__contains__, words))
+        for gram in self.grams:
+            full = b"\x01" * gram
+            i = known.find(full)
+            while i >= 0:
+                for k, at in self.index.get((gram, gram_hash(words[i : i + gram])), ()):
+                    found.setdefault((k, (i - at) // o.band), i - at)
+                i = known.find(full, i + 1)
         if not found:
             return []
         places = [m.span() for m in _WORD.finditer(data)]

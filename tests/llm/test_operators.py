@@ -242,3 +242,13 @@ def test_licenses(spark):
     a = got[2][0]
     assert texts[2][a.start : a.end].startswith("Licensed") and texts[2][a.start : a.end].endswith("2.0") and a.coverage == 1
     assert 0.9 < got[5][0].coverage < 1 and texts[5][got[5][0].start :].startswith("Permission")
+
+
+def test_licenses_with_any_word_changed():
+    index = licenses.LicenseIndex(licenses.TEMPLATES, licenses.LicenseOptions())
+    for name, words in zip(index.names, index.words):
+        alone = licenses.LicenseIndex({name: licenses.TEMPLATES[name]}, licenses.LicenseOptions())
+        for k in range(len(words)):
+            text = " ".join("zzz" if i == k else w.decode() for i, w in enumerate(words))
+            assert [x[0] for x in alone.matches(text)] == [name]
+    assert [x[0] for x in index.matches("Distributed under the MIT License")] == ["MIT/notice"]
