@@ -94,6 +94,31 @@ def unit_hash(value: Column, seed: str) -> Column:
     return F.conv(digits, 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
+def fresh(taken: list[str], name: str) -> str:
+    """``name``, lengthened until no column in ``taken`` has it, in whatever case."""
+    have = {c.lower() for c in taken}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: str, by: str, how: str = "inner", *, counts: DataFrame | None = None, hot: int = 2000, least: int = 200, salts: int = 32) -> DataFrame:
+    """Join of any number of rows per key with a table that has one row per key.
+
+    The ``hot`` commonest keys, of those with ``least`` rows or more, are broadcast, and
+    the rows of each go to ``salts`` places, told apart by column ``by``. Any other key
+    has fewer than 1/``hot`` of the rows. ``counts`` has (on, _n), the rows per key where
+    the caller knows them; keys it leaves out aren't hot.
+    """
+    counts = left.groupBy(on).agg(F.count("*").alias("_n")) if counts is None else counts
+    salt = fresh([*left.columns, *right.columns], "_salt")
+    most = counts.where(F.col("_n") >= least).orderBy(F.desc("_n")).limit(hot).select(on, F.lit(salts).alias(salt))
+    marked = lambda side: side.join(F.broadcast(most), on, "left")
+    spread = marked(left).withColumn(salt, F.when(F.col(salt).isNotNull(), F.pmod(F.hash(by), F.lit(salts))).otherwise(F.lit(0)))
+    copies = marked(right).withColumn(salt, F.explode(F.sequence(F.lit(0), F.coalesce(salt, F.lit(1)) - 1)))
+    return spread.join(copies, [on, salt], how).drop(salt)
+
+
 def lookup_join(left: DataFrame, right: DataFrame, on: list[str], spread: list[str], *, rows: int = 50_000, salts: int = 16) -> DataFrame:
     """Left join with a materialized lookup table that has one row per key.
 

@@ -1,24 +1,27 @@
 """Near-duplicates by bottom-k sketches from one hash function.
 
-A document is the set of its distinct 5-word shingles, each hashed to 64 bits; the
-k smallest hashes are its sketch. Inverted lists of the retained values propose
-pairs, a union-sketch estimate filters them and the full sets verify them.
-
-Lists can be as long as the table, so no list is expanded into its pairs. Rows of
-all lists are range-sorted by value and by how the sketch goes on after it, which
-puts alike documents side by side, and each row meets its next neighbours only. A
-pair over the threshold shares most of its retained values, so it has as many
-chances to be neighbours, at other places each time. In long lists all rows also
-meet a few hubs, the rows nearest to what the list's rows have in common. Equal sets
-are one node.
-
-That links most of what is alike, but rows of a long list that share a passage tie
-there. So the rows of lists longer than the window are looked up again, by values that
-are rare among them (a prefix filter), and in these lists every pair that is not linked
-yet is tested, long lists in blocks.
-
-Null or blank texts have no shingles and stay alone. Texts under five words are one
-shingle. Rows with the same doc_id stay separate rows; extra columns pass through.
+A document is the set of its distinct 5-word shingles, each hashed to 64 bits; the k
+smallest hashes are its sketch. Equal sets are one node.
+
+Overlaps. Inverted lists of the first ``lists`` retained values: two sets over the
+threshold share none of them with a chance under (1 - similarity) ** lists, 2e-10 here.
+A short list gives all its pairs. A long list, as long as the table at worst, gives each
+of its rows paired with the list's hub: the row whose sketch holds the values that most
+rows hold, and so is nearest to what copies have in common. The union of two sketches
+then estimates the similarity, and what passes is verified on the full sets.
+
+The rest. Rows of long lists that are not all linked yet are looked up again, by the
+values that are rarest among them, as many as a prefix filter takes: two sets over the
+threshold share one of these. Every pair there that may be over the threshold and whose
+ends are not linked yet is estimated and verified, long lists in salted blocks. So no
+link depends on hubs, on the length of lists or on how rows are dealt to tasks.
+
+Defined results: null, empty or blank texts have no shingles and stay alone; texts under
+five words are one shingle; repeated rows stay separate rows. Rows without an id link
+like others, but lend no id: a class of such rows only has a null ``component_id``, and
+of it the rows with the smallest text hash are kept. Rows with the same id and several
+texts are judged one by one. Ties don't occur: links are sets and ids are minima. An
+empty table gives an empty result. Other columns, whatever their names, aren't read.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from churnscope.llm.common import UPPER, bound_batches, lookup_join, materialize
+from churnscope.llm.common import UPPER, bound_batches, fresh, materialize, spread_join
 from churnscope.llm.components import components
 
 _LOWER = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
@@ -41,25 +44,21 @@ _P1, _P2, _P3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np
 
 @dataclass(frozen=True)
 class DedupOptions:
-    """``percent``: least Jaccard similarity. ``lists``: retained values that are
-    looked up; ``sketch``: those that estimates use; ``near``: neighbours a row
-    meets in a list; ``hubs``: rows nearest to what a list has in common that all its
-    rows meet. ``slack``: how far, in percent, an estimate may lie below. ``sample``:
-    sets whose values are counted to tell rare ones; ``block``: rows of a rare value's
-    list that are paired in one place.
-    ``broadcast_rows``: up to so many (node, doc_id) rows are broadcast to fetch
-    texts; beyond that texts are shuffled."""
+    """``percent``: least Jaccard similarity. ``sketch``: retained values; ``lists``: those
+    of them that are looked up; ``short``: rows up to which a list gives all its pairs.
+    ``slack``: how far, in percent, an estimate may lie below. ``sample``: sets, and
+    ``sample_values``: values, about, that are counted to tell rare ones; these only
+    order the second look-up. ``block``: rows that are paired in one place there."""
 
     words: int = 5
     percent: int = 85
     lists: int = 12
     sketch: int = 64
-    near: int = 4
-    hubs: int = 4
+    short: int = 16
     slack: int = 30
     sample: int = 10_000
+    sample_values: int = 4_000_000
     block: int = 256
-    broadcast_rows: int = 1_000_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -104,137 +103,116 @@ def _node(shingles: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(shingles.tobytes()) >> 1
 
 
-def _bits(shingles: np.ndarray) -> tuple[int, int]:
-    """128 one-bit minima: of each 128th of the hash space, a bit of its smallest value.
-
-    Two sets agree in about (1 + similarity) / 2 of the bits.
-    """
-    part = shingles & 127
-    bits = np.zeros(128, dtype=np.uint8)
-    where, first = np.unique(part, return_index=True)  # shingles ascend: the first is the least
-    bits[where] = (_mix(shingles[first].view(np.uint64)) >> np.uint64(63)).astype(np.uint8)
-    if len(where) < 128:  # an empty part borrows from the next that has one
-        at = np.searchsorted(where, np.arange(128)) % len(where)
-        bits = bits[where[at]]
-    a, b = np.packbits(bits).view(np.int64)
-    return int(a), int(b)
-
-
 def _sketches(options: DedupOptions):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler(options.words)
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch["doc_id"].array, batch["text"].array):
-                s = shingler.shingles(None if text is pd.NA else text)
-                n = len(s)
-                if not n:
-                    rows.append((doc_id, None, 0, [], 0, 0))
-                    continue
-                rows.append((doc_id, _node(s), n, s[: options.lists].tolist(), *_bits(s)))
-            doc_ids, nodes, *rest = zip(*rows) if rows else ((),) * 6
-            # 64-bit numbers beside nulls must not pass through doubles
-            yield pd.DataFrame({"doc_id": pd.array(doc_ids, dtype="Int64"), "node": pd.array(nodes, dtype="Int64")} | dict(zip(("n", "kept_values", "bits_a", "bits_b"), rest)))
+            sets = [shingler.shingles(None if t is pd.NA else t) for t in batch["text"].array]
+            yield pd.DataFrame({
+                # 64-bit numbers beside nulls must not pass through doubles
+                "doc_id": batch["doc_id"].astype("Int64"), "text_hash": batch["text_hash"],
+                "node": pd.array([_node(s) if len(s) else None for s in sets], dtype="Int64"), "n": [len(s) for s in sets],
+                "sketch": [s[: options.sketch] for s in sets]})
 
     return run
 
 
-def _runs(*keys: np.ndarray) -> np.ndarray:
-    """Starts of the runs of equal keys."""
-    new = np.zeros(len(keys[0]), dtype=bool)
-    for k in keys:
-        new[1:] |= k[1:] != k[:-1]
-    new[:1] = True
-    return np.flatnonzero(new)
+def _lists(nodes: DataFrame, options: DedupOptions) -> DataFrame:
+    """(value, node, n, held): rows of the inverted lists that have two rows or more, ``held`` of them."""
+    rows = nodes.select("node", "n", F.explode(F.slice("sketch", 1, options.lists)).alias("value"))
+    held = materialize(rows.groupBy("value").agg(F.count("*").alias("held")).where("held > 1"), "held")
+    return materialize(spread_join(rows, held, "value", "node", counts=held.select("value", F.col("held").alias("_n"))), "lists")
 
 
-def _hubs(starts: np.ndarray, bits: np.ndarray, many: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, hub): rows of long runs with the ``many`` rows nearest to the run's majority bits.
+def _all_pairs(lists: DataFrame) -> DataFrame:
+    """(a, b), a > b: the pairs of each list; the lists are short."""
+    at = F.collect_list(F.struct("node", "n")).alias("at")
+    pair = lambda x, y: F.struct(
+        F.greatest(x["node"], y["node"]).alias("a"), F.least(x["node"], y["node"]).alias("b"), F.least(x["n"], y["n"]).alias("low"), F.greatest(x["n"], y["n"]).alias("high"))
+    pairs = F.transform("at", lambda x, i: F.transform(F.slice("at", i + 2, F.size("at")), lambda y: pair(x, y)))
+    return lists.groupBy("value").agg(at).select(F.inline(F.flatten(pairs)))
 
-    Copies that were changed here and there are all near to what they have in common,
-    though not to each other.
-    """
-    sizes = np.diff(np.append(starts, len(bits)))
-    run = np.repeat(np.arange(len(starts)), sizes)
-    rows = np.flatnonzero(sizes[run] > least)
-    if not len(rows):
-        return rows, rows
-    run = run[rows]
-    first = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
-    size = np.diff(np.append(first, len(rows)))
-    number = np.repeat(np.arange(len(first)), size)
-    majority = 2 * np.add.reduceat(bits[rows].astype(np.int32), first, axis=0) > size[:, None]
-    order = np.lexsort(((bits[rows] != majority[number]).sum(axis=1), number))
-    nearest = rows[order[first[:, None] + np.arange(many)]]  # runs are longer than ``many``
-    return np.repeat(rows, many), nearest[number].ravel()
-
-
-def _neighbours(options: DedupOptions):
-    """Pairs of near rows in one list, from rows sorted by list and content.
-
-    Rows of lists that may be longer than the window also come as a pair with themselves.
+
+def _hub_pairs(lists: DataFrame, nodes: DataFrame, options: DedupOptions) -> DataFrame:
+    """(a, b), a > b: each row of a long list with the list's hub.
+
+    Hubs are maxima, which add up map-side; a row weighs as much as the rows that hold
+    its retained values. Equals go by a hash that differs from list to list.
     """
-    columns = ["value", "next_1", "next_3", "node", "n", "bits_a", "bits_b"]
+    some = materialize(nodes.join(lists.select("node").distinct(), "node").select("node", F.explode("sketch").alias("value")), "retained")
+    often = materialize(some.groupBy("value").agg(F.count("*").alias("_n")).where("_n > 1"), "often")
+    weight = spread_join(some, often, "value", "node", counts=often).groupBy("node").agg(F.sum("_n").alias("weight"))
+    rows = materialize(lists.join(weight, "node"), "weighed")
+    hubs = rows.groupBy("value").agg(F.max(F.struct("weight", F.hash("value", "node").alias("any"), "node", "n")).alias("hub"))
+    hubs = materialize(hubs.select("value", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")), "hubs")
+    met = spread_join(rows, hubs, "value", "node", counts=lists.groupBy("value").agg(F.max("held").alias("_n"))).where("node <> hub")
+    return met.select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b"), F.least("n", "hub_n").alias("low"), F.greatest("n", "hub_n").alias("high"))
+
+
+def _estimated(pairs: DataFrame, sketches: DataFrame, options: DedupOptions) -> DataFrame:
+    """The pairs whose similarity, from the k smallest hashes of their union, may suffice."""
+    side = lambda c: sketches.select(F.col("node").alias(c), F.col("sketch").alias(f"sketch_{c}"))
+    joined = spread_join(spread_join(pairs, side("a"), "a", "b"), side("b"), "b", "a", counts=pairs.groupBy("b").agg(F.count("*").alias("_n")))
+    union = F.slice(F.array_sort(F.array_union("sketch_a", "sketch_b")), 1, options.sketch)
+    shared = F.size(F.array_intersect(union, F.array_intersect("sketch_a", "sketch_b")))
+    return joined.where(100 * shared >= (options.percent - options.slack) * F.size(union)).select("a", "b")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, options: DedupOptions) -> DataFrame:
+    """The pairs whose full sets are alike enough."""
+    side = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"set_{c}"))
+    joined = spread_join(spread_join(pairs, side("a"), "a", "b"), side("b"), "b", "a", counts=pairs.groupBy("b").agg(F.count("*").alias("_n")))
+    both = F.size(F.array_intersect("set_a", "set_b"))
+    return joined.where(100 * both >= options.percent * (F.size("set_a") + F.size("set_b") - both)).select("a", "b")
+
+
+def _links(pairs: DataFrame, met: DataFrame, sets: DataFrame, options: DedupOptions) -> DataFrame:
+    likely = materialize(_estimated(pairs, met, options), "likely")
+    return materialize(_verified(likely, sets, options), "links")
 
+
+def _sets(options: DedupOptions):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        before, at_start = None, True
+        shingler = Shingler(options.words)
         for batch in batches:
-            rows = batch[columns] if before is None else pd.concat([before, batch[columns]], ignore_index=True)
-            value, one, three, node, n = (rows[c].to_numpy() for c in columns[:5])
-            a, b = rows["bits_a"].to_numpy(), rows["bits_b"].to_numpy()
-            bits = np.unpackbits(np.stack([a, b], axis=1).view(np.uint8), axis=1)
-            pairs = [(np.arange(len(rows) - k), np.arange(k, len(rows))) for k in range(1, min(options.near, len(rows) - 1) + 1)]
-            lists = _runs(value)
-            least = max(options.near, options.hubs)
-            pairs += [_hubs(starts, bits, options.hubs, least) for starts in (lists, _runs(value, one), _runs(value, one, three))]
-            sizes = np.diff(np.append(lists, len(rows)))
-            long = sizes > options.near + 1
-            long[:1] |= at_start  # a part may begin or end within a list
-            at_start = at_start and not len(rows)
-            once = np.unique(node[np.repeat(long, sizes)])
-            out = [pd.DataFrame({"a": once, "b": once, "differ": np.zeros(len(once), dtype=int)})]
-            for i, j in pairs:
-                fits = (value[i] == value[j]) & (node[i] != node[j])
-                fits &= 100 * np.minimum(n[i], n[j]) >= options.percent * np.maximum(n[i], n[j])
-                i, j = i[fits], j[fits]
-                differ = (np.bitwise_count(a[i].view(np.uint64) ^ a[j].view(np.uint64)).astype(int) + np.bitwise_count(b[i].view(np.uint64) ^ b[j].view(np.uint64)))
-                # at 85 (80) percent 9.6 (12.8) bits differ, with a deviation of 3 (3.4); small sets repeat bits
-                fits = (differ <= 30) | (np.minimum(n[i], n[j]) < 128)
-                i, j = i[fits], j[fits]
-                out.append(pd.DataFrame({"a": np.maximum(node[i], node[j]), "b": np.minimum(node[i], node[j]), "differ": differ[fits]}))
-            yield pd.concat(out, ignore_index=True).drop_duplicates()
-            # the next batch may go on with the last list: its hubs and last rows stay
-            start = lists[-1] if len(lists) else 0
-            hub = np.unique(_hubs(np.array([0]), bits[start:], options.hubs, least)[1]) + start
-            keep = np.unique(np.r_[hub, np.arange(max(0, len(rows) - options.near - 1), len(rows))].astype(int))
-            before = rows.iloc[keep]
-        if before is not None and len(before):
-            last = before["node"][before["value"] == before["value"].iloc[-1]].unique()
-            yield pd.DataFrame({"a": last, "b": last, "differ": 0})
+            sets = [shingler.shingles(t) for t in batch["text"].array]
+            same = np.array([_node(s) == node for s, node in zip(sets, batch["node"].array)], dtype=bool)  # an id may come with other texts
+            yield pd.DataFrame({"node": batch["node"], "shingles": sets})[same]
 
     return run
 
 
-def _parities(shingles: np.ndarray) -> np.ndarray:
+# the second look-up
+
+
+def _parities(shingles: np.ndarray) -> bytes:
     """512 parities of set sizes; two sets disagree in no more of them than they have values apart."""
     place = (_mix(shingles.view(np.uint64)) & np.uint64(511)).astype(np.int64)
-    return np.packbits(np.bincount(place, minlength=512).astype(np.uint8) & 1)
+    return np.packbits(np.bincount(place, minlength=512).astype(np.uint8) & 1).tobytes()
 
 
-def _looked_up(shingles: np.ndarray, often: np.ndarray, percent: int) -> np.ndarray:
-    """Values of a set of which a pair over the threshold shares one, those seen least often first.
+#: What a row of the second look-up may meet: larger sets only lend later values of their
+#: prefix to smaller ones' first values; rows of a sample of rare values meet all.
+_LATER, _FIRST, _SAMPLED = 0, 1, 2
 
-    Without n - ceil(percent * n) of its values a set still has one that is shared. Where
-    enough values are rare, fewer do: over the threshold at most ``apart`` of the rare ones
-    are not shared, and the least by hash are a sample of them (miss under 1e-7).
+
+def _looked_up(shingles: np.ndarray, often: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a set of which a pair over the threshold shares one, rarest first, and their roles.
+
+    Without n - ceil(percent * n) of its values a set still has one that is shared; if
+    the partner is no smaller, fewer suffice. Where enough values are rare, still fewer
+    do: over the threshold at most ``apart`` of the rare ones are not shared, and the
+    least by hash are a sample of them (miss under 1e-7).
     """
     n = len(shingles)
     few = n - (percent * n + 99) // 100 + 1
+    first = n - (2 * percent * n + 99 + percent) // (100 + percent) + 1
     rare, apart = int((often == 0).sum()), (100 - percent) * n / percent
-    if rare > apart:
-        sampled = int(np.ceil(np.log(1e-7) / np.log(apart / rare)))
-        few = min(few, sampled) if sampled <= rare else few
-    return shingles[np.lexsort((shingles, often))[:few]]
+    sampled = int(np.ceil(np.log(1e-7) / np.log(apart / rare))) if rare > apart else n
+    order = np.lexsort((shingles, often))
+    if sampled <= min(rare, few - 1):
+        return shingles[order[:sampled]], np.full(sampled, _SAMPLED, dtype=np.int32)
+    return shingles[order[:few]], np.where(np.arange(few) < first, _FIRST, _LATER).astype(np.int32)
 
 
 def _rare(options: DedupOptions, sent):
@@ -243,35 +221,47 @@ def _rare(options: DedupOptions, sent):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen, times = sent.value
         for batch in batches:
-            values, signs = [], []
+            values, roles, signs, sizes = [], [], [], []
             for s in batch["shingles"].array:
                 s = np.asarray(s, dtype=np.int64)
                 at = np.minimum(np.searchsorted(seen, s), max(len(seen) - 1, 0))
                 often = np.where(seen[at] == s, times[at], 0) if len(seen) else np.zeros(len(s), dtype=np.int64)
-                values.append(_looked_up(s, often, options.percent))
-                signs.append(_parities(s).tobytes() + np.array(_bits(s), dtype=np.int64).tobytes())
-            sizes = [len(v) for v in values]
-            rows = batch[["node", "root"]].assign(n=[len(s) for s in batch["shingles"].array], sign=signs)
-            rows = rows.loc[rows.index.repeat(sizes)].reset_index(drop=True)
-            yield rows.assign(value=np.concatenate(values) if values else np.empty(0, dtype=np.int64))[["value", "node", "root", "n", "sign"]]
+                value, role = _looked_up(s, often, options.percent)
+                values.append(value)
+                roles.append(role)
+                signs.append(_parities(s))
+                sizes.append(len(s))
+            rows = batch[["node", "root"]].assign(n=np.array(sizes, dtype=np.int64), sign=signs)
+            rows = rows.loc[rows.index.repeat([len(v) for v in values])].reset_index(drop=True)
+            joined = lambda x, kind: np.concatenate(x) if x else np.empty(0, dtype=kind)
+            yield rows.assign(value=joined(values, np.int64), role=joined(roles, np.int32))[["value", "node", "root", "n", "role", "sign"]]
 
     return run
 
 
+def _runs(*keys: np.ndarray) -> np.ndarray:
+    """Starts of the runs of equal keys."""
+    new = np.zeros(len(keys[0]), dtype=bool)
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    new[:1] = True
+    return np.flatnonzero(new)
+
+
 def _unlinked(rows: pd.DataFrame, starts: np.ndarray, options: DedupOptions) -> pd.DataFrame:
     """Every pair within a run whose roots differ and that may be over the threshold."""
-    block, lo, hi, node, root, n = (rows[c].to_numpy() for c in ("block", "lo", "hi", "node", "root", "n"))
-    sign = np.frombuffer(b"".join(rows["sign"].array), dtype=np.uint64).reshape(len(rows), 10)
+    block, lo, hi, node, root, n, role = (rows[c].to_numpy() for c in ("block", "lo", "hi", "node", "root", "n", "role"))
+    sign = np.frombuffer(b"".join(rows["sign"].array), dtype=np.uint64).reshape(len(rows), 8)
     after = np.repeat(np.append(starts[1:], len(rows)), np.diff(np.append(starts, len(rows)))) - np.arange(len(rows)) - 1
     i, k, out = np.flatnonzero(after > 0), 1, []
     while len(i):
         fits = (root[i] != root[i + k]) & ((lo[i] == hi[i]) | (block[i] != block[i + k]))
         x, y = i[fits], i[fits] + k
         fits = 100 * np.minimum(n[x], n[y]) >= options.percent * np.maximum(n[x], n[y])
+        fits &= (np.maximum(role[x], role[y]) == _SAMPLED) | ((role[x] == _FIRST) & (n[x] <= n[y])) | ((role[y] == _FIRST) & (n[y] <= n[x]))
         x, y = x[fits], y[fits]
-        differ = np.bitwise_count(sign[x] ^ sign[y]).astype(int)
-        fits = (100 + options.percent) * differ[:, :8].sum(axis=1) <= (100 - options.percent) * (n[x] + n[y])
-        fits &= (differ[:, 8:].sum(axis=1) <= 30) | (np.minimum(n[x], n[y]) < 128)
+        differ = np.bitwise_count(sign[x] ^ sign[y]).sum(axis=1, dtype=np.int64)
+        fits = (100 + options.percent) * differ <= (100 - options.percent) * (n[x] + n[y])
         out.append(np.stack([np.maximum(node[x], node[y])[fits], np.minimum(node[x], node[y])[fits]], axis=1))
         k += 1
         i = i[after[i] >= k]
@@ -298,112 +288,106 @@ def _across(options: DedupOptions):
     return run
 
 
-def _rest(sets: DataFrame, roots: DataFrame, options: DedupOptions) -> DataFrame | None:
-    """Candidates (a, b) between roots, of sets in long lists, by values that are rare among these."""
+def _root_of(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    return nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def _rest(long: DataFrame, sets: DataFrame, roots: DataFrame, options: DedupOptions) -> DataFrame | None:
+    """Candidates (a, b) between roots, of rows of long lists, by values that are rare among these.
+
+    ``long`` has the rows of long lists; None if each of them is of one root.
+    """
     spark = sets.sparkSession
-    long = sets.where("long")
-    many = long.count()
+    placed = materialize(_root_of(long.select("value", "node"), roots), "placed")
+    counts = placed.groupBy("value").agg(F.count("*").alias("_n"), F.min("root").alias("least"), F.max("root").alias("most"))
+    unsettled = materialize(counts.where("least <> most").select("value", "_n"), "unsettled")
+    nodes = spread_join(placed, unsettled, "value", "node", counts=unsettled).select("node", "root").distinct()
+    nodes = materialize(sets.join(nodes, "node"), "unsettled-sets")
+    many, values = nodes.agg(F.count("*"), F.coalesce(F.sum(F.size("shingles")), F.lit(0))).first()
     if not many:
         return None
-    counted = long.where(F.pmod(F.xxhash64("node"), F.lit(many)) < options.sample).select(F.explode("shingles").alias("value"))
+    share = min(1.0, options.sample / many, options.sample_values / values)
+    counted = nodes.where(F.pmod(F.xxhash64("node"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select(F.explode("shingles").alias("value"))
     seen = counted.groupBy("value").count().where("count > 2").toPandas().sort_values("value")
     sent = spark.sparkContext.broadcast((seen["value"].to_numpy(np.int64), seen["count"].to_numpy(np.int64)))
-    placed = long.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "shingles")
-    rows = materialize(placed.mapInPandas(_rare(options, sent), "value long, node long, root long, n long, sign binary"), "rare")
+    rows = materialize(nodes.mapInPandas(_rare(options, sent), "value long, node long, root long, n long, role int, sign binary"), "rare")
 
     # only lists with several roots: the commonest root's rows meet the others, these meet each other
-    by_root = rows.groupBy("value", "root").agg(F.count("*").alias("n"))
-    lists = by_root.groupBy("value").agg(F.sum("n").alias("size"), F.max(F.struct("n", "root")).alias("most"), F.count("*").alias("roots"))
+    by_root = rows.groupBy("value", "root").agg(F.count("*").alias("n"), F.max("role").alias("role"))
+    lists = by_root.groupBy("value").agg(F.sum("n").alias("_n"), F.max(F.struct("n", "root")).alias("most"), F.count("*").alias("roots"), F.max("role").alias("role"))
     blocks = lambda n: F.ceil(n / options.block).cast("int")
-    lists = materialize(lists.where("roots > 1").select(
-        "value", F.col("most.root").alias("most"), blocks(F.col("most.n")).alias("same"), blocks(F.col("size") - F.col("most.n")).alias("others")), "open")
-    met = lookup_join(rows, lists, ["value"], ["node"]).where("most is not null")
+    lists = materialize(lists.where(f"roots > 1 AND role > {_LATER}").select(
+        "value", "_n", F.col("most.root").alias("most"), blocks(F.col("most.n")).alias("same"), blocks(F.col("_n") - F.col("most.n")).alias("others")), "open")
+    met = spread_join(rows, lists, "value", "node", counts=lists.select("value", "_n"))
     own = F.when(F.col("root") == F.col("most"), -1 - F.pmod(F.hash("node"), "same")).otherwise(F.pmod(F.hash("node"), "others"))
-    first = F.when(F.col("root") == F.col("most"), F.lit(0)).otherwise(-F.col("same"))
-    met = met.select("value", "node", "root", "n", "sign", own.alias("block"), F.explode(F.sequence(first, F.col("others") - 1)).alias("other")).select(
-        "value", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "root", "n", "sign")
+    start = F.when(F.col("root") == F.col("most"), F.lit(0)).otherwise(-F.col("same"))
+    met = met.select("value", "node", "root", "n", "role", "sign", own.alias("block"), F.explode(F.sequence(start, F.col("others") - 1)).alias("other")).select(
+        "value", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "root", "n", "role", "sign")
     parts, key = int(spark.conf.get("spark.sql.shuffle.partitions")), ["value", "lo", "hi"]
     met = met.repartition(parts, *key).sortWithinPartitions(*key).mapInPandas(_across(options), "a long, b long")
     return materialize(met.distinct(), "rest")
 
 
-def _sets(options: DedupOptions):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingler = Shingler(options.words)
-        for batch in batches:
-            sets = [shingler.shingles(t) for t in batch["text"].array]
-            same = [_node(s) == node for s, node in zip(sets, batch["node"].array)]  # a doc_id may come with other texts
-            yield pd.DataFrame({"node": batch["node"], "shingles": [s.tolist() for s in sets], "long": batch["long"]})[same]
+def _classes(docs: DataFrame, options: DedupOptions) -> DataFrame:
+    """(doc_id, text_hash, n_shingles, component_id, kept) for each row of ``docs``."""
+    bound_batches(docs.sparkSession)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    sketched = materialize(docs.mapInPandas(_sketches(options), "doc_id long, text_hash long, node long, n long, sketch array<long>"), "sketches")
+    nodes = sketched.where("n > 0").groupBy("node", "n", "sketch").agg(F.min("doc_id").alias("first_doc"), F.min("text_hash").alias("first_text"))
+    nodes = materialize(nodes, "nodes")
+
+    lists = _lists(nodes, options)
+    long = lists.where(F.col("held") > options.short)
+    alike = 100 * F.col("low") >= options.percent * F.col("high")
+    any_long = not long.isEmpty()
+    overlaps = _all_pairs(lists.where(F.col("held") <= options.short)).where(alike)
+    if any_long:
+        overlaps = overlaps.unionByName(_hub_pairs(long, nodes, options).where(alike))
+    overlaps = materialize(overlaps.groupBy("a", "b").agg(F.count("*").alias("shared")), "overlaps")
+
+    # sketches and full sets of what has met; a set comes from one of its rows
+    met = overlaps.select(F.explode(F.array("a", "b")).alias("node")).unionByName(long.select("node")).distinct()
+    met = materialize(nodes.join(met, "node").select(
+        "node", "sketch", F.coalesce("first_doc", "first_text").alias("key"), F.col("first_doc").isNull().alias("keyless")), "met")
+    texts = docs.select(F.coalesce("doc_id", "text_hash").alias("key"), F.col("doc_id").isNull().alias("keyless"), "text")
+    texts = texts.join(met.select("key", "keyless", "node"), ["key", "keyless"]).select("node", "text")
+    sets = materialize(texts.mapInPandas(_sets(options), "node long, shingles array<long>").dropDuplicates(["node"]), "sets")
+
+    # first each node's most overlapping partner; then only pairs that this left apart
+    best = overlaps.select("a", "b", F.explode(F.array("a", "b")).alias("node"), "shared").groupBy("node").agg(F.max(F.struct("shared", "a", "b")).alias("best"))
+    best = materialize(best.select("best.a", "best.b").distinct(), "best")
+    roots = materialize(components(_links(best, met, sets, options)), "roots")
+    root_of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    apart = overlaps.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").where(
+        "coalesce(root_a, a) <> coalesce(root_b, b)").join(best, ["a", "b"], "left_anti").select("a", "b")
 
-    return run
+    def linked(more: DataFrame, roots: DataFrame) -> DataFrame:
+        known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        return materialize(components(known.unionByName(more)), "roots") if not more.isEmpty() else roots
 
+    apart = materialize(apart, "apart")
+    if not apart.isEmpty():
+        roots = linked(_links(apart, met, sets, options), roots)
+    rest = _rest(long, sets, roots, options) if any_long else None
+    if rest is not None:
+        roots = linked(_links(rest, met, sets, options), roots)
 
-def _verify(pairs: DataFrame, sets: DataFrame, options: DedupOptions) -> DataFrame:
-    """The pairs that pass: an estimate from the union's k smallest hashes, then the full sets."""
-    joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), "a").join(
-        sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b")
-    x, y = (F.slice(c, F.lit(1), F.lit(options.sketch)) for c in ("set_a", "set_b"))
-    union = F.slice(F.array_sort(F.array_union(x, y)), F.lit(1), F.lit(options.sketch))
-    shared = F.size(F.array_intersect(union, F.array_intersect(x, y)))
-    both = F.size(F.array_intersect("set_a", "set_b"))
-    return joined.where(100 * shared >= (options.percent - options.slack) * F.size(union)).where(
-        100 * both >= options.percent * (F.size("set_a") + F.size("set_b") - both)).select("a", "b")
+    placed = _root_of(nodes.select("node", "first_doc", "first_text"), roots)
+    smallest = placed.groupBy("root").agg(F.min("first_doc").alias("component_id"), F.min("first_text").alias("first_text"))
+    classes = materialize(placed.select("node", "root").join(smallest, "root").select("node", "component_id", "first_text"), "classes")
+    alone = sketched.where("node IS NULL").select("doc_id", "text_hash", "n", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
+    out = spread_join(sketched.where("node IS NOT NULL").select("doc_id", "text_hash", "node", "n"), classes, "node", "doc_id")
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull() & (F.col("text_hash") == F.col("first_text")))
+    return out.select("doc_id", "text_hash", "n", "component_id", kept.alias("kept")).unionByName(alone).withColumnRenamed("n", "n_shingles")
 
 
 def near_duplicates(docs: DataFrame, options: DedupOptions = DedupOptions()) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id, text)."""
-    bound_batches(docs.sparkSession)
-    docs = docs.select("doc_id", "text")
-    schema = "doc_id long, node long, n long, kept_values array<long>, bits_a long, bits_b long"
-    sketched = materialize(docs.mapInPandas(_sketches(options), schema), "sketches")
-    nodes = materialize(
-        sketched.where("n > 0").groupBy("node", "n", "kept_values", "bits_a", "bits_b").agg(F.min("doc_id").alias("first_doc")), "nodes")
-
-    # a list's row: its value, then two digests of the values that follow it, then a shuffle of equals
-    after = lambda k: F.hash(F.slice("kept_values", F.col("pos") + 2, F.lit(k)))
-    rows = nodes.select("node", "n", "bits_a", "bits_b", "kept_values", F.posexplode("kept_values").alias("pos", "value")).select(
-        "value", after(1).alias("next_1"), after(3).alias("next_3"), F.hash("value", "node").alias("any"),
-        "node", "n", "bits_a", "bits_b")
-    order = ["value", "next_1", "next_3", "any"]
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInPandas(
-        _neighbours(options), "a long, b long, differ int")
-    met = materialize(met.groupBy("a", "b").agg(F.min("differ").alias("differ")), "pairs")
-    pairs = met.where("a <> b")
-
-    # first each node's most alike neighbour; then only pairs that this left apart
-    wanted = met.select(F.explode(F.array("a", "b")).alias("node"), (F.col("a") == F.col("b")).alias("long")).groupBy("node").agg(F.max("long").alias("long"))
-    wanted = materialize(nodes.join(wanted, "node").select("node", F.col("first_doc").alias("doc_id"), "long"), "wanted")
-    few = wanted.count() <= options.broadcast_rows
-    texts = docs.join(F.broadcast(wanted) if few else wanted, "doc_id").select("node", "text", "long")
-    sets = materialize(texts.mapInPandas(_sets(options), "node long, shingles array<long>, long boolean").dropDuplicates(["node"]), "sets")
-    best = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("node"), "differ").groupBy("node").agg(
-        F.min(F.struct("differ", "a", "b")).alias("best")).select("best.a", "best.b").distinct()
-    links = materialize(_verify(best, sets, options), "links")
-    roots = materialize(components(links), "roots")
-    root_of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-    apart = pairs.join(best, ["a", "b"], "left_anti").join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").where(
-        "coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b")
-    more = materialize(_verify(apart, sets, options), "links")
-    links = links.unionByName(more)
-    roots = materialize(components(links), "roots")
-    # then all that long lists kept apart
-    rest = _rest(sets, roots, options)
-    if rest is not None:
-        rest = materialize(_verify(rest, sets, options), "links")
-        if not rest.isEmpty():
-            roots = materialize(components(links.unionByName(rest)), "roots")
-
-    placed = nodes.select("node", "first_doc").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    smallest = placed.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    classes = materialize(placed.join(smallest, "root").select("node", "component_id"), "classes")
-    out = lookup_join(sketched.select("doc_id", "node", "n"), classes, ["node"], ["doc_id"])
-    return out.select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"),
-        F.coalesce(F.coalesce("component_id", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
+    return _classes(docs, options).drop("text_hash")
 
 
 def dedup_stage(docs: DataFrame, options: DedupOptions = DedupOptions()) -> DataFrame:
-    """One document of each group, the one with the smallest doc_id."""
-    kept = near_duplicates(docs, options).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+    """One document of each group, the one with the smallest doc_id (if it is repeated, all its rows)."""
+    a, b = fresh(docs.columns, "kept_id"), fresh(docs.columns, "kept_text")
+    kept = _classes(docs, options).where("kept").select(F.col("doc_id").alias(a), F.col("text_hash").alias(b)).distinct()
+    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col(a)) & (F.xxhash64("text") == F.col(b)), "left_semi")

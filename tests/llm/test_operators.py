@@ -13,7 +13,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from churnscope.llm import bpe, dedup, licenses, maxent, onebit_ann, packing, url_rules
+from churnscope.llm import bpe, licenses, maxent, onebit_ann, packing, url_rules
 from churnscope.llm.components import components
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -24,85 +24,6 @@ def docs(spark, texts, ids=None):
     return spark.createDataFrame([(i if ids is None else ids[i], t, "x") for i, t in enumerate(texts)], "doc_id long, text string, node string")
 
 
-def shingles(t):
-    w = (t or "").encode().translate(LOWER).split()
-    return frozenset([tuple(w)] if 0 < len(w) < 5 else [tuple(w[i : i + 5]) for i in range(len(w) - 4)])
-
-
-def brute_components(texts):
-    sets, root = [shingles(t) for t in texts], list(range(len(texts)))
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for a in range(len(sets)):
-        for b in range(a):
-            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
-                x, y = sorted((find(a), find(b)))
-                root[y] = x
-    return [find(i) for i in range(len(texts))], [len(s) for s in sets]
-
-
-def test_near_duplicates(spark):
-    r = random.Random(5)
-    word = lambda: "".join(r.choice("abcdefgh") for _ in range(4))
-    texts = [None, "", "  ", "One", "one", "a b c", "A  b\tc"]
-    passage = [word() for _ in range(40)]
-    for _ in range(6):
-        base = [word() for _ in range(r.randrange(60, 200))]
-        texts.append(" ".join(base))
-        for _ in range(12):  # near copies around the threshold, a chain among them
-            base = list(base)
-            for _ in range(r.randrange(1, 4)):
-                base[r.randrange(len(base))] = word()
-            texts.append(" ".join(base))
-    texts += [" ".join(passage + [word() for _ in range(30)]) for _ in range(40)]
-    texts += [texts[10]] * 60 + [" ".join(f"w{i}" for i in range(8000))]
-    want, sizes = brute_components(texts)
-    got = {x.doc_id: x for x in dedup.near_duplicates(docs(spark, texts)).collect()}
-    assert len(got) == len(texts)
-    assert [got[i].n_shingles for i in range(len(texts))] == sizes
-    assert [got[i].component_id for i in range(len(texts))] == want
-    assert all(got[i].kept == (want[i] == i) for i in range(len(texts)))
-    assert dedup.near_duplicates(docs(spark, [])).count() == 0
-
-
-def test_near_pairs_in_a_large_template_group(spark):
-    """Near pairs among hundreds of documents that share most of their text but are not near as a group."""
-    r = random.Random(31)
-    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
-    passage, texts = [word() for _ in range(300)], []
-    for k in range(500):
-        own = [word() for _ in range(60)]
-        texts.append(" ".join(passage + own))
-        if k % 10 == 0:
-            own[30] = word()
-            own[50] = word()
-            texts.append(" ".join(passage[:150] + [word()] + passage[150:] + own))
-    r.shuffle(texts)
-    want, _ = brute_components(texts)
-    assert len(set(want)) == 500
-    got = {x.doc_id: x.component_id for x in dedup.near_duplicates(docs(spark, texts)).collect()}
-    assert [got[i] for i in range(len(texts))] == want
-
-
-def test_a_large_group_of_changed_copies(spark):
-    """Copies that are near to their common text but mostly not to each other."""
-    r = random.Random(9)
-    word = lambda: "".join(r.choice("abcdefgh") for _ in range(4))
-    base = [word() for _ in range(150)]
-    texts = [" ".join(base)]
-    for _ in range(250):
-        copy = list(base)
-        for _ in range(r.randrange(1, 5)):
-            copy[r.randrange(len(copy))] = word()
-        texts.append(" ".join(copy))
-    got = {x.doc_id: x.component_id for x in dedup.near_duplicates(docs(spark, texts)).collect()}
-    assert [got[i] for i in range(len(texts))] == brute_components(texts)[0]
-
-
 def test_components_of_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(1, 60)] + [(1000, x) for x in range(1001, 1050)] + [(5, 5)]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
