@@ -130,6 +130,31 @@ def lookup_join(left: DataFrame, right: DataFrame, on: list[str], spread: list[s
     n, size = right.agg(F.count("*"), F.coalesce(width, F.lit(0))).first()
     if n <= rows and size <= 16 << 20:
         return left.join(F.broadcast(right), on, "left")
-    salted = left.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
-    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [*on, "_salt"], "left").drop("_salt")
+    salt = fresh([*left.columns, *right.columns], "_salt")
+    salted = left.withColumn(salt, F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
+    copies = right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(copies, [*on, salt], "left").drop(salt)
+
+
+def running(values: Column, op, zero: int, block: int = 256) -> Column:
+    """For each place of an array of longs, ``op`` over all values up to it; ``op`` is associative.
+
+    Arrays only grow by copying, so values are taken in blocks: the work is in
+    proportion to the length and, for long arrays, to the square of its 256th part.
+    """
+    none = F.array().cast("array<bigint>")
+
+    def steps(items: Column, of) -> Column:
+        start = F.struct(F.lit(zero).cast("bigint").alias("now"), none.alias("out"))
+
+        def add(acc: Column, x: Column) -> Column:
+            return let(op(acc["now"], of(x)).cast("bigint"), lambda y: F.struct(y.alias("now"), F.concat(acc["out"], F.array(y)).alias("out")))
+
+        return F.aggregate(items, start, add)
+
+    def joined(v: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / block).cast("int")), lambda k: steps(F.slice(v, k * block + 1, block), lambda x: x))
+        return let(blocks, lambda b: let(steps(b, lambda x: x["now"])["out"], lambda ends: F.flatten(F.transform(b, lambda x, k: F.when(
+            k == 0, x["out"]).otherwise(F.transform(x["out"], lambda y: op(F.get(ends, k - 1), y).cast("bigint")))))))
+
+    return let(values, lambda v: F.when(F.size(v) == 0, none).when(F.size(v) <= block, steps(v, lambda x: x)["out"]).otherwise(joined(v)))

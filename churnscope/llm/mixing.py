@@ -2,9 +2,14 @@
 
 Words are summed per source, targets come from the weights by reshare under a
 cap, and each document is taken floor(rate) times plus once more if its hash
-falls under the fraction. A null text has size 0; a null source is a source of
-its own, last in order; rows with one doc_id draw the same number, so repeated
-rows are taken alike. An empty table gives an empty result.
+falls under the fraction.
+
+Defined results: a null or empty text has size 0; a null source is a source of its own,
+last in order; sources that tie in what decides go by code point; rows with one doc_id
+(a null one included) draw the same number, so repeated rows are taken alike. A source
+of size 0 has target 0 and is not taken. An empty table gives an empty result. All other
+columns pass through; the result's name can be chosen, and a column of that name is
+replaced.
 """
 
 from __future__ import annotations
@@ -12,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from churnscope.llm.common import WORD, lookup_join, materialize, text_or_empty, unit_hash
+from churnscope.llm.common import WORD, fresh, lookup_join, materialize, text_or_empty, unit_hash
 
 DEFAULT_WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
@@ -51,33 +56,25 @@ def source_targets(sizes: DataFrame, weights=DEFAULT_WEIGHTS, max_repeats: int =
     )
 
 
-def mix_sources(docs: DataFrame, weights=DEFAULT_WEIGHTS, max_repeats: int = MAX_REPEATS, seed: str = SEED) -> DataFrame:
-    """``docs`` with a struct column ``_mix``: size, source_size, target, copies.
+def mix_sources(docs: DataFrame, weights=DEFAULT_WEIGHTS, max_repeats: int = MAX_REPEATS, seed: str = SEED, into: str = "_mix") -> DataFrame:
+    """``docs`` with a struct column ``into``: size, source_size, target, copies.
 
     Sources may be of any size: only (source, size) pairs are summed, with map-side
     partial sums, and the table of targets is joined by ``lookup_join``.
     """
     targets = materialize(source_targets(docs.select("source", word_count(F.col("text")).alias("size")), weights, max_repeats), "targets")
-    keyed = targets.select(
-        F.col("source").isNull().alias("_mix_none"), F.coalesce("source", F.lit("")).alias("_mix_source"),
-        F.struct("source_size", "target").alias("_mix_t"),
-    )
-    rate = F.when(F.col("_mix_t.source_size") > 0, F.least(F.col("_mix_t.target") / F.col("_mix_t.source_size"), F.lit(float(max_repeats)))).otherwise(F.lit(0.0))
+    none, name, of_source = (fresh([*docs.columns, into], n) for n in ("_mix_none", "_mix_source", "_mix_target"))
+    key = F.col("source").isNull().alias(none), F.coalesce("source", F.lit("")).alias(name)
+    mixed = lookup_join(docs.select("*", *key), targets.select(*key, F.struct("source_size", "target").alias(of_source)), [none, name], ["doc_id"])
+    t = F.col(of_source)
+    rate = F.when(t["source_size"] > 0, F.least(t["target"] / t["source_size"], F.lit(float(max_repeats)))).otherwise(F.lit(0.0))
     extra = F.when(unit_hash(F.col("doc_id"), seed) < rate - F.floor(rate), F.lit(1)).otherwise(F.lit(0))
-    mixed = lookup_join(
-        docs.select("*", F.col("source").isNull().alias("_mix_none"), F.coalesce("source", F.lit("")).alias("_mix_source")),
-        keyed, ["_mix_none", "_mix_source"], ["doc_id"],
-    )
-    return mixed.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
-        F.struct(
-            word_count(F.col("text")).alias("size"), F.col("_mix_t.source_size").alias("source_size"), F.col("_mix_t.target").alias("target"),
-            (F.floor(rate) + extra).cast("int").alias("copies"),
-        ).alias("_mix"),
-    )
+    result = F.struct(word_count(F.col("text")).alias("size"), t["source_size"].alias("source_size"), t["target"].alias("target"), (F.floor(rate) + extra).cast("int").alias("copies"))
+    return mixed.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != into.lower()], result.alias(into))
 
 
 def mixing_stage(docs: DataFrame, weights=DEFAULT_WEIGHTS) -> DataFrame:
     """The mix itself: every document as often as it is taken, in its own columns."""
-    times = F.explode(F.sequence(F.lit(1), F.col("_mix.copies")))
-    return mix_sources(docs, weights).where(F.col("_mix.copies") > 0).withColumn("_mix_copy", times).drop("_mix", "_mix_copy")
+    columns, into = docs.columns, fresh(docs.columns, "_mix")
+    taken = mix_sources(docs, weights, into=into).where(F.col(f"{into}.copies") > 0)
+    return taken.withColumn(into, F.explode(F.sequence(F.lit(1), F.col(f"{into}.copies")))).select(*[F.col(f"`{c}`") for c in columns])

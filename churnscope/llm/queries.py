@@ -71,13 +71,16 @@ SELECT rid, {order} AS kind_order, '{kind.name}' AS kind, start, start + len(who
 ) WHERE len(secret) >= {kind.least}{tests}"""
 
 
+_SHARING = secrets.Sharing()
 OP2_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, lang, coalesce(text, '') AS t FROM documents),
 b AS ({" UNION ALL ".join(_kind_sql(i, k) for i, k in enumerate(secrets.KINDS) if k.base)}),
 x AS ({" UNION ALL ".join(_kind_sql(i, k) for i, k in enumerate(secrets.KINDS) if not k.base)}),
 a AS (SELECT * FROM b UNION ALL SELECT * FROM x WHERE NOT EXISTS (
   SELECT 1 FROM b WHERE b.rid = x.rid AND b.start < x.stop AND x.start < b.stop)),
-o AS (SELECT secret, count(DISTINCT coalesce('=' || source, '')) >= {secrets.EXAMPLE_OWNERS} AS is_example FROM a JOIN d USING (rid) GROUP BY secret),
+h AS (SELECT secret, count(DISTINCT coalesce('=' || source, '')) AS owners,
+             count(DISTINCT coalesce('=' || source, '') || '/' || concat_ws('/', source, lang)) AS repos FROM a JOIN d USING (rid) GROUP BY secret),
+o AS (SELECT secret, owners >= {_SHARING.owners} OR (owners >= {_SHARING.few} AND repos >= {_SHARING.repos}) AS is_example FROM h),
 j AS (SELECT a.*, is_example FROM a JOIN o USING (secret) WHERE kind <> 'mixed' OR NOT is_example),
 r AS (SELECT rid, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
              count(*) FILTER (kind = 'hex') AS n_hex, count(*) FILTER (kind = 'mixed') AS n_mixed, count(*) FILTER (is_example) AS n_example,
@@ -147,6 +150,25 @@ def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.url_filter(pages, labels).select("page_id", *[f"_url.{c}" for c in ("host", "path", "rule", "verdict", "mined")])
 
 
+def url_fixed_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op8_urls that SQL can express: host, path, and the fixed rules' verdict."""
+    u = F.col("u")
+    return table(spark, sf_dir, "pages").select("page_id", url_rules.judged_by_rules(F.col("url")).alias("u")).select(
+        "page_id", u["host"].alias("host"), u["path"].alias("path"), u["rule"].alias("rule"), u["base"].alias("base"))
+
+
+_RULES_SQL = ", ".join(f"('{r.host}', '{r.path}', '{r.verdict}')" for r in url_rules.BASE_RULES)
+FIXED_RULES_SQL = f"""
+WITH u AS (SELECT row_number() OVER () AS rid, page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT rid, page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+r AS (SELECT * FROM (VALUES {_RULES_SQL}) AS v(rule_host, rule_path, verdict)),
+m AS (SELECT rid, arg_max(rule_host || rule_path, len(rule_host || rule_path)) AS rule, arg_max(verdict, len(rule_host || rule_path)) AS base
+      FROM p JOIN r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY rid)
+SELECT page_id, host, path, rule, base FROM p LEFT JOIN m USING (rid)
+"""
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
@@ -166,5 +188,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_secrets": op2_secrets, "op3_lm": op3_lm, "op4_ann": op4_ann, "op5_dedup": op5_dedup, "op6_packing": op6_packing, "op7_quality": op7_quality, "op8_urls": op8_urls, "op9_licenses": op9_licenses, "op10_bpe": op10_bpe}
-ORACLES = {"op1_mixing": OP1_SQL, "op2_secrets": OP2_SQL, "op7_quality": OP7_SQL}
+QUERIES = {"op1_mixing": op1_mixing, "op2_secrets": op2_secrets, "op3_lm": op3_lm, "op4_ann": op4_ann, "op5_dedup": op5_dedup, "op6_packing": op6_packing, "op7_quality": op7_quality, "op8_urls": op8_urls, "url_fixed_rules": url_fixed_rules, "op9_licenses": op9_licenses, "op10_bpe": op10_bpe}
+ORACLES = {"op1_mixing": OP1_SQL, "op2_secrets": OP2_SQL, "op7_quality": OP7_SQL, "url_fixed_rules": FIXED_RULES_SQL}

@@ -2,12 +2,16 @@
 
 Candidates are found by built-in regular expressions in whole texts. Their hashes
 are counted by distinct repositories and owners over the corpus: a value that many
-owners hold is a copied example, one that few hold looks live. Base spans always
-stand; looser candidates become spans only where they look live.
-
-A null text is empty. Spans count code points, ends exclusive. Rows with equal
-doc_id and text are treated alike, extra columns pass through, and texts of any
-length are scanned whole.
+owners hold, or a few owners in many repositories, is a copied example; one that keeps
+to its owner looks live, in however many of the owner's repositories it is. Base spans
+always stand; looser candidates become spans only where they look live.
+
+Defined results: a null or empty text has no spans. Spans count code points, ends
+exclusive; those that start together go in the order of kinds. Rows with equal doc_id
+and text are treated alike and counted once per owner; a null owner is an owner, a null
+doc_id an id. Texts of any length are scanned whole, in time in proportion to their
+length and matches. An empty table gives an empty result. All other columns pass
+through; the result's name can be chosen, and a column of that name is replaced.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from churnscope.llm.common import let, materialize, text_or_empty
+from churnscope.llm.common import fresh, let, materialize, running, spread_join, text_or_empty
 
 
 @dataclass(frozen=True)
@@ -39,8 +43,19 @@ KINDS = (
     Kind("hex", r"([0-9a-f]{24,})", 1, 24),
     Kind("mixed", r"([A-Za-z0-9+/_-]{24,})", 1, 24, needs=("[0-9]", "[A-Z]", "[a-z]"), base=False),
 )
-#: A value that this many owners or more hold is an example.
-EXAMPLE_OWNERS = 3
+
+
+@dataclass(frozen=True)
+class Sharing:
+    """A value is an example if ``owners`` or more hold it, or if ``few`` or more hold it in ``repos`` repositories."""
+
+    owners: int = 3
+    few: int = 2
+    repos: int = 4
+
+    def is_example(self, owners: Column, repos: Column) -> Column:
+        return (owners >= self.owners) | ((owners >= self.few) & (repos >= self.repos))
+
 
 _SPAN = "array<struct<start:bigint,kind_order:int,kind:string,stop:bigint,secret:string>>"
 
@@ -54,15 +69,10 @@ def _spans_of_kind(text: Column, order: int, kind: Kind) -> Column:
     rx = F.lit(kind.pattern)
 
     def located(gaps: Column, whole: Column, secrets: Column) -> Column:
-        steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(whole)), whole, lambda g, m: F.struct(
-            F.char_length(g).cast("long").alias("g"), F.char_length(m).cast("long").alias("m")))
-        start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,stop:bigint>>").alias("found"))
-        places = F.aggregate(steps, start, lambda acc, x: F.struct(
-            (acc["at"] + x["g"] + x["m"]).alias("at"),
-            F.concat(acc["found"], F.array(F.struct((acc["at"] + x["g"]).alias("start"), (acc["at"] + x["g"] + x["m"]).alias("stop")))).alias("found"),
-        ))["found"]
-        spans = F.zip_with(places, secrets, lambda p, s: F.struct(
-            p["start"].alias("start"), F.lit(order).alias("kind_order"), F.lit(kind.name).alias("kind"), p["stop"].alias("stop"), s.alias("secret")))
+        sizes = F.zip_with(F.slice(gaps, F.lit(1), F.size(whole)), whole, lambda g, m: (F.char_length(g) + F.char_length(m)).cast("bigint"))
+        ends = running(sizes, lambda a, b: a + b, 0)
+        spans = F.zip_with(F.arrays_zip(ends.alias("stop"), whole.alias("m")), secrets, lambda p, s: F.struct(
+            (p["stop"] - F.char_length(p["m"])).alias("start"), F.lit(order).alias("kind_order"), F.lit(kind.name).alias("kind"), p["stop"].alias("stop"), s.alias("secret")))
 
         def stands(x: Column) -> Column:
             test = F.char_length(x["secret"]) >= kind.least
@@ -76,36 +86,48 @@ def _spans_of_kind(text: Column, order: int, kind: Kind) -> Column:
     return F.when(text.rlike(kind.pattern), found).otherwise(F.array().cast(_SPAN))
 
 
+def _outside(spans: Column, base_kinds: int) -> Column:
+    """Spans in order, looser ones only if they touch no base span.
+
+    A looser span touches one that began before it if the furthest base end so far lies
+    behind its start, and a later one if the next base start lies before its end.
+    """
+    is_base = lambda x: x["kind_order"] < base_kinds
+    far = 1 << 62
+
+    def kept(s: Column) -> Column:
+        ends = running(F.transform(s, lambda x: F.when(is_base(x), x["stop"]).otherwise(0)), F.greatest, 0)
+        starts = F.reverse(running(F.reverse(F.transform(s, lambda x: F.when(is_base(x), x["start"]).otherwise(far))), F.least, far))
+        return let(ends, lambda e: let(starts, lambda b: F.filter(s, lambda x, i: is_base(x) | (
+            (F.get(e, i) <= x["start"]) & (F.get(b, i) >= x["stop"])))))
+
+    return let(F.array_sort(spans), lambda s: F.when(F.exists(s, lambda x: ~is_base(x)), kept(s)).otherwise(s))
+
+
 def candidate_spans(text: Column, kinds=KINDS) -> Column:
     """All candidates of a text in order of start, then kind; looser ones only outside base spans."""
-    def joined(t: Column) -> Column:
-        base = F.concat(*[_spans_of_kind(t, i, k) for i, k in enumerate(kinds) if k.base])
-        loose = [_spans_of_kind(t, i, k) for i, k in enumerate(kinds) if not k.base]
-        if not loose:
-            return F.array_sort(base)
-        return let(base, lambda b: let(F.concat(*loose), lambda x: F.array_sort(F.concat(b, F.filter(
-            x, lambda s: ~F.exists(b, lambda o: (o["start"] < s["stop"]) & (s["start"] < o["stop"])))))))
+    ordered = sorted(kinds, key=lambda k: not k.base)
+    return let(text_or_empty(text), lambda t: _outside(
+        F.concat(*[_spans_of_kind(t, i, k) for i, k in enumerate(ordered)]), sum(k.base for k in ordered)))
 
-    return let(text_or_empty(text), joined)
 
-
-def ownership(candidates: DataFrame, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
-    """Per secret hash: distinct owners and repositories, and whether it is an example.
+def ownership(candidates: DataFrame, sharing: Sharing = Sharing()) -> DataFrame:
+    """Per secret hash: rows, distinct owners and repositories, and whether it is an example.
 
     First distinct (hash, owner, repository) with partial aggregation, so that a
     value copied into a third of all rows is a few rows before any shuffle by hash.
     """
-    distinct = candidates.groupBy("secret_hash", "owner", "repo").count()
-    owners = distinct.groupBy("secret_hash", "owner").agg(F.count("*").alias("repos"))
-    return owners.groupBy("secret_hash").agg(F.count("*").alias("n_owners"), F.sum("repos").alias("n_repos")).withColumn(
-        "is_example", F.col("n_owners") >= example_owners)
+    distinct = candidates.groupBy("secret_hash", "owner", "repo").agg(F.count("*").alias("n"))
+    owners = distinct.groupBy("secret_hash", "owner").agg(F.count("*").alias("repos"), F.sum("n").alias("n"))
+    return owners.groupBy("secret_hash").agg(F.count("*").alias("n_owners"), F.sum("repos").alias("n_repos"), F.sum("n").alias("_n")).withColumn(
+        "is_example", sharing.is_example(F.col("n_owners"), F.col("n_repos")))
 
 
-def scan_secrets(docs: DataFrame, owner: Column, repo: Column, kinds=KINDS, example_owners: int = EXAMPLE_OWNERS, salts: int = 32) -> DataFrame:
-    """``docs`` with ``_secrets``: an array of (start, kind_order, kind, stop, is_example).
+def scan_secrets(docs: DataFrame, owner: Column, repo: Column, kinds=KINDS, sharing: Sharing = Sharing(), into: str = "_secrets") -> DataFrame:
+    """``docs`` with ``into``: an array of (start, kind_order, kind, stop, is_example).
 
     Only rows with candidates take part in the counting; they go by keys of document
-    and text hash. Joining the counts back is salted by document.
+    and text hash. Rows of hot values are spread when the counts are joined back.
     """
     key = (F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.xxhash64(text_or_empty(F.col("text"))))
     found = materialize(
@@ -113,19 +135,17 @@ def scan_secrets(docs: DataFrame, owner: Column, repo: Column, kinds=KINDS, exam
                     candidate_spans(F.col("text"), kinds).alias("spans")).where(F.size("spans") > 0), "candidates")
     each = found.select("_doc", "_text", "owner", "repo", F.explode("spans").alias("s")).select(
         "_doc", "_text", "owner", "repo", "s.start", "s.kind_order", "s.kind", "s.stop",
-        F.xxhash64("s.secret").alias("secret_hash"), F.octet_length("s.secret").alias("secret_size"))
-    each = each.withColumn("secret_hash", F.struct("secret_hash", "secret_size"))
-    held = ownership(each, example_owners).select("secret_hash", "is_example", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    judged = each.select("_doc", "_text", "start", "kind_order", "kind", "stop", "secret_hash", F.pmod(F.xxhash64("_doc", "_text"), F.lit(salts)).cast("int").alias("salt")).distinct().join(
-        held, ["secret_hash", "salt"])
+        F.struct(F.xxhash64("s.secret").alias("hash"), F.octet_length("s.secret").alias("size")).alias("secret_hash"))
+    held = materialize(ownership(each, sharing).select("secret_hash", "is_example", "_n"), "held")
+    judged = spread_join(each.drop("owner", "repo").distinct(), held.drop("_n"), "secret_hash", "_text", counts=held.select("secret_hash", "_n"))
     loose = [k.name for k in kinds if not k.base]
     stands = ~F.col("kind").isin(*loose) | ~F.col("is_example") if loose else F.lit(True)
-    spans = judged.where(stands).groupBy("_doc", "_text").agg(
-        F.array_sort(F.collect_list(F.struct("start", "kind_order", "kind", "stop", "is_example"))).alias("_secrets"))
+    a, b, spans_of = (fresh(docs.columns, n) for n in ("_span_doc", "_span_text", "_spans"))
+    spans = judged.where(stands).groupBy(F.col("_doc").alias(a), F.col("_text").alias(b)).agg(
+        F.array_sort(F.collect_list(F.struct("start", "kind_order", "kind", "stop", "is_example"))).alias(spans_of))
     empty = F.array().cast("array<struct<start:bigint,kind_order:int,kind:string,stop:bigint,is_example:boolean>>")
-    spans = materialize(spans, "spans").withColumnsRenamed({"_doc": "_sd", "_text": "_st"})
-    return docs.join(spans, (key[0] == F.col("_sd")) & (key[1] == F.col("_st")), "left").drop("_sd", "_st").withColumn(
-        "_secrets", F.coalesce("_secrets", empty))
+    return docs.join(materialize(spans, "spans"), (key[0] == F.col(a)) & (key[1] == F.col(b)), "left").drop(a, b).withColumn(
+        into, F.coalesce(F.col(spans_of), empty)).drop(spans_of)
 
 
 def listed(spans: Column) -> Column:
@@ -133,26 +153,35 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")
 
 
-def redacted(text: Column, spans: Column) -> Column:
-    """The text with each run of overlapping spans replaced by one mark."""
-    def cut(t: Column, s: Column) -> Column:
-        start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+def redacted(text: Column, spans: Column, block: int = 256) -> Column:
+    """The text with each run of overlapping spans replaced by one mark.
+
+    The text is cut in two steps, first for each ``block`` spans: taking a substring
+    walks from the beginning of the string.
+    """
+    cut = lambda t, start, stop: F.substring(t, (start + 1).cast("int"), (stop - start).cast("int"))
+    mark = lambda x: F.concat(F.lit("<"), F.when(x["is_example"], F.lit("example")).otherwise(F.lit("secret")), F.lit(">"))
+
+    def pieces(t: Column, s: Column, ends: Column) -> Column:
+        before = lambda i: F.coalesce(F.get(ends, i - 1), F.lit(0).cast("bigint"))
 
-        def step(acc: Column, x: Column) -> Column:
-            mark = F.concat(F.lit("<"), F.when(x["is_example"], F.lit("example")).otherwise(F.lit("secret")), F.lit(">"))
-            gap = F.substring(t, (acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int"))
-            new = F.concat(acc["out"], gap, mark)
-            return F.struct(F.greatest(acc["at"], x["stop"]).alias("at"), F.when(x["start"] >= acc["at"], new).otherwise(acc["out"]).alias("out"))
+        def of_block(k: Column) -> Column:
+            first, last = k * block, F.least((k + 1) * block, F.size(s)) - 1
+            return let(before(first), lambda at: let(cut(t, at, F.get(ends, last)), lambda part: F.array_join(F.transform(
+                F.sequence(first, last), lambda i: let(F.get(s, i), lambda x: F.when(x["start"] < before(i), F.lit("")).otherwise(
+                    F.concat(cut(part, before(i) - at, x["start"] - at), mark(x))))), "")))
 
-        return F.aggregate(s, start, step, lambda acc: F.concat(acc["out"], F.substring(t, (acc["at"] + 1).cast("int"), F.lit(2**31 - 1))))
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(s) - 1) / block).cast("int")), of_block)
+        return F.concat(F.array_join(blocks, ""), F.substring(t, (F.get(ends, F.size(s) - 1) + 1).cast("int"), F.lit(2**31 - 1)))
 
-    return F.when(F.size(spans) == 0, text).otherwise(let(text_or_empty(text), lambda t: let(spans, lambda s: cut(t, s))))
+    return F.when(F.size(spans) == 0, text).otherwise(let(text_or_empty(text), lambda t: let(spans, lambda s: let(
+        running(F.transform(s, lambda x: x["stop"]), F.greatest, 0), lambda ends: pieces(t, s, ends)))))
 
 
 def secrets_stage(docs: DataFrame) -> DataFrame:
     """All documents, with secrets taken out of their texts; n_chars follows if it is there."""
-    columns = docs.columns
-    clean = scan_secrets(docs, F.col("source"), F.concat_ws("/", "source", "lang")).withColumn("text", redacted(F.col("text"), F.col("_secrets")))
+    columns, found = docs.columns, fresh(docs.columns, "_secrets")
+    clean = scan_secrets(docs, F.col("source"), F.concat_ws("/", "source", "lang"), into=found).withColumn("text", redacted(F.col("text"), F.col(found)))
     if "n_chars" in columns:
-        clean = clean.withColumn("n_chars", F.when(F.size("_secrets") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
+        clean = clean.withColumn("n_chars", F.when(F.size(found) > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
     return clean.select(*[F.col(f"`{c}`") for c in columns])

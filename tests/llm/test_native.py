@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 from churnscope.llm import mixing, quality, secrets
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _salt string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _salt string, _mix string, _MIX_source int, _mix_none string, _mix_target int, _secrets string, _spans int, _span_doc string, _span_text string"
 
 
 def docs(spark, texts, sources=None):
-    rows = [(i, t, "en", (sources or ["s"])[i % len(sources or ["s"])], len(t or ""), "clash") for i, t in enumerate(texts)]
+    rows = [(i, t, "en", (sources or ["s"])[i % len(sources or ["s"])], len(t or ""), "clash", "clash", 1, "clash", 2, "clash", 3, "clash", "clash") for i, t in enumerate(texts)]
     return spark.createDataFrame(rows, SCHEMA)
 
 
@@ -76,9 +76,14 @@ def test_mixing_targets_and_copies(spark):
     for s in order:
         taken = sum(x.size * x.copies for x in got if x.source == s)
         assert taken == pytest.approx(share.get(s, 3 * sizes[s]), rel=0.25)
-    staged = mixing.mixing_stage(docs(spark, texts, sources))
-    assert staged.count() == sum(x.copies for x in got) and "_mix" not in staged.columns
-    assert mixing.mix_sources(docs(spark, [])).count() == 0
+    d = docs(spark, texts, sources)
+    staged = mixing.mixing_stage(d)
+    assert staged.count() == sum(x.copies for x in got) and staged.columns == d.columns and staged.first()._mix == "clash"
+    assert mixing.mix_sources(docs(spark, [])).count() == 0 and mixing.mixing_stage(docs(spark, [])).count() == 0
+    twice = mixing.mix_sources(d.unionByName(d)).select("doc_id", "source", "text", "_mix.copies").distinct()
+    assert twice.count() == len(texts)  # repeated rows are taken alike
+    nobody = mixing.mixing_stage(docs(spark, [None, ""], [None, "a"]))
+    assert nobody.count() == 0
 
 
 KINDS = {
@@ -108,7 +113,57 @@ def test_secret_spans_and_redaction(spark):
     clean = {r.doc_id: r for r in secrets.secrets_stage(d).collect()}
     assert clean[3].text == "é日 <secret> x"[:4] + clean[3].text[4:] and live not in clean[3].text and clean[3].text.startswith("é日 <secret>")
     assert clean[8].text == "k <example> k" and clean[5].text == "token=ab" and clean[0].text is None and clean[8].n_chars == len("k <example> k")
-    assert secrets.scan_secrets(docs(spark, []), F.col("source"), F.col("source")).count() == 0
+    assert secrets.scan_secrets(docs(spark, []), F.col("source"), F.col("source")).count() == 0 and secrets.secrets_stage(docs(spark, [])).count() == 0
+    assert secrets.secrets_stage(d).columns == d.columns and clean[3]._secrets == "clash"
+
+
+def test_secrets_shared_by_few_owners_in_many_repositories(spark):
+    value = "AKIA" + "Q1W2E3R4T5Y6U7I8"
+    rows = [(i, f"x {value if i < 4 else value[::-1].replace('8', 'AKIA8')}{'9' * 12} y", lang, source) for i, (lang, source) in enumerate(
+        [("a", "s"), ("b", "s"), ("a", "t"), ("b", "t"), ("a", "s"), ("b", "s"), ("c", "s"), ("d", "s")])]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = secrets.scan_secrets(d, F.col("source"), F.concat_ws("/", "source", "lang"))
+    judged = {r.doc_id: {s["is_example"] for s in r._secrets} for r in got.collect()}
+    assert [judged[i] for i in range(4)] == [{True}] * 4  # two owners, four repositories
+    assert [judged[i] for i in range(4, 8)] == [{False}] * 4  # one owner, four repositories
+
+
+def test_many_secrets_in_one_text_take_time_in_proportion(spark):
+    import time
+
+    r = random.Random(7)
+    key = lambda: "".join(r.choice("abcdef0123456789") for _ in range(28))
+    text = " ".join(f"{key()} Ab1/{key().upper()}c {'AKIA' + 'Z' * 16 + ' ' if i % 3 == 0 else ''}é" for i in range(12_000))
+    began = time.time()
+    row = secrets.secrets_stage(docs(spark, [text])).collect()[0]
+    spans = secrets.scan_secrets(docs(spark, [text]), F.col("source"), F.col("source")).collect()[0]._secrets
+    assert time.time() - began < 60
+    base = [(x["start"], x["kind_order"], x["kind"], x["stop"]) for x in spans if x["kind"] != "mixed"]
+    want = brute_spans(text)
+    assert base == want and any(x["kind"] == "mixed" for x in spans)
+    taken = {(a, b) for a, _, _, b in want}
+    loose = [(m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9+/_-]{24,}", text) if all(re.search(c, m[0]) for c in ("[0-9]", "[A-Z]", "[a-z]"))]
+    hit = [any(a < e and s < b for a, b in taken if abs(a - s) < 200) for s, e in loose]
+    assert [(x["start"], x["stop"]) for x in spans if x["kind"] == "mixed"] == [x for x, h in zip(loose, hit) if not h]
+    out, at = [], 0
+    for x in spans:
+        if x["start"] >= at:
+            out += [text[at : x["start"]], "<secret>"]
+        at = max(at, x["stop"])
+    assert row.text == "".join(out) + text[at:]
+
+
+def test_running_totals(spark):
+    from churnscope.llm.common import running
+
+    rows = [(i, [((i * 37 + k) * 7919) % 101 for k in range(n)]) for i, n in enumerate((0, 1, 2, 255, 256, 257, 700))]
+    d = spark.createDataFrame(rows, "i int, v array<bigint>")
+    for got in d.select("v", running(F.col("v"), lambda a, b: a + b, 0).alias("s"), running(F.col("v"), F.greatest, 0).alias("m")).collect():
+        total = most = 0
+        for x, s, m in zip(got.v, got.s, got.m):
+            total, most = total + x, max(most, x)
+            assert (s, m) == (total, most)
+        assert len(got.s) == len(got.v)
 
 
 def test_unit_hash_is_uniform(spark):

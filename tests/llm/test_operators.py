@@ -144,12 +144,62 @@ def test_url_rules(spark):
     assert got[10].host == "a"
 
 
+def brute_rules(rows, o):
+    """Rules by counting all token sets up to o.max_tokens; rows of (tokens, verdict)."""
+    from itertools import combinations
+
+    n, verdicts, sets = len(rows), Counter(v for _, v in rows), Counter()
+    for tokens, v in rows:
+        for k in range(1, o.max_tokens + 1):
+            for c in combinations(sorted(tokens), k):
+                sets[c] += 1
+                sets[c, v] += 1
+    out = []
+    for c in [c for c in sets if not isinstance(c[0], tuple)]:
+        for v in verdicts:
+            with_v = sets[c, v]
+            if with_v >= math.ceil(o.min_support * n) and with_v / sets[c] >= o.min_confidence and with_v / sets[c] / (verdicts[v] / n) >= o.min_lift:
+                out.append((c, v, with_v / sets[c]))
+    kept = []
+    for c, v, conf in sorted(out, key=lambda x: (len(x[0]), -x[2], x[0])):
+        if not any(w == v and set(d) <= set(c) and x >= conf for d, w, x in kept):
+            kept.append((c, v, conf))
+    return kept
+
+
 def test_url_rules_are_mined(spark):
-    rows = [(i, f"http://{'spam-farm' if i % 4 == 0 else f'site{i % 9}'}.info/{'buy' if i % 4 == 0 else 'read'}/{i}") for i in range(400)]
-    pages = spark.createDataFrame(rows, "page_id long, url string")
-    labels = pages.where("page_id < 300").select("page_id", F.when(F.col("page_id") % 4 == 0, "block").otherwise("allow").alias("verdict"))
-    got = {r.page_id: r._url for r in url_rules.url_filter(pages, labels).collect()}
-    assert all(got[i].verdict == ("block" if i % 4 == 0 else "allow") for i in range(300, 400)) and got[396].mined
+    r = random.Random(14)
+    rows = []
+    for i in range(600):
+        spam, odd = i % 4 == 0, r.random() < 0.03
+        host = "spam-farm" if spam else f"site{i % 9}"
+        keys = "&".join(f"{k}=1" for k in r.sample("abcdefgh", 4))
+        rows.append((i, f"http://{host}.info/{'buy' if spam != odd else 'read'}/{r.choice(['x', 'y'])}/{i}?{keys}"))
+    rows += [(600, "http://q.info/" + "deep/" * 20_000), (601, None), (5, rows[5][1])]
+    pages = spark.createDataFrame([(*x, "clash", "clash", 1) for x in rows], "page_id long, url string, _parsed string, _mined string, tokens int")
+    labels = pages.where("page_id < 500").select("page_id", F.when(F.col("page_id") % 4 == 0, "block").otherwise("allow").alias("verdict"))
+    options = url_rules.MiningOptions(min_support=0.02, telling=30)  # all tokens
+    judged = url_rules.url_filter(pages, labels.unionByName(labels.limit(3)), options=options)
+    got = {x.page_id: x._url for x in judged.collect()}
+    assert judged.columns == [*pages.columns, "_url"] and judged.where("page_id = 5").count() == 2
+    # the brute-force rules, matched one by one
+    tokens = {x.page_id: x.t for x in pages.select("page_id", url_rules.judged_by_rules(F.col("url"))["tokens"].alias("t")).collect()}
+    rules = brute_rules([(tokens[i], "block" if i % 4 == 0 else "allow") for i, *_ in rows if i < 500], options)
+    assert rules and any(len(c) > 1 for c, _, _ in rules)
+    for i in got:
+        hits = [x for x in rules if set(x[0]) <= set(tokens[i])]
+        best = max(hits, key=lambda x: (x[2], len(x[0]))) if hits else None
+        assert got[i].verdict == (best[1] if best else "allow"), i
+        assert (got[i].mined is None) == (best is None) and (best is None or (tuple(got[i].mined.split(" ")), got[i].verdict, best[2]) in [x for x in rules])
+    # filters on the result are answered, the default options bound what is mined
+    for options in (options, url_rules.MiningOptions(telling=4)):
+        judged = url_rules.url_filter(pages, labels, options=options)
+        assert judged.where("_url.verdict = 'block'").count() == sum(x._url.verdict == "block" for x in judged.collect()) > 100
+        assert judged.where("_url.mined IS NOT NULL").count() > 100
+    none = labels.limit(0)
+    assert {x._url.verdict for x in url_rules.url_filter(pages, none).collect()} == {"allow"} and url_rules.url_filter(pages.limit(0), none).count() == 0
+    both = labels.withColumn("verdict", F.lit("allow")).unionByName(labels.where("page_id % 4 = 0"))  # contradicting labels block
+    assert url_rules.url_filter(pages, both).where("_url.verdict = 'block'").count() > 100
 
 
 def test_licenses(spark):
