@@ -35,15 +35,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, which cuts lineage.
+def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder, in folders by a column's values if one is named, and read it back.
 
-    A lost executor then costs a re-read of Parquet, not a recomputation.
-    ``drop_scratch`` deletes what a session has written.
+    That cuts lineage: a lost executor then costs a re-read of Parquet, not a
+    recomputation. ``drop_scratch`` deletes what a session has written.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/churnscope/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write if by is None else df.write.partitionBy(by)).parquet(path)
     _scratch.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 

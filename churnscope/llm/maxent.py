@@ -1,19 +1,27 @@
 """Language-model scoring with a hashed maximum-entropy model.
 
-The next token is predicted in two steps: its class, then the word in its class.
-Both are softmax models whose weights lie in one hashed vector, over a bias, the
-last token (bigram), the class of the token before it (skip) and both together.
-Frequent tokens have classes of their own; all others share one class, in which a
-token's chance follows its smoothed count.
-
-Training gathers n-gram counts of the whole training part, then makes full-batch
-gradient steps: each partition of the counts yields its part of the gradient, and
-sums by weight go to the driver (at most ``weights`` of them). Counts of frequent
-tokens, whose number is bounded because each is at least 1/``frequent`` of all
-tokens, are broadcast; counts of the others are joined by a shuffle.
-
-Null texts are empty and consist of the end token. A null doc_id hashes as the empty
-string. Repeated rows count repeatedly; an empty table gives an empty result.
+The next token is predicted in three steps of 16 ways each: its class, its class within
+that, and the leaf there. Each step is a softmax whose weights lie in a hashed table, over
+a bias, the last token (bigram), the one before it (skip) and both together; a feature's
+16 weights lie side by side. The ``words`` commonest tokens have leaves of their own. All
+others, those never seen included, are dealt by hash to the ``buckets`` other leaves, and
+within a bucket a token's chance follows its smoothed count. So every token has n-gram
+and skip features, as what is predicted and as what it is predicted from.
+
+Texts are hashed to tokens once. Training goes once over all training texts, in ``steps``
+parts by a hash of their ids: each task of a part counts how often features were seen
+with outcomes and how often the model expects them, sums by weight go to the driver (at
+most as many as there are weights), and the weights move along the gradient, each by the
+share in which both counts differ. Counts of frequent tokens, whose number is bounded
+because each is at least 1/``frequent`` of all tokens, are broadcast; counts of the
+others are joined by a shuffle.
+
+Defined results: null or empty texts consist of the end token. A null doc_id hashes as
+the empty string. Repeated rows count repeatedly and score alike. A text of any length is
+scored whole, in parts of bounded size. An empty table gives an empty result. Other
+columns, whatever their names, aren't read. Tokens are told apart by 64-bit hashes; that
+the end token or two words agree in all bits is left to chance (under 1e-7 for a million
+million pairs of words).
 """
 
 from __future__ import annotations
@@ -29,223 +37,260 @@ from pyspark.sql import functions as F
 from churnscope.llm.common import bound_batches, materialize
 from churnscope.llm.dedup import Shingler
 
-#: The end token; a word can't have a blank, so no word has its hash by design.
+#: The end token's hash, and what stands for tokens before the first.
 END = np.uint64(0x0A0A0A0A0A0A0A0A)
+START = 1 << 12
+_WAYS = 16
 
 
 @dataclass(frozen=True)
 class MaxentOptions:
-    classes: int = 12
-    class_size: int = 16
-    contexts: int = 256
-    weights: int = 1 << 17
+    """``words`` and ``buckets`` share the 4096 leaves. ``rows``: rows of 16 weights of the
+    bigram, skip and joint features. ``prior``: counts that a weight needs to move."""
+
+    words: int = 3072
+    buckets: int = 1024
+    rows: tuple[int, int, int] = (1 << 16, 1 << 15, 1 << 15)
     frequent: int = 1 << 17
-    steps: int = 12
-    rate: float = 0.4
+    steps: int = 8
+    rate: float = 0.8
+    prior: float = 8.0
     smoothing: float = 0.1
+    chunk: int = 1 << 16
 
     @property
-    def words(self) -> int:
-        return self.classes * self.class_size
+    def table(self) -> int:
+        return 1 + _WAYS + _WAYS**2 + sum(self.rows)
 
 
 def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 10 == 0
 
 
-def _tokens(texts, shingler: Shingler) -> tuple[np.ndarray, np.ndarray]:
-    """Token hashes of a batch, each text closed by the end token, and where texts end."""
-    parts = []
-    for t in texts:
-        parts += [shingler.hashes(t), np.array([END])]
-    sizes = np.array([len(x) + 1 for x in parts[::2]], dtype=np.int64)
-    return (np.concatenate(parts) if parts else np.empty(0, np.uint64)), np.cumsum(sizes)
+def _tokenize(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Texts to packed token hashes, each text closed by the end token."""
+    shingler = Shingler(1)
+    for batch in batches:
+        packed = [np.append(shingler.hashes(None if t is pd.NA else t), END).tobytes() for t in batch["text"].array]
+        yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "held_out": batch["held_out"], "part": batch["part"], "tokens": packed})
+
+
+def _joined(packed) -> tuple[np.ndarray, np.ndarray]:
+    """Token hashes of a batch and where its texts end."""
+    return np.frombuffer(b"".join(packed), dtype=np.int64), np.cumsum([len(x) // 8 for x in packed], dtype=np.int64)
 
 
 def _counter(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    shingler = Shingler(1)
     for batch in batches:
-        token, n = np.unique(_tokens(batch["text"].array, shingler)[0].view(np.int64), return_counts=True)
+        token, n = np.unique(_joined(batch["tokens"].array)[0], return_counts=True)
         yield pd.DataFrame({"token": token, "n": n})
 
 
 class Vocabulary:
-    """Frequent tokens by hash, with their counts and the ids of those that have classes."""
+    """Frequent tokens by hash, with their counts and leaves, and the buckets' totals."""
 
     def __init__(self, tokens: np.ndarray, counts: np.ndarray, total: int, distinct: int, options: MaxentOptions):
         order = np.argsort(tokens)
-        self.tokens, self.counts = tokens[order], counts[order]
-        self.total, self.distinct, self.options = total, distinct, options
-        top = np.lexsort((self.tokens, -self.counts))[: options.words]
-        self.ids = np.full(len(tokens), options.words, dtype=np.int64)
-        self.ids[top] = np.arange(len(top))
-        self.word_counts = np.zeros(options.words)
-        self.word_counts[: len(top)] = self.counts[top]
-        s = options.smoothing
-        self.base_total = total + s * (distinct + 1)
-        self.rest_total = max(total - int(self.word_counts.sum()), 0) + s * (distinct - len(top) + 1)
+        self.tokens, self.counts, self.options = tokens[order], counts[order], options
+        self.total, self.distinct = total, distinct
+        self.top = np.lexsort((self.tokens, -self.counts))[: options.words]
+        self.leaves = options.words + self.tokens % options.buckets
+        self.leaves[self.top] = np.arange(len(self.top))
+        self.base_total = total + options.smoothing * (distinct + 1)
+        self.bucket_counts, self.bucket_totals = np.zeros(options.buckets), np.ones(options.buckets)
+
+    def fill_buckets(self, buckets: np.ndarray, counts: np.ndarray, distinct: np.ndarray) -> None:
+        """What tokens without a leaf of their own add up to in each bucket."""
+        self.bucket_counts[buckets] = counts
+        sizes = np.zeros(self.options.buckets)
+        sizes[buckets] = distinct
+        self.bucket_totals = self.bucket_counts + self.options.smoothing * (sizes + 1)
 
     def find(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(found, counts, ids); a token that isn't found has count 0 and the shared id."""
+        """(found, counts, leaves); a token that isn't found has count 0 and a bucket."""
+        other = self.options.words + tokens % self.options.buckets
         if not len(self.tokens):
-            return np.zeros(len(tokens), bool), np.zeros(len(tokens), np.int64), np.full(len(tokens), self.options.words)
+            return np.zeros(len(tokens), bool), np.zeros(len(tokens), np.int64), other
         at = np.minimum(np.searchsorted(self.tokens, tokens), len(self.tokens) - 1)
         found = self.tokens[at] == tokens
-        return found, np.where(found, self.counts[at], 0), np.where(found, self.ids[at], self.options.words)
-
-    def contexts(self, tokens: np.ndarray, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Per token: class of the last but one, and the last token or its bucket, as one number."""
-        o = self.options
-        start, buckets = o.words, o.contexts - o.words - 1
-        last = np.where(ids < o.words, ids, start + 1 + (tokens.view(np.uint64) % np.uint64(buckets)).astype(np.int64))
-        kind = np.where(ids < o.words, ids // o.class_size, o.classes)
-        one, two = np.roll(last, 1), np.roll(kind, 2)
-        first = np.concatenate(([0], ends[:-1]))
-        one[first] = start
-        two[first] = o.classes + 1
-        second = first[(ends - first) > 1] + 1
-        two[second] = o.classes + 1
-        return two * o.contexts + one
-
-
-def _hashed(feature: np.ndarray, output: np.ndarray, size: int) -> np.ndarray:
+        return found, np.where(found, self.counts[at], 0), np.where(found, self.leaves[at], other)
+
+    def leaf_counts(self) -> np.ndarray:
+        seen = np.zeros(self.options.words + self.options.buckets)
+        seen[: len(self.top)] = self.counts[self.top]
+        seen[self.options.words :] = self.bucket_counts
+        return seen
+
+
+def contexts(leaves: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The leaves of the last token and of the one before, for each token."""
+    one, two = np.roll(leaves, 1), np.roll(leaves, 2)
+    first = np.concatenate(([0], ends[:-1])) if len(ends) else ends
+    one[first] = two[first] = START
+    two[first[(ends - first) > 1] + 1] = START
+    return one, two
+
+
+def _hash(x: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        x = feature[..., None].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + output.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+        x = x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return ((x ^ (x >> np.uint64(32))) % np.uint64(size)).astype(np.int64)
+    return x ^ (x >> np.uint64(32))
 
 
 class Model:
-    """Weights of the two softmax levels; outputs are the classes, then the words."""
+    """Rows of 16 weights: one for each node of the tree, then the hashed features."""
 
     def __init__(self, weights: np.ndarray, options: MaxentOptions):
         self.w, self.o = weights, options
 
-    def places(self, contexts: np.ndarray) -> np.ndarray:
-        """[context, feature, output] -> place in the weight vector."""
-        o = self.o
-        one, two = contexts % o.contexts, contexts // o.contexts
-        features = np.stack([np.zeros_like(one), 1 + one, 1 + o.contexts + two, 1 + o.contexts + 64 + contexts], axis=1)
-        return _hashed(features, np.arange(o.classes + 1 + o.words), o.weights)
-
-    def log_chances(self, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Places, log P(class | context), log P(word | class, context) as [context, class, word]."""
-        o, at = self.o, self.places(contexts)
-        logits = self.w[at].sum(axis=1)
-        soft = lambda x: (y := x - x.max(axis=-1, keepdims=True)) - np.log(np.exp(y).sum(axis=-1, keepdims=True))
-        return at, soft(logits[:, : o.classes + 1]), soft(logits[:, o.classes + 1 :].reshape(-1, o.classes, o.class_size))
-
-    def table(self, contexts: np.ndarray) -> np.ndarray:
-        """log10 P(id | context), the last id being all tokens without a class of their own."""
-        _, by_class, by_word = self.log_chances(contexts)
-        words = (by_class[:, : self.o.classes, None] + by_word).reshape(len(contexts), -1)
-        return np.concatenate([words, by_class[:, -1:]], axis=1) / np.log(10)
-
-    def gradient(self, contexts: np.ndarray, seen: np.ndarray) -> np.ndarray:
-        """d log-likelihood / d weights of counts seen[context, id]."""
-        o = self.o
-        at, by_class, by_word = self.log_chances(contexts)
-        words = seen[:, :-1].reshape(-1, o.classes, o.class_size)
-        classes = np.concatenate([words.sum(axis=2), seen[:, -1:]], axis=1)
-        d_class = classes - classes.sum(axis=1, keepdims=True) * np.exp(by_class)
-        d_word = words - words.sum(axis=2, keepdims=True) * np.exp(by_word)
-        d = np.concatenate([d_class, d_word.reshape(len(contexts), -1)], axis=1)
-        return np.bincount(at.ravel(), np.repeat(d[:, None, :], at.shape[1], axis=1).ravel(), minlength=o.weights)
+    def places(self, leaf: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows [level, feature, token] and ways [level, token]."""
+        nodes = np.stack([np.zeros_like(leaf), 1 + (leaf >> 8), 1 + _WAYS + (leaf >> 4)])
+        ways = np.stack([leaf >> 8, (leaf >> 4) & 15, leaf & 15])
+        at, out = 1 + _WAYS + _WAYS**2, [nodes]
+        for kind, (context, rows) in enumerate(zip((one, two, one * (2 * START) + two), self.o.rows)):
+            out.append(at + (_hash((context * 4 + kind) * 512 + nodes) % np.uint64(rows)).astype(np.int64))
+            at += rows
+        return np.stack(out, axis=1), ways
+
+    def log_chances(self, rows: np.ndarray) -> np.ndarray:
+        """[level, token, way]: natural logarithms of the chances of each way."""
+        logits = self.w[rows].sum(axis=1, dtype=np.float32)
+        logits -= logits.max(axis=-1, keepdims=True)
+        return logits - np.log(np.exp(logits).sum(axis=-1, keepdims=True))
+
+    def scores(self, leaf: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """log10 P(leaf | context) of each token."""
+        out = np.empty(len(leaf))
+        for k in range(0, len(leaf), self.o.chunk):
+            part = slice(k, k + self.o.chunk)
+            rows, ways = self.places(leaf[part], one[part], two[part])
+            chosen = np.take_along_axis(self.log_chances(rows), ways[..., None], axis=2)
+            out[part] = chosen[..., 0].sum(axis=0, dtype=np.float64) / np.log(10)
+        return out
+
+    def counts(self, leaf: np.ndarray, one: np.ndarray, two: np.ndarray, seen: np.ndarray, expected: np.ndarray) -> None:
+        """Add to what was seen and what is expected, by weight but those of biases; their difference is the gradient."""
+        for k in range(0, len(leaf), self.o.chunk):
+            part = slice(k, k + self.o.chunk)
+            rows, ways = self.places(leaf[part], one[part], two[part])
+            chances, rows = np.exp(self.log_chances(rows)), rows[:, 1:]
+            seen += np.bincount((rows * _WAYS + ways[:, None]).ravel(), minlength=seen.size)
+            flat = rows.ravel()
+            for way in range(_WAYS):
+                share = np.repeat(chances[:, None, :, way], rows.shape[1], axis=1).ravel()
+                expected[:, way] += np.bincount(flat, share, minlength=len(expected))
 
 
 def _initial(vocabulary: Vocabulary, options: MaxentOptions) -> np.ndarray:
-    """Weights whose bias gives the smoothed counts."""
-    o = options
-    words = vocabulary.word_counts + 1.0
-    classes = np.append(words.reshape(o.classes, -1).sum(axis=1), vocabulary.rest_total + 1.0)
-    w = np.zeros(o.weights)
-    at = _hashed(np.zeros(1, np.int64), np.arange(o.classes + 1 + o.words), o.weights)[0]
-    w[at] = np.log(np.concatenate([classes / classes.sum(), words / words.sum()]))
+    """Weights whose biases give the smoothed counts of leaves."""
+    seen = vocabulary.leaf_counts() + 0.01
+    w = np.zeros((options.table, _WAYS), dtype=np.float32)
+    at = 0
+    for size in (_WAYS**2, _WAYS, 1):
+        by_node = seen.reshape(-1, _WAYS, size).sum(axis=2)
+        w[at : at + len(by_node)] = np.log(by_node / by_node.sum(axis=1, keepdims=True))
+        at += len(by_node)
     return w
 
 
-def train(ngrams: DataFrame, vocabulary: Vocabulary, options: MaxentOptions) -> np.ndarray:
-    """Full-batch steps scaled by past gradients; ``ngrams`` has (context, id, n)."""
-    w, past = _initial(vocabulary, options), np.full(options.weights, 1e-12)
-    total = max(vocabulary.total, 1)
-    spark = ngrams.sparkSession
-    for _ in range(options.steps):
-        sent = spark.sparkContext.broadcast(w)
+def moved(w: np.ndarray, seen: np.ndarray, expected: np.ndarray, options: MaxentOptions) -> np.ndarray:
+    """The weights after a step; the biases keep what the counts of the whole corpus give."""
+    step = options.rate * (seen - expected) / (seen + expected + options.prior)
+    return (w + step).astype(np.float32)
+
 
-        def part(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            model = Model(sent.value, options)
+def train(tokens: DataFrame, sent, vocabulary: Vocabulary, options: MaxentOptions) -> np.ndarray:
+    """One pass over (part, tokens), a gradient step for each part."""
+    w, spark = _initial(vocabulary, options), tokens.sparkSession
+    for step in range(options.steps):
+        weights = spark.sparkContext.broadcast(w)
+
+        def counted(batches: Iterator[pd.DataFrame], weights=weights) -> Iterator[pd.DataFrame]:
+            v, model = sent.value, Model(weights.value, options)
+            seen, expected = np.zeros(model.w.size), np.zeros(model.w.shape)
             for batch in batches:
-                contexts, row = np.unique(batch["context"].to_numpy(), return_inverse=True)
-                seen = np.zeros((len(contexts), options.words + 1))
-                np.add.at(seen, (row, batch["id"].to_numpy()), batch["n"].to_numpy())
-                for k in range(0, len(contexts), 512):
-                    g = model.gradient(contexts[k : k + 512], seen[k : k + 512])
-                    at = np.flatnonzero(g)
-                    yield pd.DataFrame({"at": at, "g": g[at]})
-
-        sums = ngrams.mapInPandas(part, "at int, g double").groupBy("at").agg(F.sum("g").alias("g")).toPandas()
-        g = np.zeros(options.weights)
-        g[sums["at"].to_numpy()] = sums["g"].to_numpy() / total
-        past += g * g
-        w = w + options.rate * g / np.sqrt(past)
-        sent.unpersist()
+                hashes, ends = _joined(batch["tokens"].array)
+                leaves = v.find(hashes)[2]
+                model.counts(leaves, *contexts(leaves, ends), seen, expected)
+            at = np.flatnonzero((seen > 0) | (expected.ravel() > 1e-4))
+            yield pd.DataFrame({"at": at.astype(np.int32), "seen": seen[at].astype(np.float32), "expected": expected.ravel()[at].astype(np.float32)})
+
+        sums = tokens.where(F.col("part") == step).select("tokens").mapInPandas(counted, "at int, seen float, expected float")
+        sums = sums.groupBy("at").agg(F.sum("seen").cast("float").alias("seen"), F.sum("expected").cast("float").alias("expected")).toPandas()
+        seen, expected = np.zeros(w.size), np.zeros(w.size)
+        seen[sums["at"]], expected[sums["at"]] = sums["seen"], sums["expected"]
+        w = moved(w, seen.reshape(w.shape), expected.reshape(w.shape), options)
+        weights.unpersist()
     return w
 
 
-def score_documents(docs: DataFrame, options: MaxentOptions = MaxentOptions()) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of all documents."""
-    spark = docs.sparkSession
-    bound_batches(spark)
-    docs = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
-    training = docs.where(~F.col("held_out")).select("text")
-    counts = materialize(training.mapInPandas(_counter, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")), "counts")
+def _tokens(docs: DataFrame, options: MaxentOptions) -> DataFrame:
+    """(doc_id, held_out, tokens) in folders by ``part``: training parts from 0, and -1 for what is held out."""
+    out = held_out(F.col("doc_id"))
+    part = F.when(out, -1).otherwise(F.pmod(F.xxhash64(F.lit("part"), F.col("doc_id")), F.lit(options.steps)).cast("int"))
+    rows = docs.select("doc_id", "text", out.alias("held_out"), part.alias("part"))
+    return materialize(rows.mapInPandas(_tokenize, "doc_id long, held_out boolean, part int, tokens binary"), "tokens", by="part")
+
+
+def fit(tokens: DataFrame, options: MaxentOptions) -> tuple[Vocabulary, np.ndarray, DataFrame]:
+    """The vocabulary, the weights, and the counts of all training tokens."""
+    spark = tokens.sparkSession
+    training = tokens.where("part >= 0")
+    counts = materialize(training.select("tokens").mapInPandas(_counter, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")), "counts")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     top = counts.where(F.col("n") * options.frequent >= total).toPandas()
     vocabulary = Vocabulary(top["token"].to_numpy(np.int64), top["n"].to_numpy(np.int64), total, distinct, options)
+    # the commonest words take their share out of their buckets
+    own_tokens, own_counts = vocabulary.tokens[vocabulary.top], vocabulary.counts[vocabulary.top]
+    bucket = F.pmod("token", F.lit(options.buckets)).alias("bucket")
+    sums = counts.groupBy(bucket).agg(F.sum("n").alias("n"), F.count("*").alias("distinct")).toPandas()
+    at = sums["bucket"].to_numpy(np.int64)
+    own = np.bincount(own_tokens % options.buckets, own_counts, minlength=options.buckets)
+    own_distinct = np.bincount(own_tokens % options.buckets, minlength=options.buckets)
+    vocabulary.fill_buckets(at, sums["n"].to_numpy() - own[at], sums["distinct"].to_numpy() - own_distinct[at])
     sent = spark.sparkContext.broadcast(vocabulary)
+    return vocabulary, train(training, sent, vocabulary, options), counts
 
-    def ngram(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingler, v = Shingler(1), sent.value
-        for batch in batches:
-            tokens, ends = _tokens(batch["text"].array, shingler)
-            tokens = tokens.view(np.int64)
-            ids = v.find(tokens)[2]
-            keys, n = np.unique(v.contexts(tokens, ids, ends) * 1024 + ids, return_counts=True)
-            yield pd.DataFrame({"context": (keys // 1024).astype(np.int32), "id": (keys % 1024).astype(np.int32), "n": n})
 
-    ngrams = materialize(training.mapInPandas(ngram, "context int, id int, n long").groupBy("context", "id").agg(F.sum("n").alias("n")).repartition("context"), "ngrams")
-    weights = spark.sparkContext.broadcast(train(ngrams, vocabulary, options))
+def score_documents(docs: DataFrame, options: MaxentOptions = MaxentOptions()) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of all documents."""
+    spark = docs.sparkSession
+    bound_batches(spark)
+    tokens = _tokens(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), options)
+    vocabulary, w, counts = fit(tokens, options)
+    sent = spark.sparkContext.broadcast((vocabulary, w))
 
     def partly(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """What broadcast counts tell of each text, and the tokens that need a join."""
-        shingler, v, model = Shingler(1), sent.value, Model(weights.value, options)
-        s = options.smoothing
+        v, model, s = sent.value[0], Model(sent.value[1], options), options.smoothing
         for batch in batches:
-            tokens, ends = _tokens(batch["text"].array, shingler)
-            tokens = tokens.view(np.int64)
-            found, n, ids = v.find(tokens)
-            contexts, row = np.unique(v.contexts(tokens, ids, ends), return_inverse=True)
-            tables = np.concatenate([model.table(contexts[k : k + 512]) for k in range(0, len(contexts), 512)]) if len(contexts) else np.zeros((0, options.words + 1))
+            hashes, ends = _joined(batch["tokens"].array)
+            found, n, leaves = v.find(hashes)
+            score = model.scores(leaves, *contexts(leaves, ends))
+            shared = found & (leaves >= options.words)
+            score[shared] += np.log10((n[shared] + s) / v.bucket_totals[leaves[shared] - options.words])
             base = np.where(found, np.log10((n + s) / v.base_total), 0.0)
-            score = tables[row, ids] + np.where(found & (ids == options.words), np.log10((n + s) / v.rest_total), 0.0)
             firsts = np.concatenate(([0], ends[:-1])) if len(ends) else ends
             sums = lambda x: np.add.reduceat(x, firsts) if len(firsts) else x[:0]  # noqa: B023, E731
-            rest = []
-            for a, b in zip(firsts, ends):
-                rest.append(np.unique(tokens[a:b][~found[a:b]], return_counts=True))
+            rest = [np.unique(hashes[a:b][~found[a:b]], return_counts=True) for a, b in zip(firsts, ends)]
             yield pd.DataFrame({
                 "doc_id": batch["doc_id"].astype("Int64"), "held_out": batch["held_out"], "n_tokens": ends - firsts, "n_known": sums((found & (n > 0)).astype(np.int64)),
-                "base_score": sums(base), "score": sums(score), "rest": [x.tolist() for x, _ in rest], "times": [x.tolist() for _, x in rest]})
+                "base_score": sums(base), "score": sums(score), "rest": [x for x, _ in rest], "times": [x for _, x in rest]})
 
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rest array<long>, times array<int>"
-    first = materialize(docs.mapInPandas(partly, schema).withColumn("row", F.monotonically_increasing_id()), "scores")
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rest array<long>, times array<long>"
+    scored = tokens.select("doc_id", "held_out", "tokens").mapInPandas(partly, schema)
+    first = materialize(scored.withColumn("row", F.monotonically_increasing_id()), "scores")
     rare = first.select("row", F.explode(F.arrays_zip("rest", "times")).alias("x")).select("row", F.col("x.rest").alias("token"), F.col("x.times").alias("times"))
+    totals = spark.createDataFrame([(vocabulary.bucket_totals.tolist(),)], "totals array<double>")  # one row of ``buckets`` numbers
     n = F.coalesce("n", F.lit(0))
-    later = rare.join(counts, "token", "left").groupBy("row").agg(
+    of_bucket = F.get("totals", F.pmod("token", F.lit(options.buckets)).cast("int"))
+    later = rare.join(counts, "token", "left").join(F.broadcast(totals)).groupBy("row").agg(
         F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("more_known"),
         F.sum(F.col("times") * F.log10((n + options.smoothing) / vocabulary.base_total)).alias("more_base"),
-        F.sum(F.col("times") * F.log10((n + options.smoothing) / vocabulary.rest_total)).alias("more_score"))
+        F.sum(F.col("times") * F.log10((n + options.smoothing) / of_bucket)).alias("more_score"))
     add = lambda a, b: (F.col(a) + F.coalesce(b, F.lit(0))).alias(a)
     return first.join(later, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", add("n_known", "more_known"), F.lit(total).cast("long").alias("train_tokens"),
+        "doc_id", "held_out", "n_tokens", add("n_known", "more_known"), F.lit(vocabulary.total).cast("long").alias("train_tokens"),
         add("base_score", "more_base"), add("score", "more_score"))

@@ -116,22 +116,44 @@ def test_lm_scores(spark):
         assert x.base_score == pytest.approx(sum(math.log10((train[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws))
         assert x.score < 0
     held = [x for x in got.values() if x.held_out]
-    assert sum(x.score for x in held) > sum(x.base_score for x in held)
+    assert sum(x.score for x in held) > sum(x.base_score for x in held) + 0.2 * sum(x.n_tokens for x in held)
+    clash = docs(spark, texts + texts[5:9], [*range(len(texts)), None, None, 5, 5]).withColumns({"part": F.lit("x"), "row": F.lit(1), "tokens": F.lit("y")})
+    again = maxent.score_documents(clash).collect()
+    assert len(again) == len(texts) + 4 and sum(x.doc_id is None for x in again) == 2 and sum(x.doc_id == 5 for x in again) == 3
     assert maxent.score_documents(docs(spark, [])).count() == 0
 
 
 def test_lm_chances_add_up():
-    o = maxent.MaxentOptions()
-    model = maxent.Model(np.random.default_rng(0).standard_normal(o.weights) * 0.1, o)
-    assert np.allclose((10 ** model.table(np.array([0, 5, 300, 4000]))).sum(axis=1), 1)
-    seen = np.random.default_rng(1).integers(0, 5, (2, o.words + 1)).astype(float)
-    contexts, step = np.array([3, 700]), 1e-5
-    gradient = model.gradient(contexts, seen)
-    at = int(np.argmax(np.abs(gradient)))
-    value = lambda: (model.table(contexts) * np.log(10) * seen).sum()
-    before = value()
-    model.w[at] += step
-    assert (value() - before) / step == pytest.approx(gradient[at], rel=1e-3)
+    o = maxent.MaxentOptions(rows=(64, 32, 32))
+    rng = np.random.default_rng(0)
+    model = maxent.Model((rng.standard_normal((o.table, 16)) * 0.3).astype(np.float32), o)
+    leaves = np.arange(o.words + o.buckets)
+    for one, two in ((3, 4095), (maxent.START, maxent.START), (17, 17)):
+        chances = 10 ** model.scores(leaves, np.full(len(leaves), one), np.full(len(leaves), two))
+        assert chances.sum() == pytest.approx(1, abs=1e-4)
+    # what was seen less what is expected is the gradient of the log-likelihood
+    leaf, one, two = (rng.integers(0, 4096, 500) for _ in range(3))
+    seen, expected = np.zeros(model.w.size), np.zeros(model.w.shape)
+    model.counts(leaf, one, two, seen, expected)
+    gradient = seen.reshape(model.w.shape) - expected
+    model.w = model.w.astype(np.float64)
+    value = lambda: model.scores(leaf, one, two).sum() * np.log(10)
+    for at in [tuple(x) for x in np.argwhere(np.abs(gradient) > 3)[:3]]:
+        before = value()
+        model.w[at] += 0.01
+        assert (value() - before) / 0.01 == pytest.approx(gradient[at], rel=0.05, abs=0.2)
+
+
+def test_lm_vocabulary_and_contexts():
+    o = maxent.MaxentOptions(words=3072, frequent=4)
+    tokens = np.array([5, -7, 1024 * 9 + 5, 40], dtype=np.int64)
+    v = maxent.Vocabulary(tokens, np.array([10, 3, 7, 1]), 30, 9, o)
+    found, n, leaf = v.find(np.array([-7, 5, 40, 77], dtype=np.int64))
+    assert found.tolist() == [True, True, True, False] and n.tolist() == [3, 10, 1, 0] and leaf.tolist() == [2, 0, 3, 3072 + 77]
+    one, two = maxent.contexts(np.array([1, 2, 3, 9, 8]), np.array([3, 4, 5]))
+    s = maxent.START
+    assert one.tolist() == [s, 1, 2, s, s] and two.tolist() == [s, s, 1, s, s]
+    assert [x.tolist() for x in maxent.contexts(np.empty(0, np.int64), np.empty(0, np.int64))] == [[], []]
 
 
 def test_url_rules(spark):
