@@ -166,9 +166,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, options: DedupOptions) -> DataF
     return joined.where(100 * both >= options.percent * (F.size("set_a") + F.size("set_b") - both)).select("a", "b")
 
 
-def _links(pairs: DataFrame, met: DataFrame, sets: DataFrame, options: DedupOptions) -> DataFrame:
-    likely = materialize(_estimated(pairs, met, options), "likely")
-    return materialize(_verified(likely, sets, options), "links")
+def _fetched(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Columns of ``wanted`` with the text of a row of each node (of several, where rows are repeated or an id has several texts)."""
+    texts = docs.select(F.coalesce("doc_id", "text_hash").alias("key"), F.col("doc_id").isNull().alias("keyless"), "text")
+    return texts.join(wanted, ["key", "keyless"]).drop("key", "keyless")
 
 
 def _sets(options: DedupOptions):
@@ -176,12 +177,22 @@ def _sets(options: DedupOptions):
         shingler = Shingler(options.words)
         for batch in batches:
             sets = [shingler.shingles(t) for t in batch["text"].array]
-            same = np.array([_node(s) == node for s, node in zip(sets, batch["node"].array)], dtype=bool)  # an id may come with other texts
+            same = np.array([_node(s) == node for s, node in zip(sets, batch["node"].array)], dtype=bool)
             yield pd.DataFrame({"node": batch["node"], "shingles": sets})[same]
 
     return run
 
 
+def _links(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, options: DedupOptions) -> DataFrame:
+    """The pairs that are linked: estimated by sketches, then verified on the full sets of those that are left."""
+    ends = lambda p: p.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sketches = materialize(nodes.select("node", "sketch").join(ends(pairs), "node"), "met")
+    likely = materialize(_estimated(pairs, sketches, options), "likely")
+    wanted = nodes.select("node", "key", "keyless").join(ends(likely), "node")
+    sets = _fetched(docs, wanted).mapInPandas(_sets(options), "node long, shingles array<long>").dropDuplicates(["node"])
+    return materialize(_verified(likely, materialize(sets, "sets"), options), "links")
+
+
 # the second look-up
 
 
@@ -216,22 +227,23 @@ def _looked_up(shingles: np.ndarray, often: np.ndarray, percent: int) -> tuple[n
 
 
 def _rare(options: DedupOptions, sent):
-    """Rows of the second look-up, with what the tests of a pair need."""
+    """Rows of the second look-up, with what the tests of a pair need, from texts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen, times = sent.value
+        shingler = Shingler(options.words)
         for batch in batches:
-            values, roles, signs, sizes = [], [], [], []
-            for s in batch["shingles"].array:
-                s = np.asarray(s, dtype=np.int64)
+            sets = [shingler.shingles(t) for t in batch["text"].array]
+            same = np.array([_node(s) == node for s, node in zip(sets, batch["node"].array)], dtype=bool)
+            sets = [s for s, fits in zip(sets, same) if fits]
+            values, roles = [], []
+            for s in sets:
                 at = np.minimum(np.searchsorted(seen, s), max(len(seen) - 1, 0))
                 often = np.where(seen[at] == s, times[at], 0) if len(seen) else np.zeros(len(s), dtype=np.int64)
                 value, role = _looked_up(s, often, options.percent)
                 values.append(value)
                 roles.append(role)
-                signs.append(_parities(s))
-                sizes.append(len(s))
-            rows = batch[["node", "root"]].assign(n=np.array(sizes, dtype=np.int64), sign=signs)
+            rows = batch[["node", "root"]][same].reset_index(drop=True).assign(n=np.array([len(s) for s in sets], dtype=np.int64), sign=[_parities(s) for s in sets])
             rows = rows.loc[rows.index.repeat([len(v) for v in values])].reset_index(drop=True)
             joined = lambda x, kind: np.concatenate(x) if x else np.empty(0, dtype=kind)
             yield rows.assign(value=joined(values, np.int64), role=joined(roles, np.int32))[["value", "node", "root", "n", "role", "sign"]]
@@ -292,25 +304,27 @@ def _root_of(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     return nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
-def _rest(long: DataFrame, sets: DataFrame, roots: DataFrame, options: DedupOptions) -> DataFrame | None:
+def _rest(long: DataFrame, docs: DataFrame, nodes: DataFrame, roots: DataFrame, options: DedupOptions) -> DataFrame | None:
     """Candidates (a, b) between roots, of rows of long lists, by values that are rare among these.
 
     ``long`` has the rows of long lists; None if each of them is of one root.
     """
-    spark = sets.sparkSession
+    spark = docs.sparkSession
     placed = materialize(_root_of(long.select("value", "node"), roots), "placed")
     counts = placed.groupBy("value").agg(F.count("*").alias("_n"), F.min("root").alias("least"), F.max("root").alias("most"))
     unsettled = materialize(counts.where("least <> most").select("value", "_n"), "unsettled")
-    nodes = spread_join(placed, unsettled, "value", "node", counts=unsettled).select("node", "root").distinct()
-    nodes = materialize(sets.join(nodes, "node"), "unsettled-sets")
-    many, values = nodes.agg(F.count("*"), F.coalesce(F.sum(F.size("shingles")), F.lit(0))).first()
+    apart = spread_join(placed, unsettled, "value", "node", counts=unsettled).select("node", "root").distinct()
+    apart = materialize(nodes.select("node", "n", "key", "keyless").join(apart, "node"), "apart")
+    many, values = apart.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     if not many:
         return None
     share = min(1.0, options.sample / many, options.sample_values / values)
-    counted = nodes.where(F.pmod(F.xxhash64("node"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select(F.explode("shingles").alias("value"))
-    seen = counted.groupBy("value").count().where("count > 2").toPandas().sort_values("value")
+    sample = apart.where(F.pmod(F.xxhash64("node"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("node", "key", "keyless")
+    counted = _fetched(docs, sample).mapInPandas(_sets(options), "node long, shingles array<long>").dropDuplicates(["node"])
+    seen = counted.select(F.explode("shingles").alias("value")).groupBy("value").count().where("count > 2").toPandas().sort_values("value")
     sent = spark.sparkContext.broadcast((seen["value"].to_numpy(np.int64), seen["count"].to_numpy(np.int64)))
-    rows = materialize(nodes.mapInPandas(_rare(options, sent), "value long, node long, root long, n long, role int, sign binary"), "rare")
+    rows = _fetched(docs, apart.drop("n")).mapInPandas(_rare(options, sent), "value long, node long, root long, n long, role int, sign binary")
+    rows = materialize(rows.dropDuplicates(["node", "value"]), "rare")
 
     # only lists with several roots: the commonest root's rows meet the others, these meet each other
     by_root = rows.groupBy("value", "root").agg(F.count("*").alias("n"), F.max("role").alias("role"))
@@ -334,7 +348,8 @@ def _classes(docs: DataFrame, options: DedupOptions) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     sketched = materialize(docs.mapInPandas(_sketches(options), "doc_id long, text_hash long, node long, n long, sketch array<long>"), "sketches")
     nodes = sketched.where("n > 0").groupBy("node", "n", "sketch").agg(F.min("doc_id").alias("first_doc"), F.min("text_hash").alias("first_text"))
-    nodes = materialize(nodes, "nodes")
+    # where a text of the node is found again
+    nodes = materialize(nodes.withColumns({"key": F.coalesce("first_doc", "first_text"), "keyless": F.col("first_doc").isNull()}), "nodes")
 
     lists = _lists(nodes, options)
     long = lists.where(F.col("held") > options.short)
@@ -343,34 +358,12 @@ def _classes(docs: DataFrame, options: DedupOptions) -> DataFrame:
     overlaps = _all_pairs(lists.where(F.col("held") <= options.short)).where(alike)
     if any_long:
         overlaps = overlaps.unionByName(_hub_pairs(long, nodes, options).where(alike))
-    overlaps = materialize(overlaps.groupBy("a", "b").agg(F.count("*").alias("shared")), "overlaps")
-
-    # sketches and full sets of what has met; a set comes from one of its rows
-    met = overlaps.select(F.explode(F.array("a", "b")).alias("node")).unionByName(long.select("node")).distinct()
-    met = materialize(nodes.join(met, "node").select(
-        "node", "sketch", F.coalesce("first_doc", "first_text").alias("key"), F.col("first_doc").isNull().alias("keyless")), "met")
-    texts = docs.select(F.coalesce("doc_id", "text_hash").alias("key"), F.col("doc_id").isNull().alias("keyless"), "text")
-    texts = texts.join(met.select("key", "keyless", "node"), ["key", "keyless"]).select("node", "text")
-    sets = materialize(texts.mapInPandas(_sets(options), "node long, shingles array<long>").dropDuplicates(["node"]), "sets")
-
-    # first each node's most overlapping partner; then only pairs that this left apart
-    best = overlaps.select("a", "b", F.explode(F.array("a", "b")).alias("node"), "shared").groupBy("node").agg(F.max(F.struct("shared", "a", "b")).alias("best"))
-    best = materialize(best.select("best.a", "best.b").distinct(), "best")
-    roots = materialize(components(_links(best, met, sets, options)), "roots")
-    root_of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-    apart = overlaps.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").where(
-        "coalesce(root_a, a) <> coalesce(root_b, b)").join(best, ["a", "b"], "left_anti").select("a", "b")
-
-    def linked(more: DataFrame, roots: DataFrame) -> DataFrame:
+    overlaps = materialize(overlaps.select("a", "b").distinct(), "overlaps")
+    roots = materialize(components(_links(overlaps, docs, nodes, options)), "roots")
+    rest = _rest(long, docs, nodes, roots, options) if any_long else None
+    if rest is not None and not (more := _links(rest, docs, nodes, options)).isEmpty():
         known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-        return materialize(components(known.unionByName(more)), "roots") if not more.isEmpty() else roots
-
-    apart = materialize(apart, "apart")
-    if not apart.isEmpty():
-        roots = linked(_links(apart, met, sets, options), roots)
-    rest = _rest(long, sets, roots, options) if any_long else None
-    if rest is not None:
-        roots = linked(_links(rest, met, sets, options), roots)
+        roots = materialize(components(known.unionByName(more)), "roots")
 
     placed = _root_of(nodes.select("node", "first_doc", "first_text"), roots)
     smallest = placed.groupBy("root").agg(F.min("first_doc").alias("component_id"), F.min("first_text").alias("first_text"))
