@@ -1,7 +1,8 @@
 """From change rows to per-file, per-author and per-commit aggregates.
 
 Inputs: commits (commit_id, author, ts), changes (commit_id, path, added, deleted),
-head (one row: head_ts). All results are lazy; partial aggregation is Catalyst's.
+head (one row: head_ts). Changes that ``touched`` has widened need no further joins.
+All results are lazy; partial aggregation is Catalyst's.
 """
 
 from __future__ import annotations
@@ -33,6 +34,15 @@ def breadth(changes: DataFrame) -> DataFrame:
     return changes.groupBy("commit_id").agg(F.count("*").alias("breadth"))
 
 
+def touched(changes: DataFrame, commits: DataFrame) -> DataFrame:
+    """Collapsed changes with author, time and breadth of their commits: what all history aggregates start from."""
+    return changes.join(commits.select("commit_id", "author", "ts").join(breadth(changes), "commit_id"), "commit_id")
+
+
+def _with_breadth(changes: DataFrame) -> DataFrame:
+    return changes if "breadth" in changes.columns else changes.join(breadth(changes), "commit_id")
+
+
 def breadth_summary(changes: DataFrame, commits: DataFrame, options: HistoryOptions = DEFAULT) -> DataFrame:
     """One row: commits, file changes, pairs, broad commits, widest commit (earliest at ties)."""
     b, limit = F.col("breadth"), options.cochange_max_files
@@ -46,7 +56,8 @@ def breadth_summary(changes: DataFrame, commits: DataFrame, options: HistoryOpti
 
 
 def with_commits(changes: DataFrame, commits: DataFrame, head: DataFrame) -> DataFrame:
-    return changes.join(commits, "commit_id").join(F.broadcast(head))
+    known = changes if "ts" in changes.columns else changes.join(commits, "commit_id")
+    return known.join(F.broadcast(head))
 
 
 def churn(changes: DataFrame, commits: DataFrame, head: DataFrame, options: HistoryOptions = DEFAULT) -> DataFrame:
@@ -64,7 +75,7 @@ def author_accumulators(changes: DataFrame, commits: DataFrame, head: DataFrame,
     """Per path and author: touches, commits that change lines, lines, weighted lines."""
     lines = F.col("added") + F.col("deleted")
     weight = H.bulk_weight(F.col("breadth")) * H.recency_weight(F.col("head_ts"), F.col("ts"), options.half_life_days)
-    return with_commits(changes, commits, head).join(breadth(changes), "commit_id").groupBy("path", "author").agg(
+    return with_commits(_with_breadth(changes), commits, head).groupBy("path", "author").agg(
         F.count("*").alias("touches"), F.sum(F.when(lines > 0, 1).otherwise(0)).alias("meaningful_commits"),
         F.sum(lines).alias("changed_lines"), F.sum(lines * weight).alias("line_score"))
 
@@ -75,15 +86,15 @@ def cochange_pairs(changes: DataFrame, options: HistoryOptions = DEFAULT) -> Dat
     Wide commits are left out before the self-join, so a commit gives at most
     limit * (limit - 1) / 2 pairs. Both sides are hashed by commit once.
     """
-    narrow = changes.select("commit_id", "path").join(breadth(changes).where(F.col("breadth").between(2, options.cochange_max_files)).select("commit_id"), "commit_id", "left_semi")
+    narrow = _with_breadth(changes).where(F.col("breadth").between(2, options.cochange_max_files)).select("commit_id", "path")
     left, right = narrow.withColumnRenamed("path", "left_path"), narrow.withColumnRenamed("path", "right_path")
     return left.join(right, "commit_id").where("left_path < right_path").groupBy("left_path", "right_path").agg(F.count("*").alias("pair_count"))
 
 
 def partners(pairs: DataFrame) -> DataFrame:
-    """Both directions of the pairs: (path, partner, pair_count)."""
-    return pairs.select(F.col("left_path").alias("path"), F.col("right_path").alias("partner"), "pair_count").unionByName(
-        pairs.select(F.col("right_path").alias("path"), F.col("left_path").alias("partner"), "pair_count"))
+    """Both directions of the pairs, from one pass over them: (path, partner, pair_count)."""
+    way = lambda a, b: F.struct(F.col(a).alias("path"), F.col(b).alias("partner"), F.col("pair_count").alias("pair_count"))
+    return pairs.select(F.inline(F.array(way("left_path", "right_path"), way("right_path", "left_path"))))
 
 
 def partner_counts(pairs: DataFrame) -> DataFrame:
@@ -103,6 +114,7 @@ def automated_authors(commits: DataFrame) -> DataFrame:
     return commits.select("author").distinct().agg(F.coalesce(F.sum(F.when(H.looks_automated(F.col("author")), 1)), F.lit(0)).cast("long").alias("automated_authors"))
 
 
+# Texts of warnings.
 CONCENTRATION_WARNING = (
     "one author accounts for at least 80 percent of Git file touches; ownership may be distorted by bulk or automated changes")
 BROAD_WARNING = "commits over the co-change file limit skipped co-change pair generation but still counted churn and ownership"

@@ -94,17 +94,16 @@ def file_terms(context: dict[str, Column]) -> tuple[dict[str, Column], dict[str,
 
 
 def file_scores(facts: DataFrame, context: DataFrame) -> DataFrame:
-    """Facts of scorable files with raw_*, n_*, score, risk_10, band and rank.
+    """Facts of scorable files with raw_*, n_*, score, risk_10 and band.
 
-    ``context`` is one row and is broadcast. Ranks are global, over one row per file;
-    the sums keep the order of the terms.
+    ``context`` is one row and is broadcast; the sums keep the order of the terms. Ranks
+    are added by ``with_rank`` where they are wanted.
     """
     raw, values = file_terms({c: F.col(f"_x.{c}") for c in ("repository_age_days", "repository_authors", "repository_files")})
     rows = scorable(facts).join(F.broadcast(context.select(F.struct("repository_age_days", "repository_authors", "repository_files").alias("_x"))))
     rows = rows.withColumns({f"raw_{k}": v for k, v in raw.items()} | {f"n_{k}": v for k, v in values.items()})
     total = sum((_or0(F.col(f"n_{k}")) * w for k, w in FILE_WEIGHTS.items()), F.lit(0.0))
-    rows = rows.withColumn("score", S.clamp01(total)).withColumns({"risk_10": F.col("score") * 10.0, "band": S.risk_band(F.col("score"))})
-    return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "path")))
+    return rows.withColumn("score", S.clamp01(total)).withColumns({"risk_10": F.col("score") * 10.0, "band": S.risk_band(F.col("score"))})
 
 
 def score_terms(scores: DataFrame) -> DataFrame:
@@ -190,18 +189,24 @@ def _mean_desc(scores: Column) -> Column:
 
 
 def package_scores(scores: DataFrame) -> DataFrame:
-    """Per package of production files: counts, means, the five normalized terms, score, band, rank."""
-    per = production(scores).groupBy("package").agg(
-        F.count("*").alias("file_count"), F.collect_list("score").alias("s"), F.sum("coupling_in").alias("coupling_in"), F.sum("coupling_out").alias("coupling_out"))
-    rows = per.select(
-        "package", "file_count", "coupling_in", "coupling_out", F.array_max("s").alias("max_file_score"), _mean_desc(F.col("s")).alias("mean_file_score"),
-        _mean_desc(F.slice(F.sort_array("s", asc=False), 1, 3)).alias("top_3_mean_score"))
+    """Per package of production files: counts, means, the five normalized terms, score and band.
+
+    The three largest scores of a package are cut out before the shuffle, so a package of
+    any size is a few rows per task.
+    """
+    files = production(scores).select("package", "path", "score", "coupling_in", "coupling_out")
+    per = files.groupBy("package").agg(
+        F.count("*").alias("file_count"), F.sum("coupling_in").alias("coupling_in"), F.sum("coupling_out").alias("coupling_out"),
+        F.max("score").alias("max_file_score"), F.avg("score").alias("mean_file_score"))
+    largest = files.select("package", "path", "score").withColumn("n", F.row_number().over(Window.partitionBy("package").orderBy(F.desc("score"), "path"))).where("n <= 3")
+    top = largest.groupBy("package").agg(_mean_desc(F.collect_list("score")).alias("top_3_mean_score"))
+    rows = per.join(top.withColumnRenamed("package", "top_package"), F.col("package").eqNullSafe(F.col("top_package"))).drop("top_package")
     values = {
         **{k: F.col(k) for k in ("max_file_score", "mean_file_score", "top_3_mean_score")},
         "file_count": S.normalized(F.col("file_count"), 10), "source_coupling": S.normalized(F.greatest("coupling_in", "coupling_out"), 10)}
     rows = rows.withColumns({f"n_{k}": v for k, v in values.items()})
     rows = rows.withColumn("score", S.clamp01(sum((F.col(f"n_{k}") * w for k, w in PACKAGE_WEIGHTS.items()), F.lit(0.0))))
-    return rows.withColumns({"band": S.risk_band(F.col("score")), "rank": F.row_number().over(Window.orderBy(F.desc("score"), "package"))})
+    return rows.withColumn("band", S.risk_band(F.col("score")))
 
 
 def package_terms(packages: DataFrame) -> DataFrame:

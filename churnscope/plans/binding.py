@@ -14,15 +14,21 @@ from churnscope.operators import changes as C
 from churnscope.operators import coupling as K
 from churnscope.operators import ownership as O
 from churnscope.operators import risk as R
+from churnscope.scratch import materialize, with_rank
 
 MODULE = "example.com/app"
 
 
 class Binding:
-    """Lazy views over one folder of tables."""
+    """Views over one folder of tables; what several views stand on is written once."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.dir = spark, sf_dir
+        self.spark, self.dir, self._stored = spark, sf_dir, {}
+
+    def _once(self, name: str, make) -> DataFrame:
+        if name not in self._stored:
+            self._stored[name] = materialize(make(), name)
+        return self._stored[name]
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
@@ -65,14 +71,17 @@ class Binding:
             F.concat(F.lit(MODULE + "/"), "to_package"))
         return pairs.join(of, "of_key").join(to, "to_key").select("source_path", F.col("to_key").alias("idx"), target.alias("raw_target"))
 
+    def touched(self) -> DataFrame:
+        return self._once("touched", lambda: C.touched(self.changes(), self.commits()))
+
     def accumulators(self) -> DataFrame:
-        return C.author_accumulators(self.changes(), self.commits(), self.head())
+        return C.author_accumulators(self._stored.get("touched", self.changes()), self.commits(), self.head())
 
-    def pairs(self, limit: int = 8) -> DataFrame:
-        return C.cochange_pairs(self.changes(), C.HistoryOptions(cochange_max_files=limit))
+    def pairs(self, limit: int = C.DEFAULT.cochange_max_files) -> DataFrame:
+        return C.cochange_pairs(self._stored.get("touched", self.changes()), C.HistoryOptions(cochange_max_files=limit))
 
     def churn(self) -> DataFrame:
-        return C.churn(self.changes(), self.commits(), self.head())
+        return C.churn(self._stored.get("touched", self.changes()), self.commits(), self.head())
 
     def packages(self) -> DataFrame:
         return K.file_packages(self.files())
@@ -87,9 +96,10 @@ class Binding:
         return O.ownership(self.accumulators())
 
     def facts(self) -> DataFrame:
-        acc = self.accumulators()
+        self.touched()
+        acc, edges = self._once("accumulators", self.accumulators), self._once("edges", self.edges)
         metrics = C.metrics(self.churn(), self.pairs(), acc, self.head())
-        return K.file_facts(self.files(), metrics, O.owner_summary(O.ownership(acc), acc), self.packages(), self.edges())
+        return K.file_facts(self.files(), metrics, O.owner_summary(O.ownership(acc), acc), self.packages(), edges)
 
     def context(self) -> DataFrame:
         """One row of what the formulas need to know of the repository."""
@@ -100,6 +110,13 @@ class Binding:
     def scores(self) -> DataFrame:
         return R.file_scores(self.facts(), self.context())
 
+    def stored_scores(self) -> DataFrame:
+        """For plans that read the scores several times."""
+        return self._once("scores", self.scores)
+
+    def ranked_scores(self) -> DataFrame:
+        return with_rank(self.stored_scores(), "path", falling=("score",))
+
 
 #: The same views in SQL, each with the views it stands on.
 _SQL: dict[str, tuple[tuple[str, ...], str]] = {
@@ -145,6 +162,10 @@ FROM touched GROUP BY path, author"""),
     "pairs": (("changes", "breadth"), """
 SELECT a.path AS left_path, b.path AS right_path, count(*)::BIGINT AS pair_count
 FROM changes a JOIN changes b ON a.commit_id = b.commit_id AND a.path < b.path
+WHERE a.commit_id IN (SELECT commit_id FROM breadth WHERE breadth <= 100) GROUP BY ALL"""),
+    "narrow_pairs": (("changes", "breadth"), """
+SELECT a.path AS left_path, b.path AS right_path, count(*)::BIGINT AS pair_count
+FROM changes a JOIN changes b ON a.commit_id = b.commit_id AND a.path < b.path
 WHERE a.commit_id IN (SELECT commit_id FROM breadth WHERE breadth <= 8) GROUP BY ALL"""),
     "partners": (("pairs",), """
 SELECT left_path AS path, right_path AS partner, pair_count FROM pairs UNION ALL SELECT right_path, left_path, pair_count FROM pairs"""),

@@ -19,6 +19,7 @@ from churnscope.operators import risk as R
 from churnscope.operators import snapshots as N
 from churnscope.plans import reports
 from churnscope.plans.binding import Binding, sql
+from churnscope.scratch import materialize, with_rank
 from churnscope.streaming import events as E
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,9 +73,10 @@ def author_accumulators(b: Binding) -> DataFrame:
     return b.accumulators().select("path", "author", "touches", "meaningful_commits", "changed_lines", *r6("line_score"))
 
 
-@query(sql("SELECT * FROM pairs", "pairs"))
+@query(sql("SELECT * FROM narrow_pairs", "narrow_pairs"))
 def cochange_pairs(b: Binding) -> DataFrame:
-    return b.pairs()
+    """With a limit of 8 files, so that wide commits show."""
+    return b.pairs(limit=8)
 
 
 @query(sql("SELECT path, count(DISTINCT partner) AS co_changed_files FROM partners GROUP BY path", "partners"))
@@ -84,14 +86,11 @@ def cochange_partner_counts(b: Binding) -> DataFrame:
 
 @query(sql("""
 SELECT path, partner, pair_count, n FROM (
-  SELECT *, row_number() OVER (PARTITION BY path ORDER BY pair_count DESC, partner)::INT AS n FROM partners
-  WHERE path IN (SELECT path FROM parts WHERE p_partkey % 100 = 0)) WHERE n <= 10""", "partners", "parts"))
+  SELECT *, row_number() OVER (PARTITION BY path ORDER BY pair_count DESC, partner)::INT AS n FROM partners) WHERE n <= 10""", "partners"))
 def cochange_partners_top10(b: Binding) -> DataFrame:
     from pyspark.sql import Window
 
-    wanted = b.parts().where("p_partkey % 100 = 0").select("path")
-    both = C.partners(b.pairs()).join(wanted, "path", "left_semi")
-    return both.withColumn("n", F.row_number().over(Window.partitionBy("path").orderBy(F.desc("pair_count"), "partner"))).where("n <= 10")
+    return C.partners(b.pairs()).withColumn("n", F.row_number().over(Window.partitionBy("path").orderBy(F.desc("pair_count"), "partner"))).where("n <= 10")
 
 
 @query(sql("SELECT * FROM summary", "summary"))
@@ -186,14 +185,17 @@ def content_kind(b: Binding) -> DataFrame:
     return b.table("documents").select("doc_id", X.content_kind(F.col("text").cast("binary")).alias("content_kind"))
 
 
-@query("""
-SELECT doc_id, doc_id % 3 = 0 AS marked FROM documents
-WHERE NOT starts_with(ltrim(text), '//') AND text IS NOT NULL""")
+_MARKER_SQL = f"starts_with({{0}}, '{X.MARKER_HEAD}') AND ends_with({{0}}, '{X.MARKER_TAIL}')"
+
+
+@query(f"""
+WITH l AS (SELECT doc_id, text, list_filter(list_transform(string_split_regex(text, '\\r?\\n'), lambda x: trim(x)),
+                                            lambda x: ({_MARKER_SQL.format("x")}) OR (x <> '' AND NOT starts_with(x, '//')))[1] AS stop FROM documents)
+SELECT doc_id, CASE WHEN text IS NOT NULL THEN doc_id % 3 = 0 OR coalesce({_MARKER_SQL.format("stop")}, false) END AS marked FROM l""")
 def generated_marker(b: Binding) -> DataFrame:
     """Every third document gets a comment head with the marker; the others one without."""
     head = F.when(F.col("doc_id") % 3 == 0, F.lit("// notice\n\n// Code generated by a tool. DO NOT EDIT.\n")).otherwise(F.lit("// notice\n// Code written by hand.\n"))
-    docs = b.table("documents").where(~F.ltrim("text").startswith("//"))
-    return docs.select("doc_id", X.has_generated_marker(F.concat(head, "text")).alias("marked"))
+    return b.table("documents").select("doc_id", X.has_generated_marker(F.concat(head, "text")).alias("marked"))
 
 
 _N = tuple(f"n_{t}" for t in S.TERMS)
@@ -201,7 +203,7 @@ _N = tuple(f"n_{t}" for t in S.TERMS)
 
 @query(sql(f"SELECT path, rank, band, {sql6('score', 'risk_10')} FROM scores", "scores"))
 def file_risk_scores(b: Binding) -> DataFrame:
-    return b.scores().select("path", "rank", "band", *r6("score", "risk_10"))
+    return b.ranked_scores().select("path", "rank", "band", *r6("score", "risk_10"))
 
 
 @query(sql(f"SELECT path, term_index, term, weight, {sql6('raw_value', 'normalized_value', 'contribution')} FROM terms", "terms"))
@@ -243,7 +245,8 @@ def scoring_counts(b: Binding) -> DataFrame:
 
 @query(sql(f"SELECT package, file_count, coupling_in, coupling_out, rank, band, {sql6('max_file_score', 'mean_file_score', 'top_3_mean_score', 'score')} FROM package_scores", "package_scores"))
 def package_risk(b: Binding) -> DataFrame:
-    return R.package_scores(b.scores()).select(
+    packages = R.package_scores(b.stored_scores()).withColumn("order", F.round("score", 9))
+    return with_rank(packages, "package", falling=("order",)).select(
         "package", "file_count", "coupling_in", "coupling_out", "rank", "band", *r6("max_file_score", "mean_file_score", "top_3_mean_score", "score"))
 
 
@@ -257,7 +260,7 @@ _PACKAGE_TERMS = " UNION ALL ".join(
 
 @query(sql(f"SELECT package, term, weight, {sql6('raw_value', 'normalized_value', 'contribution')} FROM ({_PACKAGE_TERMS})", "package_scores"))
 def package_risk_terms(b: Binding) -> DataFrame:
-    return R.package_terms(R.package_scores(b.scores())).select("package", "term", "weight", *r6("raw_value", "normalized_value", "contribution"))
+    return R.package_terms(R.package_scores(b.stored_scores())).select("package", "term", "weight", *r6("raw_value", "normalized_value", "contribution"))
 
 
 _PROJECT = """
@@ -276,7 +279,7 @@ SELECT scored_files, active_files, active_go_files, high_files, medium_files, do
        CASE WHEN scoring_coverage >= 0.8 THEN 'high' WHEN scoring_coverage >= 0.3 THEN 'medium' WHEN scoring_coverage > 0 THEN 'low' ELSE 'none' END AS confidence
 FROM ({_PROJECT})""", "production", "top10", "files", "dimension"))
 def project_risk(b: Binding) -> DataFrame:
-    return R.project_score(b.scores(), b.files()).select(
+    return R.project_score(b.stored_scores(), b.files()).select(
         "scored_files", "active_files", "active_go_files", "high_files", "medium_files", "dominant_dimension", "band", "confidence",
         *r6("score", "max_file_score", "top_10_mean_score", "dominant_dimension_pressure", "scoring_coverage", "go_score_coverage"))
 
@@ -317,7 +320,7 @@ def hotspots_top5(b: Binding) -> DataFrame:
 
 @query(_hotspot_sql("scores", ""))
 def hotspots_all_with_tests(b: Binding) -> DataFrame:
-    return _hotspot_rows(reports.hotspots(b.scores(), include_tests=True, top=None))
+    return _hotspot_rows(reports.hotspots(b.stored_scores(), include_tests=True, top=None))
 
 
 _PHRASE_SQL = "CASE " + " ".join(
@@ -339,20 +342,26 @@ def limitations_dedup(b: Binding) -> DataFrame:
     return reports.first_messages(b.table("events").select(F.col("event_type").alias("code"), F.col("props").alias("message"), "event_id"), ["event_id"])
 
 
-@query(sql("""
-SELECT f.path, f.package, s.rank, round(s.score, 6) AS score, (SELECT count(*) FROM owners o WHERE o.path = f.path) AS owners,
-       least((SELECT count(*) FROM partners p WHERE p.path = f.path), 10) AS partners, (SELECT count(*) FROM imports i WHERE i.source_path = f.path) AS imports,
-       (SELECT count(*) FROM edges e WHERE e.source_path = f.path) AS outbound,
-       (SELECT count(*) FROM edges e WHERE e.target_package = f.package AND e.source_path <> f.path) AS inbound,
+_N_OF = "(SELECT {0} AS k, count(*) AS n FROM {1} GROUP BY 1)"
+
+
+@query(sql(f"""
+SELECT f.path, f.package, s.rank, round(s.score, 6) AS score, coalesce(o.n, 0) AS owners, least(coalesce(p.n, 0), 10) AS partners, coalesce(i.n, 0) AS imports,
+       coalesce(e.n, 0) AS outbound, coalesce(t.n, 0) - coalesce(w.n, 0) AS inbound,
        CASE WHEN s.path IS NULL THEN concat_ws(',', CASE WHEN f.language IS NULL THEN 'unsupported_language' END, CASE WHEN f.is_generated OR f.is_vendor THEN 'generated_or_vendor_excluded' END) END AS unavailable
-FROM facts f JOIN parts p ON p.path = f.path LEFT JOIN scores s ON s.path = f.path WHERE p.p_partkey % 25 = 0""",
-    "facts", "parts", "scores", "owners", "partners", "imports", "edges"))
+FROM facts f LEFT JOIN scores s ON s.path = f.path LEFT JOIN {_N_OF.format("path", "owners")} o ON o.k = f.path LEFT JOIN {_N_OF.format("path", "partners")} p ON p.k = f.path
+LEFT JOIN {_N_OF.format("source_path", "imports")} i ON i.k = f.path LEFT JOIN {_N_OF.format("source_path", "edges")} e ON e.k = f.path
+LEFT JOIN {_N_OF.format("target_package", "edges")} t ON t.k = f.package LEFT JOIN (SELECT DISTINCT source_path, target_package, 1 AS n FROM edges) w ON w.source_path = f.path AND w.target_package = f.package""",
+    "facts", "scores", "owners", "partners", "imports", "edges"))
 def explain_files(b: Binding) -> DataFrame:
-    wanted = b.parts().where("p_partkey % 25 = 0").select("path")
-    row = reports.explain(b.facts(), b.scores(), b.owners(), b.pairs(), b.resolved(), b.edges(), wanted)
+    """Every file explained at once."""
+    facts = materialize(b.facts(), "facts")
+    scores = with_rank(materialize(R.file_scores(facts, b.context()), "scores"), "path", falling=("score",))
+    row = reports.explain(facts, scores, b.owners(), b.pairs(), b.resolved(), b.edges(), b.files().select("path"), importers=3)
     n = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.size(c)).cast("long").alias(a[c])
-    a = {"owners": "owners", "cochange_partners": "partners", "references": "imports", "outbound": "outbound", "inbound": "inbound"}
-    return row.select("path", "package", "score.rank", F.round("score.score", 6).alias("score"), *[n(c) for c in a], F.array_join("unavailable", ",").alias("unavailable"))
+    a = {"owners": "owners", "cochange_partners": "partners", "references": "imports", "outbound": "outbound"}
+    return row.select("path", "package", "score.rank", F.round("score.score", 6).alias("score"), *[n(c) for c in a], F.col("inbound_count").alias("inbound"),
+                      F.array_join("unavailable", ",").alias("unavailable"))
 
 
 @query(sql("SELECT * FROM churn", "churn"))

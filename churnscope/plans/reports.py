@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from churnscope.functions import scoring as S
 from churnscope.operators import changes as C
 from churnscope.operators import risk as R
+from churnscope.scratch import with_rank
 
 # Metadata keys that become limitations, in order, with their codes.
 GIT_LIMITATIONS = {
@@ -28,10 +29,11 @@ def hotspots(scores: DataFrame, include_tests: bool = False, top: int | None = 5
     The top is taken first; tags and facts are made for the rows that are left.
     """
     rows = scores if include_tests else R.production(scores)
-    rows = rows.orderBy(F.desc("score"), "path")
-    if top is not None:
-        rows = rows.limit(top)
-    ranked = with_tags(rows).withColumn("position", F.row_number().over(Window.orderBy(F.desc("score"), "path")))
+    if top is None:
+        ranked = with_tags(with_rank(rows, "path", falling=("score",), into="position"))
+    else:
+        rows = rows.orderBy(F.desc("score"), "path").limit(top)
+        ranked = with_tags(rows).withColumn("position", F.row_number().over(Window.orderBy(F.desc("score"), "path")))
     facts = F.transform(F.slice(R.driver_facts(), 1, facts_shown), lambda x: x["message"])
     return ranked.withColumn("facts", facts).select("position", "path", "score", "risk_10", "band", "is_test", "tags", "phrase", "facts")
 
@@ -48,8 +50,9 @@ def summary_limitations(project: DataFrame, metadata: DataFrame) -> DataFrame:
 
 
 def first_messages(rows: DataFrame, order: list[str]) -> DataFrame:
-    once = rows.withColumn("n", F.row_number().over(Window.partitionBy("message").orderBy(*order))).where("n = 1")
-    return once.select(F.row_number().over(Window.orderBy(*order)).alias("position"), "code", "message")
+    """(position, code, message): each message once, with the code and place of its first row."""
+    once = rows.groupBy("message").agg(F.min(F.struct(*order, "code")).alias("first"))
+    return with_rank(once.select("message", "first.*"), "message", rising=tuple(order), into="position").select("position", "code", "message")
 
 
 def unavailable_reasons() -> "F.Column":
@@ -61,11 +64,13 @@ def unavailable_reasons() -> "F.Column":
     return F.when(F.size(reasons) > 0, reasons).otherwise(F.array(F.lit("missing_score_row")))
 
 
-def explain(facts: DataFrame, scores: DataFrame, owners: DataFrame, pairs: DataFrame, resolved: DataFrame, edges: DataFrame, paths: DataFrame, partners: int = 10) -> DataFrame:
+def explain(facts: DataFrame, scores: DataFrame, owners: DataFrame, pairs: DataFrame, resolved: DataFrame, edges: DataFrame, paths: DataFrame, partners: int = 10, importers: int = 100) -> DataFrame:
     """One nested row per wanted path: facts, score, terms, owners, partners, imports, edges.
 
-    Every child is cut down to the wanted paths before it is grouped, so one job
-    answers any set of paths.
+    Every child is cut down to the wanted paths before it is grouped, so one job answers
+    any set of paths. Of what imports a file's package the first ``importers`` by path are
+    listed, and all are counted: a package that a third of all files import is a list of
+    bounded length per package.
     """
     wanted = paths.select("path").distinct()
 
@@ -77,12 +82,21 @@ def explain(facts: DataFrame, scores: DataFrame, owners: DataFrame, pairs: DataF
                           R._coded(R.limitation_codes()).alias("score_limitations"))
     both = C.partners(pairs).join(wanted, "path", "left_semi").withColumn(
         "n", F.row_number().over(Window.partitionBy("path").orderBy(F.desc("pair_count"), "partner"))).where(F.col("n") <= partners)
-    inbound = edges.join(facts.select("path", F.col("package").alias("target_package")).join(wanted, "path", "left_semi"), "target_package").where("source_path <> path")
+    packages = facts.join(wanted, "path", "left_semi").select(F.col("package").alias("target_package")).distinct()
+    into = edges.join(packages, "target_package", "left_semi").select("target_package", "source_path")
+    first = into.withColumn("n", F.row_number().over(Window.partitionBy("target_package").orderBy("source_path"))).where(F.col("n") <= importers + 1)
+    listed = first.groupBy(F.col("target_package").alias("package")).agg(F.array_sort(F.collect_list("source_path")).alias("importers"))
+    counted = into.groupBy(F.col("target_package").alias("package")).agg(F.count("*").alias("all_importers"))
+    own = edges.join(facts.join(wanted, "path", "left_semi").select(F.col("path").alias("source_path"), F.col("package").alias("target_package")), ["source_path", "target_package"], "left_semi")
+    own = own.select(F.col("source_path").alias("path"), F.lit(1).alias("itself")).distinct()
     row = wanted.join(facts, "path").join(score, "path", "left")
     row = row.join(grouped(R.score_terms(scores), "terms", "term", "raw_value", "normalized_value", "weight", "contribution"), "path", "left")
     row = row.join(grouped(owners, "owners", "owner_rank", "owner", "share", "score", "touches"), "path", "left")
     row = row.join(grouped(both, "cochange_partners", "n", "partner", "pair_count"), "path", "left")
     row = row.join(grouped(resolved.withColumnRenamed("source_path", "path"), "references", "idx", "raw_target", "resolved_package"), "path", "left")
     row = row.join(grouped(edges.withColumnRenamed("source_path", "path"), "outbound", "target_package"), "path", "left")
-    row = row.join(grouped(inbound, "inbound", "source_path"), "path", "left")
+    row = row.join(counted.join(listed, "package"), "package", "left").join(own, "path", "left")
+    others = F.slice(F.filter("importers", lambda p: p != F.col("path")), 1, importers)
+    row = row.withColumns({"inbound": F.transform(others, lambda p: F.struct(p.alias("source_path"))), "inbound_count": F.coalesce(F.col("all_importers") - F.coalesce("itself", F.lit(0)), F.lit(0).cast("long"))})
+    row = row.drop("importers", "all_importers", "itself")
     return row.withColumn("unavailable", F.when(F.col("score").isNull(), unavailable_reasons()))

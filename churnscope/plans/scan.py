@@ -21,6 +21,7 @@ from churnscope.operators import ownership as O
 from churnscope.operators import risk as R
 from churnscope.operators import snapshots as N
 from churnscope.plans import documents
+from churnscope.scratch import with_rank
 from churnscope.sources import git_log, walk
 from churnscope.sources.parsers import parse_files
 from churnscope.sources.store import Store
@@ -199,12 +200,12 @@ class Scan:
         age = max((head_ts - bounds["first_ts"]) // DAY, 0) if available and bounds["first_ts"] is not None else None
         authors = self._history_table("repository_authors").count() if available else None
         context = spark.createDataFrame([(age, authors, files.count())], "repository_age_days long, repository_authors long, repository_files long")
-        s.write("scores", R.file_scores(facts, context))
+        s.write("scores", with_rank(R.file_scores(facts, context), "path", falling=("score",)))
         scores = s.read("scores")
         s.write("terms", R.score_terms(scores))
         s.write("score_facts", R.score_facts(scores))
         s.write("score_limitations", R.score_limitations(scores))
-        s.write("package_scores", R.package_scores(scores))
+        s.write("package_scores", with_rank(R.package_scores(scores), "package", falling=("score",)))
         s.write("package_terms", R.package_terms(s.read("package_scores")))
         s.write("package_facts", R.package_facts(s.read("package_scores")))
         s.write("project", R.project_score(scores, facts, str(meta["git_index_status"])))
