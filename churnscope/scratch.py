@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,16 +41,36 @@ def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     path = f"{shared_dir(spark)}/churnscope/{name}-{uuid.uuid4().hex}"
     (df.write if by is None else df.write.partitionBy(by)).parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._scratch_path = path
+    return table
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch_until() -> Iterator[list[DataFrame]]:
+    """Tables that ``materialize`` writes in this block are deleted at its end, but for those put on the list.
+
+    Nothing that is used later may still stand on the deleted ones.
+    """
+    begin, kept = len(_written), []
+    yield kept
+    stay = {df._scratch_path for df in kept}
+    for spark, path in _written[begin:]:
+        if path not in stay:
+            _delete(spark, path)
+    _written[begin:] = [x for x in _written[begin:] if x[1] in stay]
 
 
 def drop_scratch() -> None:
     """Delete every table that ``materialize`` wrote; results built on them are then gone."""
     while _written:
-        spark, path = _written.pop()
         try:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(*_written.pop())
         except Exception:  # the session may have ended, and its folder with it
             return
 
