@@ -2,66 +2,20 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from churnscope.scratch import drop_scratch, materialize, scratch_until, shared_dir  # noqa: F401
+
 #: One word: a run of anything but the six ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\f\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
-_own_dir: list[str] = []
-_scratch: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it.
-
-    Without ``spark.checkpoint.dir`` (tests, one machine) a folder of our own.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not _own_dir:
-        _own_dir.append(tempfile.mkdtemp(prefix="churnscope-"))
-    return f"file://{_own_dir[0]}"
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
-    """Write ``df`` to the shared folder, in folders by a column's values if one is named, and read it back.
-
-    That cuts lineage: a lost executor then costs a re-read of Parquet, not a
-    recomputation. ``drop_scratch`` deletes what a session has written.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/churnscope/{name}-{uuid.uuid4().hex}"
-    (df.write if by is None else df.write.partitionBy(by)).parquet(path)
-    _scratch.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_scratch() -> None:
-    """Delete every table that ``materialize`` wrote; results built on them are then gone."""
-    while _scratch:
-        spark, path = _scratch.pop()
-        try:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # the session may have ended, and its folder with it
-            return
-
-
-atexit.register(drop_scratch)
-
-
 def bound_batches(spark: SparkSession, size: int = 8 << 20) -> None:
     """Keep Arrow batches under ``size`` bytes, whatever the length of the texts in them."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"

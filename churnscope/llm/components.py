@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from churnscope.llm.common import materialize
+from churnscope.llm.common import materialize, scratch_until
 
 
 def _smallest(edges: DataFrame, strict: bool) -> DataFrame:
@@ -40,15 +40,17 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     number of rounds that grows with the square of the logarithm of the longest path
     at most.
     """
-    now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    seen = None
-    for _ in range(rounds):
-        now = materialize(_small_star(_large_star(now)).where("a <> b").distinct(), "stars")
-        mark = now.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first()
-        if mark == seen:
-            break
-        seen = mark
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
+    with scratch_until() as kept:
+        now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+        seen = None
+        for _ in range(rounds):
+            now = materialize(_small_star(_large_star(now)).where("a <> b").distinct(), "stars")
+            mark = now.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first()
+            if mark == seen:
+                break
+            seen = mark
+        else:
+            raise RuntimeError(f"components did not settle in {rounds} rounds")
+        kept.append(now)
     roots = now.select(F.col("b").alias("node")).distinct().withColumn("root", F.col("node"))
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)

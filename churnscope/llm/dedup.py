@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from churnscope.llm.common import UPPER, bound_batches, fresh, materialize, spread_join
+from churnscope.llm.common import UPPER, bound_batches, fresh, materialize, scratch_until, spread_join
 from churnscope.llm.components import components
 
 _LOWER = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
@@ -48,7 +48,9 @@ class DedupOptions:
     of them that are looked up; ``short``: rows up to which a list gives all its pairs.
     ``slack``: how far, in percent, an estimate may lie below. ``sample``: sets, and
     ``sample_values``: values, about, that are counted to tell rare ones; these only
-    order the second look-up. ``block``: rows that are paired in one place there."""
+    order the second look-up. ``block``: rows that are paired in one place there.
+    ``broadcast_rows``: rows of four numbers up to which (counted) what a text is looked up
+    by is broadcast; beyond that texts are shuffled."""
 
     words: int = 5
     percent: int = 85
@@ -59,6 +61,7 @@ class DedupOptions:
     sample: int = 10_000
     sample_values: int = 4_000_000
     block: int = 256
+    broadcast_rows: int = 1_000_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -166,8 +169,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, options: DedupOptions) -> DataF
     return joined.where(100 * both >= options.percent * (F.size("set_a") + F.size("set_b") - both)).select("a", "b")
 
 
-def _fetched(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def _fetched(docs: DataFrame, wanted: DataFrame, options: DedupOptions) -> DataFrame:
     """Columns of ``wanted`` with the text of a row of each node (of several, where rows are repeated or an id has several texts)."""
+    wanted = materialize(wanted, "wanted")
+    if wanted.count() <= options.broadcast_rows:
+        wanted = F.broadcast(wanted)
     texts = docs.select(F.coalesce("doc_id", "text_hash").alias("key"), F.col("doc_id").isNull().alias("keyless"), "text")
     return texts.join(wanted, ["key", "keyless"]).drop("key", "keyless")
 
@@ -186,11 +192,14 @@ def _sets(options: DedupOptions):
 def _links(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, options: DedupOptions) -> DataFrame:
     """The pairs that are linked: estimated by sketches, then verified on the full sets of those that are left."""
     ends = lambda p: p.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sketches = materialize(nodes.select("node", "sketch").join(ends(pairs), "node"), "met")
-    likely = materialize(_estimated(pairs, sketches, options), "likely")
-    wanted = nodes.select("node", "key", "keyless").join(ends(likely), "node")
-    sets = _fetched(docs, wanted).mapInPandas(_sets(options), "node long, shingles array<long>").dropDuplicates(["node"])
-    return materialize(_verified(likely, materialize(sets, "sets"), options), "links")
+    with scratch_until() as kept:
+        sketches = materialize(nodes.select("node", "sketch").join(ends(pairs), "node"), "met")
+        likely = materialize(_estimated(pairs, sketches, options), "likely")
+        wanted = nodes.select("node", "key", "keyless").join(ends(likely), "node")
+        sets = _fetched(docs, wanted, options).mapInPandas(_sets(options), "node long, shingles array<long>").dropDuplicates(["node"])
+        links = materialize(_verified(likely, materialize(sets, "sets"), options), "links")
+        kept.append(links)
+    return links
 
 
 # the second look-up
@@ -320,10 +329,10 @@ def _rest(long: DataFrame, docs: DataFrame, nodes: DataFrame, roots: DataFrame,
         return None
     share = min(1.0, options.sample / many, options.sample_values / values)
     sample = apart.where(F.pmod(F.xxhash64("node"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("node", "key", "keyless")
-    counted = _fetched(docs, sample).mapInPandas(_sets(options), "node long, shingles array<long>").dropDuplicates(["node"])
+    counted = _fetched(docs, sample, options).mapInPandas(_sets(options), "node long, shingles array<long>").dropDuplicates(["node"])
     seen = counted.select(F.explode("shingles").alias("value")).groupBy("value").count().where("count > 2").toPandas().sort_values("value")
     sent = spark.sparkContext.broadcast((seen["value"].to_numpy(np.int64), seen["count"].to_numpy(np.int64)))
-    rows = _fetched(docs, apart.drop("n")).mapInPandas(_rare(options, sent), "value long, node long, root long, n long, role int, sign binary")
+    rows = _fetched(docs, apart.drop("n"), options).mapInPandas(_rare(options, sent), "value long, node long, root long, n long, role int, sign binary")
     rows = materialize(rows.dropDuplicates(["node", "value"]), "rare")
 
     # only lists with several roots: the commonest root's rows meet the others, these meet each other
@@ -351,16 +360,22 @@ def _classes(docs: DataFrame, options: DedupOptions) -> DataFrame:
     # where a text of the node is found again
     nodes = materialize(nodes.withColumns({"key": F.coalesce("first_doc", "first_text"), "keyless": F.col("first_doc").isNull()}), "nodes")
 
-    lists = _lists(nodes, options)
-    long = lists.where(F.col("held") > options.short)
-    alike = 100 * F.col("low") >= options.percent * F.col("high")
-    any_long = not long.isEmpty()
-    overlaps = _all_pairs(lists.where(F.col("held") <= options.short)).where(alike)
-    if any_long:
-        overlaps = overlaps.unionByName(_hub_pairs(long, nodes, options).where(alike))
-    overlaps = materialize(overlaps.select("a", "b").distinct(), "overlaps")
+    with scratch_until() as kept:
+        lists = _lists(nodes, options)
+        long = lists.where(F.col("held") > options.short)
+        alike = 100 * F.col("low") >= options.percent * F.col("high")
+        any_long = not long.isEmpty()
+        overlaps = _all_pairs(lists.where(F.col("held") <= options.short)).where(alike)
+        if any_long:
+            overlaps = overlaps.unionByName(_hub_pairs(long, nodes, options).where(alike))
+        overlaps = materialize(overlaps.select("a", "b").distinct(), "overlaps")
+        kept += [lists, overlaps]
     roots = materialize(components(_links(overlaps, docs, nodes, options)), "roots")
-    rest = _rest(long, docs, nodes, roots, options) if any_long else None
+    rest = None
+    if any_long:
+        with scratch_until() as kept:
+            rest = _rest(long, docs, nodes, roots, options)
+            kept += [rest] if rest is not None else []
     if rest is not None and not (more := _links(rest, docs, nodes, options)).isEmpty():
         known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
         roots = materialize(components(known.unionByName(more)), "roots")
