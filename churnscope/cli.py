@@ -64,11 +64,12 @@ def main(argv: list[str] | None = None, spark=None) -> int:
             return 0
         root = index_root(".")
         store = Store(spark, f"file://{root}/{INDEX_DIR}")
-        if args.command == "hotspots":
-            found = documents.hotspots_document(store, args.include_tests, None if args.all else args.top)
-            print(documents.hotspots_json(found) if args.json else documents.hotspots_text(found, args.verbose))
-        else:
-            print(documents.explain_text(documents.explain_document(store, inside(root, args.path, os.path.realpath(".")))))
+        with store.lock(args.command):  # no scan may move tables while they are read
+            if args.command == "hotspots":
+                found = documents.hotspots_document(store, args.include_tests, None if args.all else args.top)
+                print(documents.hotspots_json(found) if args.json else documents.hotspots_text(found, args.verbose))
+            else:
+                print(documents.explain_text(documents.explain_document(store, inside(root, args.path, os.path.realpath(".")))))
         return 0
     except (IndexLocked, IndexIncomplete, LookupError, ValueError) as e:
         print(f"error: {e}", file=sys.stderr)

@@ -10,7 +10,7 @@ MARKER_HEAD, MARKER_TAIL = "// Code generated ", " DO NOT EDIT."
 
 def content_kind(content: Column) -> Column:
     """``binary`` with a NUL byte, ``text`` if valid UTF-8, else ``unknown``."""
-    nul = F.locate("00", F.regexp_replace(F.hex(content), "(..)", "$1 ")) > 0
+    nul = F.contains(content, F.lit(bytearray(b"\0")))
     return F.when(content.isNull(), "unknown").when(nul, "binary").when(F.is_valid_utf8(content.cast("string")), "text").otherwise("unknown")
 
 

@@ -55,6 +55,22 @@ def breadth_summary(changes: DataFrame, commits: DataFrame, options: HistoryOpti
         F.min_by("commit_id", F.struct(-b, F.col("ts"), F.col("commit_id"))).alias("broadest_commit"))
 
 
+def chunk_rollup(chunks: DataFrame) -> DataFrame:
+    """One row over all reads of the history: broad commits, the most files in a commit, and that commit (the smaller id at ties)."""
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    named = F.when(F.col("broadest_commit").isNotNull(), F.struct(-F.col("max_files"), F.col("broadest_commit")))
+    return chunks.agg(zero(F.sum("broad_commits")).alias("broad_commits"), zero(F.max("max_files")).alias("max_files"),
+                      F.min_by("broadest_commit", named).alias("broadest_commit"))
+
+
+def planned_records(metrics: DataFrame, accumulators: DataFrame, analysis: DataFrame, summaries: int = 1, chunks: int = 1) -> DataFrame:
+    """One row: records that the end of a scan will write, of the history and of active files."""
+    count = lambda df, name: df.agg(F.count("*").alias(name))
+    owned = accumulators.where("changed_lines > 0").select("path").distinct()
+    row = count(metrics, "metrics").join(F.broadcast(count(owned, "owned"))).join(F.broadcast(count(analysis.where("is_active"), "materialized_file_records")))
+    return row.select((F.col("metrics") + F.col("owned") + summaries + chunks).alias("git_final_records"), "materialized_file_records")
+
+
 def with_commits(changes: DataFrame, commits: DataFrame, head: DataFrame) -> DataFrame:
     known = changes if "ts" in changes.columns else changes.join(commits, "commit_id")
     return known.join(F.broadcast(head))

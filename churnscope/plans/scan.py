@@ -29,7 +29,18 @@ from churnscope.sources.store import Store
 CHURN_SUMS = ("commits", "total_added", "total_deleted", "recent_added", "recent_deleted", "total_churn", "recent_churn")
 ACC_SUMS = ("touches", "meaningful_commits", "changed_lines", "line_score")
 HISTORY = ("churn", "accumulators", "pairs", "repository_authors", "history_bounds", "chunks")
-MERGE_WARNING = "first-parent history leaves out much of the merged work; churn and ownership may be understated"
+# Why first-parent history may fall short.
+MERGES_WARNING = "many first-parent commits are merges; Git metrics may undercount side-branch work"
+REACHABLE_WARNING = "all reachable history is much larger than first-parent history; Git metrics may undercount side-branch work"
+
+
+def merge_warning(first_parent: int, reachable: int, merges: int) -> str | None:
+    """The first cause that holds; None if first-parent history tells enough."""
+    if first_parent >= 4 and merges >= 3 and 4 * merges >= first_parent:
+        return MERGES_WARNING
+    if reachable >= first_parent + 3 and 4 * reachable >= 5 * max(first_parent, 1):
+        return REACHABLE_WARNING
+    return None
 
 
 def decide(state: dict[str, str], plan: "git_log.GitPlan | git_log.GitError", signature: str, is_ancestor) -> tuple[str, str]:
@@ -67,11 +78,17 @@ class Scan:
         return {r.key: r.value for r in self.store.read("scan_state").collect()} if self.store.exists("scan_state") else {}
 
     def run(self, full: bool = False) -> dict:
-        """Scan, write all tables, and return the summary document."""
+        """Scan, write all tables, and return the summary document.
+
+        The stored state says that a scan has begun before any table changes, and that it
+        is complete after the last one. So a scan that ended in between, perhaps with some
+        increments merged and others not, is followed by a full read of the history.
+        """
         os.makedirs(os.path.join(self.root, walk.INDEX_DIR), exist_ok=True)
         began = time.time()
         with self.store.lock("scan"):
             state = {} if full else self.state()
+            self.store.write("scan_state", pairs_table(self.spark, state | {"last_scan_completed": 0}))
             files, counts = self._files(state)
             meta = self._history(state) | counts
             self._finalize(files, meta)
@@ -133,9 +150,8 @@ class Scan:
             "git_cochange_max_files_per_commit": h.cochange_max_files, "git_recent_churn_window_days": h.recent_days,
             "git_ownership_recency_half_life_days": h.half_life_days, "git_renames": "follow" if h.find_renames else "off", "git_first_parent": "true",
             "git_index_head": plan.head, "git_index_status": "available", "git_options_signature": h.signature()}
-        fp, all_, m = plan.first_parent, plan.reachable, plan.merges
-        if (fp >= 4 and m >= 3 and 4 * m >= fp) or (all_ >= fp + 3 and 4 * all_ >= 5 * max(fp, 1)):
-            meta["git_merge_heavy_warning"] = MERGE_WARNING
+        if warning := merge_warning(plan.first_parent, plan.reachable, plan.merges):
+            meta["git_merge_heavy_warning"] = warning
         meta["git_commits_processed"] = 0
         if mode != "up_to_date":
             meta["git_commits_processed"] = self._read_history(plan, state.get("last_indexed_head") if mode == "incremental" else None)
@@ -148,7 +164,8 @@ class Scan:
         self.store.write("records", records)
         commits, raw = git_log.parse_records(self.store.read("records"))
         commits = commits.withColumn("ts", F.col("ts"))
-        changes = C.collapse(git_log.apply_renames(raw))
+        self.store.write("touched", C.touched(C.collapse(git_log.apply_renames(raw)), commits))
+        changes = self.store.read("touched")
         head = self.spark.createDataFrame([(plan.head_ts,)], "head_ts long")
         deltas = {
             "churn": (C.churn(changes, commits, head, h), ["path"], CHURN_SUMS, ("first_ts",), ("last_ts",)),
@@ -163,9 +180,11 @@ class Scan:
                 old = self.store.read(name)
                 rows = N.insert_ignore(old, rows, key) if not (sums or lows or highs) else N.upsert_accumulate(old, rows, key, sums, lows, highs)
             self.store.write(name, rows)
-        self.store.write("chunks", C.breadth_summary(changes, commits, h))
+        chunk = C.breadth_summary(changes.drop("author", "ts", "breadth"), commits, h)
+        self.store.write("chunks", self.store.read("chunks").unionByName(chunk) if merge and self.store.exists("chunks") else chunk)
         n = commits.count()
-        self.store.drop("records")
+        for used in ("records", "touched"):
+            self.store.drop(used)
         return n
 
     # finalization
@@ -211,7 +230,7 @@ class Scan:
         s.write("project", R.project_score(scores, facts, str(meta["git_index_status"])))
         s.write("project_terms", R.project_terms(s.read("project")))
         if s.exists("chunks"):
-            chunk, share = s.read("chunks").first(), C.top_author_share(acc).first()
+            chunk, share = C.chunk_rollup(s.read("chunks")).first(), C.top_author_share(acc).first()
             meta |= {"git_broad_commits_skipped_for_cochange": chunk["broad_commits"], "git_max_touched_files_in_commit": chunk["max_files"],
                      "git_broadest_commit": chunk["broadest_commit"] or "", "git_top_author_touch_share_percent": share["top_share_percent"],
                      "git_likely_automated_author_count": C.automated_authors(self._history_table("repository_authors")).first()[0]}
@@ -220,6 +239,8 @@ class Scan:
             if share["warning"]:
                 meta["git_author_concentration_warning"] = share["warning"]
         project, o = s.read("project").first(), self.o.scoring
+        planned = C.planned_records(s.read("metrics"), acc, analysis, int(available), int(s.exists("chunks"))).first()
+        meta |= {"store_planned_records": planned["git_final_records"] + planned["materialized_file_records"]}
         meta |= {"file_risk_formula_id": o.file_formula, "package_risk_formula_id": o.package_formula, "project_risk_formula_id": o.project_formula,
                  "project_risk_score": project["score"], "project_risk_band": project["band"], "project_risk_confidence": project["confidence"],
                  "project_risk_scored_file_count": project["scored_files"], "project_risk_active_file_count": project["active_files"]}

@@ -1,8 +1,9 @@
-"""Tables as versioned Parquet folders with an atomically swapped pointer."""
+"""Tables as versioned Parquet folders with pointers that appear whole."""
 
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,10 +17,11 @@ class IndexIncomplete(RuntimeError):
 
 
 class Store:
-    """``root/<table>/v<N>`` holds version N; ``root/<table>/current.json`` names the one in use.
+    """``root/<table>/v<N>`` holds version N; the last ``root/<table>/pointer-<N>.json`` names the one in use.
 
-    All access goes through Hadoop's file systems, so the root may lie anywhere that
-    Spark can write.
+    A pointer is written under another name and then renamed, so a crash leaves either
+    the old pointer or the new one. All access goes through Hadoop's file systems, so the
+    root may lie anywhere that Spark can write.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -44,9 +46,16 @@ class Store:
         finally:
             stream.close()
 
+    def _pointers(self, table: str) -> list[int]:
+        folder = self._path(table)
+        if not self._fs.exists(folder):
+            return []
+        names = [x.getPath().getName() for x in self._fs.listStatus(folder)]
+        return sorted(int(n[8:-5]) for n in names if n.startswith("pointer-") and n.endswith(".json"))
+
     def _current(self, table: str) -> dict | None:
-        text = self._read_text(self._path(table, "current.json"))
-        return json.loads(text) if text else None
+        found = self._pointers(table)
+        return json.loads(self._read_text(self._path(table, f"pointer-{found[-1]}.json"))) if found else None
 
     def exists(self, table: str) -> bool:
         return self._current(table) is not None
@@ -66,13 +75,19 @@ class Store:
         return self.spark.read.parquet(f"{self.root}/{table}/v{now['version']}")
 
     def write(self, table: str, rows: DataFrame, epoch: int = -1) -> None:
-        """A new version beside the old one, which readers keep until the pointer moves."""
+        """A new version beside the old one, which readers keep until the pointer appears."""
         version = self.version(table) + 1
         rows.write.mode("overwrite").parquet(f"{self.root}/{table}/v{version}")
-        self._write_text(self._path(table, "current.json"), json.dumps({"version": version, "epoch": epoch}), True)
-        old = self._path(table, f"v{version - 2}")
-        if version > 2 and self._fs.exists(old):
-            self._fs.delete(old, True)
+        new, pointer = self._path(table, f"new-{uuid.uuid4().hex}"), self._path(table, f"pointer-{version}.json")
+        self._write_text(new, json.dumps({"version": version, "epoch": epoch}), False)
+        if not self._fs.rename(new, pointer):
+            raise OSError(f"the pointer of {table} could not be renamed")
+        for old in self._pointers(table):
+            if old < version:
+                self._fs.delete(self._path(table, f"pointer-{old}.json"), False)
+        stale = self._path(table, f"v{version - 2}")
+        if version > 2 and self._fs.exists(stale):
+            self._fs.delete(stale, True)
 
     def drop(self, table: str) -> None:
         self._fs.delete(self._path(table), True)

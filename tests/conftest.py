@@ -3,10 +3,10 @@ from pyspark.sql import SparkSession
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     s = (SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2").config("spark.driver.memory", "2g")
          .config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
-         .config("spark.sql.streaming.checkpointLocation", "/tmp/churnscope-test-streams").getOrCreate())
+         .config("spark.sql.streaming.checkpointLocation", str(tmp_path_factory.mktemp("streams"))).getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()

@@ -4,6 +4,7 @@ from churnscope.functions import scoring as S
 from churnscope.functions import text as X
 from churnscope.operators import risk as R
 from churnscope.plans import reports
+from churnscope.scratch import with_rank
 
 FACTS = (
     "path string, package string, language string, is_test boolean, is_generated boolean, is_vendor boolean, line_count long, byte_size long, complexity long, "
@@ -45,7 +46,7 @@ def test_missing_values(spark):
 def test_ties_tests_and_exclusions(spark):
     f = facts(spark, dict(path="zeta.go"), dict(path="alpha.go"), dict(path="x_test.go", is_test=True), dict(path="g.go", is_generated=True), dict(path="r.rs", language=None))
     s = R.file_scores(f, context(spark))
-    assert [r.path for r in s.orderBy("rank").collect()][:2] == ["alpha.go", "x_test.go"]
+    assert [r.path for r in with_rank(s, "path", falling=("score",)).orderBy("rank").collect()][:2] == ["alpha.go", "x_test.go"]
     assert {r.position: r.path for r in reports.hotspots(s).collect()} == {1: "alpha.go", 2: "zeta.go"}
     counts = R.scoring_counts(f).first()
     assert (counts.scored, counts.scored_production, counts.scored_test, counts.excluded_generated_vendor) == (3, 2, 1, 1)
@@ -54,6 +55,29 @@ def test_ties_tests_and_exclusions(spark):
     assert R.package_scores(s).first().file_count == 2 and R.package_terms(R.package_scores(s)).count() == 5
 
 
+def test_ranks_over_many_parts(spark):
+    rows = spark.createDataFrame([(f"k{i:04}", float(i % 7)) for i in range(500)], "key string, score double").repartition(5)
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "6")
+    got = [(r.key, r.rank) for r in with_rank(rows, "key", falling=("score",)).orderBy("rank").collect()]
+    spark.conf.set("spark.sql.shuffle.partitions", kept)
+    want = sorted((-(i % 7), f"k{i:04}") for i in range(500))
+    assert got == [(k, n + 1) for n, (_, k) in enumerate(want)]
+    assert with_rank(rows.limit(0), "key", falling=("score",)).count() == 0
+
+
+def test_explain_counts_what_it_does_not_list(spark):
+    f = facts(spark, *[dict(path=f"p/{i}.go", package="p") for i in range(6)])
+    s = with_rank(R.file_scores(f, context(spark)), "path", falling=("score",))
+    edges = spark.createDataFrame([(f"p/{i}.go", "p", "p") for i in range(5)], "source_path string, source_package string, target_package string")
+    owners = spark.createDataFrame([], "path string, owner_rank int, owner string, share double, score double, touches long")
+    pairs = spark.createDataFrame([], "left_path string, right_path string, pair_count long")
+    resolved = spark.createDataFrame([], "source_path string, idx int, raw_target string, source_package string, resolved_package string")
+    got = {r.path: r for r in reports.explain(f, s, owners, pairs, resolved, edges, f.select("path"), importers=2).collect()}
+    assert [x.source_path for x in got["p/0.go"].inbound] == ["p/1.go", "p/2.go"] and got["p/0.go"].inbound_count == 4
+    assert [x.source_path for x in got["p/5.go"].inbound] == ["p/0.go", "p/1.go"] and got["p/5.go"].inbound_count == 5
+
+
 def test_empty_project(spark):
     s = R.file_scores(facts(spark).limit(0), context(spark))
     p = R.project_score(s, facts(spark, dict(language=None)), "unavailable").first()

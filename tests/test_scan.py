@@ -68,6 +68,70 @@ def test_scan_twice_then_advance(spark, tmp_path, monkeypatch, capsys):
     assert git_log.is_ancestor(root, ids[0]) and git_log.commit_chunks([1, 2, 3], 0) == [[1], [2], [3]]
 
 
+@needs_git
+def test_a_scan_that_ends_between_tables_is_made_good(spark, tmp_path, monkeypatch, capsys):
+    root, other = str(tmp_path / "a"), str(tmp_path / "b")
+    subprocess.run(["git", "init", "-q", root], check=True)
+    put(root, ".gitignore", walk.INDEX_DIR + "\n")
+    for day in (1, 2):
+        put(root, "a.go", f"package a\n\nvar X = {day}\n")
+        put(root, "b.go", f"package a\n\nvar Y = {day}\n")
+        commit(root, f"day {day}", day)
+    Scan(spark, root).run()
+    put(root, "a.go", "package a\n\nvar X = 3\n")
+    commit(root, "day 3", 3)
+    whole, written = Store.write, []
+
+    def breaks(self, table, rows, epoch=-1):
+        if table == "pairs":  # churn and accumulators have been merged
+            raise OSError("lost")
+        written.append(table)
+        whole(self, table, rows, epoch)
+
+    monkeypatch.setattr(Store, "write", breaks)
+    with pytest.raises(OSError):
+        Scan(spark, root).run()
+    monkeypatch.setattr(Store, "write", whole)
+    assert "churn" in written and "accumulators" in written and Scan(spark, root).state()["last_scan_completed"] == "0"
+    monkeypatch.chdir(root)
+    assert cli.main(["hotspots"], spark) == 1 and "run a scan first" in capsys.readouterr().err
+    again = Scan(spark, root).run()
+    assert again["scan"]["type"] == "full" and Scan(spark, root).state()["last_scan_completed"] == "1"
+    shutil.copytree(root, other, ignore=shutil.ignore_patterns(walk.INDEX_DIR))
+    Scan(spark, other).run()
+    for table in ("churn", "accumulators", "pairs", "history_bounds", "repository_authors"):
+        rows = [sorted(map(tuple, Scan(spark, r).store.read(table).collect())) for r in (root, other)]
+        assert rows[0] == rows[1] and rows[0], table
+    with Scan(spark, root).store.lock("scan"):
+        assert cli.main(["hotspots"], spark) == 1 and cli.main(["explain", "a.go"], spark) == 1
+    assert capsys.readouterr().err.count("in use") == 2
+    # broad commits of earlier reads still count after an incremental one
+    put(root, "a.go", "package a\n\nvar X = 4\n")
+    commit(root, "day 4", 4)
+    Scan(spark, root).run()
+    meta = {r.key: r.value for r in Scan(spark, root).store.read("metadata").collect()}
+    assert meta["git_max_touched_files_in_commit"] == "3" and meta["git_commits_processed"] == "1" and int(meta["store_planned_records"]) > 0
+
+
+def test_a_pointer_appears_whole(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}")
+    for n in (1, 2, 3, 4):
+        store.write("t", spark.createDataFrame([(n,)], "n int"))
+    (tmp_path / "t" / "new-left-by-a-crash").write_text("")
+    shutil.copytree(tmp_path / "t" / "v4", tmp_path / "t" / "v5")  # written, but never pointed to
+    assert store.read("t").first().n == 4 and store.version("t") == 4
+    store.write("t", spark.createDataFrame([(5,)], "n int"))
+    assert [r.n for r in store.read("t").collect()] == [5]
+    assert sorted(p.name for p in (tmp_path / "t").iterdir() if p.name[0] in "pv") == ["pointer-5.json", "v4", "v5"]
+
+
+def test_merge_heavy_causes():
+    from churnscope.plans import scan
+
+    assert scan.merge_warning(4, 4, 3) == scan.MERGES_WARNING and scan.merge_warning(10, 13, 2) == scan.REACHABLE_WARNING
+    assert scan.merge_warning(13, 13, 3) is None and scan.merge_warning(3, 3, 3) is None and scan.merge_warning(100, 124, 0) is None
+
+
 def test_scan_without_history(spark, tmp_path):
     put(str(tmp_path), "a.go", "package a\n")
     d = Scan(spark, str(tmp_path)).run()
