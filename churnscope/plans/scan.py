@@ -23,7 +23,7 @@ from churnscope.operators import snapshots as N
 from churnscope.plans import documents
 from churnscope.scratch import with_rank
 from churnscope.sources import git_log, walk
-from churnscope.sources.parsers import parse_files
+from churnscope.sources.parsers import parsed
 from churnscope.sources.store import Store
 
 CHURN_SUMS = ("commits", "total_added", "total_deleted", "recent_added", "recent_deleted", "total_churn", "recent_churn")
@@ -105,7 +105,7 @@ class Scan:
         windows = walk.read_windows(fresh.withColumn("path", F.concat(F.lit(self.root + "/"), "path")), self.o.analysis.content_window).withColumn("path", P.relative_path(self.root, F.col("path")))
         kind = X.content_kind(F.col("content"))
         text = F.when((F.col("kind") == "text") & ~F.col("truncated"), F.col("content").cast("string"))
-        facts = windows.withColumn("kind", kind).withColumn("text", text).withColumns({
+        facts = windows.withColumn("_p", parsed(F.col("path"), F.col("content"), F.col("truncated"))).select("*", "_p.*").drop("_p").withColumn("kind", kind).withColumn("text", text).withColumns({
             "content_kind": F.col("kind"), "line_count": X.line_count(F.col("text")), "extension": P.extension(F.col("path")),
             "is_generated": P.is_generated_path(F.col("path")) | F.coalesce(X.has_generated_marker(F.col("text")), F.lit(False)),
             "is_vendor": P.is_vendor(F.col("path")), "is_test": P.is_test(F.col("path")),
@@ -115,13 +115,11 @@ class Scan:
             note(F.col("content").isNull(), "read_failed", "The file could not be read."),
             note((F.col("content_kind") == "unknown") & F.col("content").isNotNull(), "unsupported_encoding", "The file is not valid UTF-8 text."),
             note(F.col("truncated") | (F.col("content_kind") != "text"), "line_count_skipped", "Lines were not counted.")))
-        facts = facts.withColumn("file_notes", notes).drop("content", "text", "kind")
-        parsed = facts.join(parse_files(windows), "path").withColumn(
-            "diagnostics", X.diagnostics_json(F.concat("file_notes", "diagnostics"))).drop("file_notes")
-        rows = parsed
+        fresh_rows = facts.withColumn("diagnostics", X.diagnostics_json(F.concat(notes, "diagnostics"))).drop("content", "text", "kind")
+        rows = fresh_rows
         if usable:
             kept = N.touch(stored, N.reusable(found, stored), ["path"], scan_id)
-            rows = N.upsert_replace(kept, parsed, ["path"])
+            rows = N.upsert_replace(kept, fresh_rows, ["path"])
         self.store.write("file_analysis", N.soft_delete(rows, scan_id))
         files = self.store.read("file_analysis")
         n = files.where("is_active").count()

@@ -172,16 +172,17 @@ def alias_map(renames: list[tuple[str, str]]) -> dict[str, str]:
     the whole history, so a file made later at an old name counts as the renamed one.
     """
     ends: dict[str, str] = {}
+    ending: dict[str, set[str]] = {}  # what ends where
     for old, new in renames:
-        target = new
-        for _ in range(len(ends)):
-            if target not in ends or ends[target] == target:
-                break
+        target, seen = new, set()
+        while ends.get(target, target) != target and target not in seen:
+            seen.add(target)
             target = ends[target]
-        ends[old] = target
-        for path, end in ends.items():
-            if end == old:
-                ends[path] = target
+        moved = ending.pop(old, set()) | {old}
+        if old in ends:
+            ending.get(ends[old], set()).discard(old)
+        ends.update(dict.fromkeys(moved, target))
+        ending.setdefault(target, set()).update(moved)
     return ends
 
 

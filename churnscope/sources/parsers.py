@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from churnscope import gosyntax
 
@@ -62,14 +62,21 @@ def parse_file(path: str, content: bytes | None, truncated: bool, parsers: list[
     }
 
 
-def parse_files(windows: DataFrame, parsers: list[LanguageParser] | None = None) -> DataFrame:
-    """``windows``: (path, content, truncated). One row each, as ``PARSED`` says."""
+def parsed(path: Column, content: Column, truncated: Column, parsers: list[LanguageParser] | None = None) -> Column:
+    """A struct of what ``PARSED`` says but the path, so that one reading of a file serves all that is derived from it."""
     parsers = parsers or [GoParser()]
+    schema = PARSED.removeprefix("path string, ")
+    names = [c.split()[0] for c in PARSED.split(", ")][1:]
+
+    @F.pandas_udf(schema)
+    def parse(paths: pd.Series, contents: pd.Series, cut: pd.Series) -> pd.DataFrame:
+        rows = [parse_file(p, c, bool(t), parsers) for p, c, t in zip(paths, contents, cut)]
+        return pd.DataFrame(rows, columns=names).astype({"complexity": "Int64", "max_function_complexity": "Int64"})
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [parse_file(p, c, bool(t), parsers) for p, c, t in zip(batch["path"], batch["content"], batch["truncated"])]
-            out = pd.DataFrame(rows, columns=[c.split()[0] for c in PARSED.split(", ")])
-            yield out.astype({"complexity": "Int64", "max_function_complexity": "Int64"})
+    return parse(path, content, truncated)
 
-    return windows.select("path", "content", "truncated").mapInPandas(run, PARSED)
+
+def parse_files(windows: DataFrame, parsers: list[LanguageParser] | None = None) -> DataFrame:
+    """``windows``: (path, content, truncated). One row each, as ``PARSED`` says."""
+    rows = windows.select("path", parsed(F.col("path"), F.col("content"), F.col("truncated"), parsers).alias("_p"))
+    return rows.select("path", "_p.*")

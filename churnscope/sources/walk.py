@@ -10,11 +10,14 @@ import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from churnscope.scratch import materialize
+
 INDEX_DIR = ".churnscope"
 
 
@@ -102,10 +105,16 @@ def walk(root: str) -> Iterator[tuple[str, str, int | None, int | None]]:
     yield from visit(root, "", [])
 
 
-def files(spark: SparkSession, root: str) -> DataFrame:
-    rows = pd.DataFrame(walk(root), columns=["path", "relative_path", "byte_size", "mtime_ms"])
-    schema = "path string, relative_path string, byte_size long, mtime_ms long"
-    return spark.createDataFrame(rows.astype({"byte_size": "Int64", "mtime_ms": "Int64"}), schema) if len(rows) else spark.createDataFrame([], schema)
+def files(spark: SparkSession, root: str, rows: int = 200_000) -> DataFrame:
+    """The walk as a table; the driver holds ``rows`` of them at a time."""
+    schema, found, table = "path string, relative_path string, byte_size long, mtime_ms long", walk(root), None
+    while part := list(islice(found, rows)):
+        frame = pd.DataFrame(part, columns=[c.split()[0] for c in schema.split(", ")]).astype({"byte_size": "Int64", "mtime_ms": "Int64"})
+        more = spark.createDataFrame(frame, schema)
+        if table is not None or len(part) == rows:
+            more = materialize(more, "files")
+        table = more if table is None else table.unionByName(more)
+    return spark.createDataFrame([], schema) if table is None else table
 
 
 def read_windows(found: DataFrame, window: int) -> DataFrame:
