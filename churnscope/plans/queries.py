@@ -412,18 +412,63 @@ def file_reuse(b: Binding) -> DataFrame:
     return reused.unionByName(N.to_analyze(second, first).select("path", F.lit(False).alias("reused")))
 
 
-@query("""
-WITH e AS (SELECT user_id::VARCHAR AS run, event_id AS seq, value::BIGINT AS n, event_type FROM events),
-s AS (SELECT run, max(seq) FILTER (event_type = 'signup') AS since, count(*) FILTER (event_type = 'signup') AS restarts FROM e GROUP BY run)
-SELECT run, count(*) FILTER (event_type = 'view') AS discovered, count(*) FILTER (event_type = 'click') AS files_done,
-       count(*) FILTER (event_type = 'purchase') AS chunks_done, count(*) FILTER (event_type = 'error') AS chunks_failed,
-       coalesce(sum(n) FILTER (event_type = 'purchase'), 0)::BIGINT AS commits, max(seq) AS last_seq, max(restarts) AS restarts
-FROM e JOIN s USING (run) WHERE since IS NULL OR seq >= since GROUP BY run""")
+#: Columns of a folded run by DuckDB type, and each kind's update of the state ``s`` by the event ``e``.
+_RUN = {c: "BIGINT" for c in (*E.COUNTS, *E.PLANNED)} | {c: "DOUBLE" for c in E.TIMES} | {c: "BOOLEAN" for c in E.FLAGS} | {"index_action": "VARCHAR", "last_seq": "BIGINT", "restarts": "BIGINT"}
+_PROCESSED = "greatest(s.commits_processed, e.n)"
+_SETTLED = f"CASE WHEN s.index_action IS DISTINCT FROM 'reused' AND s.commits_total IS NOT NULL THEN {_PROCESSED} ELSE s.commits_total END"
+_FOLD = {
+    "files_found": {"walk_progress": "e.files", "walk_done": "e.files", "scan_done": "e.files", "file_found": "s.files_found + 1"},
+    "entries_walked": {"walk_progress": "e.n", "walk_done": "e.n"},
+    "files_analyzed": {"file_analyzed": "greatest(s.files_analyzed, e.files)", "scan_done": "e.m"},
+    "commits_processed": {"chunk_done": "s.commits_processed + e.n", "history_done": _PROCESSED, "scan_done": _PROCESSED, "history_skipped": "0"},
+    "file_changes": {"chunk_done": "s.file_changes + e.m"},
+    "records_stored": {k: "greatest(s.records_stored, e.n)" for k in ("batch_stored", "store_done")},
+    "files_total": {k: "e.files" for k in ("files_counted", "walk_done", "scan_done")},
+    "commits_total": {"history_planned": "e.n", "history_skipped": "CASE WHEN s.index_action = 'reused' THEN s.commits_total ELSE 0 END", "history_done": _SETTLED, "scan_done": _SETTLED},
+    "chunks_total": {"history_planned": "e.m", "history_skipped": "CASE WHEN s.index_action = 'reused' THEN s.chunks_total ELSE 0 END"},
+    "records_planned": {"records_planned": "greatest(coalesce(s.records_planned, 0), e.n)"} | {k: "greatest(coalesce(s.records_planned, 0), 2 * e.files)" for k in ("files_counted", "walk_done")},
+    "walk_time": {k: "e.elapsed" for k in ("walk_progress", "walk_done")},
+    "analysis_time": {"file_analyzed": "greatest(s.analysis_time, e.elapsed)"},
+    "history_time": {k: "greatest(s.history_time, e.elapsed)" for k in ("chunk_done", "chunk_failed", "history_done")},
+    "store_time": {k: "greatest(s.store_time, e.elapsed)" for k in ("batch_stored", "store_done")},
+    "total_time": {k: "greatest(s.total_time, e.elapsed)" for k in ("walk_progress", "walk_done", "file_analyzed", "chunk_done", "chunk_failed", "history_done", "batch_stored", "store_done", "files_counted", "scan_done")},
+    "history_done": {"history_planning": "false", "history_planned": "s.history_done OR e.n = 0"} | {k: "true" for k in ("history_skipped", "history_done", "scan_done")},
+    "history_skipped": {"history_planning": "false", "history_skipped": "s.history_skipped OR s.index_action IS DISTINCT FROM 'reused'"},
+    "store_done": {"store_done": "true", "scan_done": "true"}, "done": {"scan_done": "true"}, "index_action": {"history_status": "e.note"},
+    "last_seq": {}, "restarts": {},
+}
+_NOTHING = {"BIGINT": "0", "DOUBLE": "0", "BOOLEAN": "false", "VARCHAR": "NULL"}
+
+
+def _field(c: str) -> str:
+    if c == "last_seq":
+        return "last_seq := e.last_seq"
+    if c == "restarts":
+        return "restarts := s.restarts + (e.kind = 'scan_started')::BIGINT"
+    start = f"CAST({'NULL' if c in E.PLANNED else _NOTHING[_RUN[c]]} AS {_RUN[c]})"
+    return f"{c} := CAST(CASE e.kind WHEN 'scan_started' THEN {start} " + " ".join(f"WHEN '{k}' THEN {x}" for k, x in _FOLD[c].items()) + f" ELSE s.{c} END AS {_RUN[c]})"
+
+
+_EVENT = "kind, files, n, m, elapsed, note"
+_START = ", ".join(f"{c} := CAST({'NULL' if c in E.PLANNED else _NOTHING[t]} AS {t})" for c, t in _RUN.items())
+
+
+@query(f"""
+WITH k AS (SELECT list_value({", ".join(f"'{k}'" for k in E.KINDS)}) AS kinds),
+e AS (SELECT (user_id % 40)::VARCHAR AS run, event_id AS last_seq, CASE WHEN event_id % 101 = 0 THEN kinds[1] ELSE kinds[(event_id % 16 + 2)::INT] END AS kind, event_id % 50 AS files, event_id % 31 AS n,
+             event_id % 13 AS m, (event_id % 97)::DOUBLE AS elapsed, CASE WHEN event_id % 3 = 0 THEN 'reused' ELSE 'fully_rebuilt' END AS note FROM events, k),
+l AS (SELECT run, list({{{", ".join(f"'{c}': " + ("last_seq" if c == "last_seq" else f"CAST(NULL AS {t})") for c, t in _RUN.items())}, {", ".join(f"'{c}': {c}" for c in _EVENT.split(", "))}}} ORDER BY last_seq) AS es FROM e GROUP BY run),
+f AS (SELECT run, list_reduce(es, lambda s, e: struct_pack({", ".join(map(_field, _RUN))}, {", ".join(f"{c} := e.{c}" for c in _EVENT.split(", "))}),
+             struct_pack({_START}, kind := '', files := 0::BIGINT, n := 0::BIGINT, m := 0::BIGINT, elapsed := 0::DOUBLE, note := '')) AS s FROM l)
+SELECT run, {", ".join(f"s.{c} AS {c}" for c in _RUN)} FROM f""")
 def event_state_fold(b: Binding) -> DataFrame:
-    kinds = {"signup": "started", "view": "discovered", "click": "file_done", "purchase": "chunk_done", "error": "chunk_failed"}
-    kind = F.element_at(F.create_map(*[F.lit(x) for p in kinds.items() for x in p]), F.col("event_type"))
+    """Events of all 17 kinds in turn, with a new start now and then."""
+    kinds, e = list(E.KINDS), F.col("event_id")
+    kind = F.when(e % 101 == 0, kinds[0]).otherwise(F.get(F.array(*map(F.lit, kinds)), (e % 16 + 1).cast("int")))
+    note = F.when(e % 3 == 0, "reused").otherwise("fully_rebuilt")
     return E.fold_batch(b.table("events").select(
-        F.col("user_id").cast("string").alias("run"), F.col("event_id").alias("seq"), kind.alias("kind"), F.round("value").cast("bigint").alias("n")))
+        (F.col("user_id") % 40).cast("string").alias("run"), e.alias("seq"), kind.alias("kind"), (e % 50).alias("files"), (e % 31).alias("n"), (e % 13).alias("m"),
+        (e % 97).cast("double").alias("elapsed"), note.alias("note")))
 
 
 @query("""

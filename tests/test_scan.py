@@ -160,21 +160,38 @@ def test_snapshots(spark):
     assert [r.key for r in N.clear_family(meta).collect()] == ["files"]
 
 
-EVENTS = [("r", 1, "started", 0), ("r", 2, "discovered", 0), ("r", 3, "chunk_done", 7), ("s", 1, "discovered", 0), ("s", 2, "started", 0), ("s", 3, "file_done", 0), ("s", 4, "chunk_failed", 0)]
+def event(run, seq, kind, files=None, n=None, m=None, elapsed=None, note=None):
+    return (run, seq, kind, files, n, m, elapsed, note)
+
+
+EVENTS = [
+    event("s", 1, "file_found"), event("s", 2, "chunk_done", n=9, m=9, elapsed=50.0), event("r", 1, "scan_started"), event("r", 2, "walk_progress", 3, 7, elapsed=1.0), event("r", 3, "file_found"),
+    event("r", 4, "files_counted", 5, elapsed=2.0), event("r", 5, "walk_done", 6, 9, elapsed=3.0), event("r", 6, "history_planning"), event("r", 7, "history_planned", n=10, m=2),
+    event("r", 8, "history_status", note="fully_rebuilt"), event("r", 9, "chunk_done", n=4, m=8, elapsed=6.0), event("r", 10, "chunk_failed", elapsed=9.0), event("r", 11, "odd"),
+    event("s", 3, "scan_started"), event("s", 4, "history_status", note="reused"), event("s", 5, "history_planned", n=0, m=0), event("s", 6, "history_skipped"), event("s", 7, "history_done", n=3, elapsed=1.5),
+    event("r", 12, "file_analyzed", 4, elapsed=4.0), event("r", 13, "history_done", n=7, elapsed=7.0), event("r", 14, "records_planned", n=5), event("r", 15, "batch_stored", n=8, elapsed=8.0),
+    event("r", 16, "store_done", n=12, elapsed=8.5), event("r", 17, "scan_done", 6, 7, 6, elapsed=9.5)]
 
 
 def test_event_fold_batch_equals_stream(spark, tmp_path):
-    schema = "run string, seq long, kind string, n long"
-    batch = sorted(map(tuple, E.fold_batch(spark.createDataFrame(EVENTS, schema)).collect()))
-    assert batch == [("r", 1, 0, 1, 0, 7, 3, 1), ("s", 0, 1, 0, 1, 0, 4, 1)]
-    spark.createDataFrame(EVENTS[:4], schema).coalesce(1).write.parquet(str(tmp_path / "in"))
-    spark.createDataFrame(EVENTS[4:], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = E.fold_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
-    run = stream.writeStream.outputMode("update").format("memory").queryName("folded").option("checkpointLocation", str(tmp_path / "c")).start()
+    assert len(E.KINDS) == 17
+    batch = {r.run: r.asDict() for r in E.fold_batch(spark.createDataFrame(EVENTS, E.EVENTS)).collect()}
+    r, s = batch["r"], batch["s"]
+    assert (r["files_found"], r["entries_walked"], r["files_total"], r["files_analyzed"], r["records_planned"], r["records_stored"]) == (6, 9, 6, 6, 12, 12)
+    assert (r["commits_processed"], r["commits_total"], r["chunks_total"], r["file_changes"]) == (7, 7, 2, 8)
+    assert (r["walk_time"], r["analysis_time"], r["history_time"], r["store_time"], r["total_time"]) == (3.0, 4.0, 9.0, 8.5, 9.5)
+    assert r["done"] and r["store_done"] and r["history_done"] and not r["history_skipped"] and (r["last_seq"], r["restarts"]) == (17, 1)
+    # a new start forgets; a reused index keeps its total and is not skipped
+    assert (s["files_found"], s["commits_processed"], s["commits_total"], s["total_time"], s["history_skipped"], s["history_done"], s["restarts"]) == (0, 3, 0, 1.5, False, True, 1)
+    for k, part in enumerate((EVENTS[:7], EVENTS[7:])):
+        spark.createDataFrame(part, E.EVENTS).coalesce(1).write.mode("append").parquet(str(tmp_path / f"in{k}"))
+    told = {}
+    stream = E.fold_stream(spark.readStream.schema(E.EVENTS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in*")))
+    run = stream.writeStream.outputMode("update").foreachBatch(E.observed(lambda row: told.update({row["run"]: row}))).option("checkpointLocation", str(tmp_path / "c")).start()
     run.processAllAvailable()
     run.stop()
-    last = {r.run: tuple(r) for r in spark.table("folded").orderBy("last_seq").collect()}
-    assert sorted(last.values()) == batch
+    assert told == batch
+    assert E.fold_batch(spark.createDataFrame([], E.EVENTS)).count() == 0
 
 
 def test_micro_batches_merge_once(spark, tmp_path):
