@@ -50,7 +50,7 @@ class MaxentOptions:
 
     words: int = 3072
     buckets: int = 1024
-    rows: tuple[int, int, int] = (1 << 16, 1 << 15, 1 << 15)
+    rows: tuple[int, int, int] = (1 << 15, 1 << 14, 1 << 14)
     frequent: int = 1 << 17
     steps: int = 8
     rate: float = 0.8
@@ -195,10 +195,15 @@ def _initial(vocabulary: Vocabulary, options: MaxentOptions) -> np.ndarray:
     return w
 
 
-def moved(w: np.ndarray, seen: np.ndarray, expected: np.ndarray, options: MaxentOptions) -> np.ndarray:
-    """The weights after a step; the biases keep what the counts of the whole corpus give."""
-    step = options.rate * (seen - expected) / (seen + expected + options.prior)
-    return (w + step).astype(np.float32)
+def move(w: np.ndarray, seen: np.ndarray, expected: np.ndarray, options: MaxentOptions) -> None:
+    """Move the weights (in place, as the other arrays are used up); biases keep what the counts of the whole corpus give."""
+    seen -= expected
+    expected *= 2
+    expected += seen  # what was seen and what is expected
+    expected += np.float32(options.prior)
+    seen /= expected
+    seen *= np.float32(options.rate)
+    w += seen
 
 
 def train(tokens: DataFrame, sent, vocabulary: Vocabulary, options: MaxentOptions) -> np.ndarray:
@@ -218,14 +223,22 @@ def train(tokens: DataFrame, sent, vocabulary: Vocabulary, options: MaxentOption
             yield pd.DataFrame({"at": at.astype(np.int32), "seen": seen[at].astype(np.float32), "expected": expected.ravel()[at].astype(np.float32)})
 
         sums = tokens.where(F.col("part") == step).select("tokens").mapInPandas(counted, "at int, seen float, expected float")
-        sums = sums.groupBy("at").agg(F.sum("seen").cast("float").alias("seen"), F.sum("expected").cast("float").alias("expected")).toPandas()
-        seen, expected = np.zeros(w.size), np.zeros(w.size)
-        seen[sums["at"]], expected[sums["at"]] = sums["seen"], sums["expected"]
-        w = moved(w, seen.reshape(w.shape), expected.reshape(w.shape), options)
+        sums = sums.groupBy("at").agg(F.sum("seen").cast("float").alias("seen"), F.sum("expected").cast("float").alias("expected"))
+        seen, expected = np.zeros(w.size, dtype=np.float32), np.zeros(w.size, dtype=np.float32)
+        for row in sums.mapInPandas(_packed, "at binary, seen binary, expected binary").collect():  # 12 bytes a weight
+            at = np.frombuffer(row["at"], np.int32)
+            seen[at], expected[at] = np.frombuffer(row["seen"], np.float32), np.frombuffer(row["expected"], np.float32)
         weights.unpersist()
+        move(w, seen.reshape(w.shape), expected.reshape(w.shape), options)
     return w
 
 
+def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        if len(batch):
+            yield pd.DataFrame({c: [batch[c].to_numpy(kind).tobytes()] for c, kind in (("at", np.int32), ("seen", np.float32), ("expected", np.float32))})
+
+
 def _tokens(docs: DataFrame, options: MaxentOptions) -> DataFrame:
     """(doc_id, held_out, tokens) in folders by ``part``: training parts from 0, and -1 for what is held out."""
     out = held_out(F.col("doc_id"))
