@@ -6,16 +6,17 @@ vector) turn packed bits into an estimate of the inner product with a query and
 bound on its error. Only vectors whose bound reaches into the best so far are
 reranked on the original vectors.
 
-Vectors that are null, zero, of another length than ``dim`` or that hold a null or
-non-finite component take no part, nor do rows without an id. A repeated (id,
-vector) counts once; ids with several vectors keep their nearest. An empty table
-gives an empty result; extra columns don't matter.
+Defined results: vectors that are null, zero, empty or that hold a null or non-finite
+component take no part, nor do rows without an id. Vectors are near to those of their
+own length only; each length is searched by itself. A repeated (id, vector) counts once;
+ids with several vectors keep their nearest. Ties go to the smaller id. An empty table
+gives an empty result; other columns, whatever their names, aren't read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -27,10 +28,11 @@ from churnscope.llm.common import bound_batches, materialize
 
 @dataclass(frozen=True)
 class OneBitOptions:
-    """``slack``: width of the error bound in units of its deviation. ``wave``: queries
+    """``dim``: length of the vectors, each length of the data if it is left out.
+    ``slack``: width of the error bound in units of its deviation. ``wave``: queries
     that are broadcast at once, so memory doesn't depend on how many there are."""
 
-    dim: int = 64
+    dim: int | None = None
     k: int = 10
     seed: int = 7
     slack: float = 5.0
@@ -46,7 +48,8 @@ def usable(vectors: DataFrame, options: OneBitOptions) -> DataFrame:
     """(vec_id, v) of the rows that take part, as doubles."""
     v = F.col("embedding")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0)
-    return vectors.where(F.col("vec_id").isNotNull() & v.isNotNull() & (F.size(v) == options.dim)).where(F.coalesce(fine, F.lit(False))).select(
+    length = F.size(v) > 0 if options.dim is None else F.size(v) == options.dim
+    return vectors.where(F.col("vec_id").isNotNull() & v.isNotNull() & length).where(F.coalesce(fine, F.lit(False))).select(
         "vec_id", v.cast("array<double>").alias("v"))
 
 
@@ -136,6 +139,13 @@ def nearest(vectors: DataFrame, is_query, options: OneBitOptions = OneBitOptions
     """
     spark = vectors.sparkSession
     bound_batches(spark)
+    if options.dim is None:
+        lengths = sorted(r[0] for r in usable(vectors, options).select(F.size("v")).distinct().collect())
+        found = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        for dim in lengths:  # one, as a rule
+            part = nearest(vectors, is_query, replace(options, dim=dim))
+            found = part if dim == lengths[0] else found.unionByName(part)
+        return found
     index, centre = build_index(usable(vectors, options), options)
     queries = materialize(index.where(is_query).select("vec_id", "v").distinct(), "queries")
     waves = -(-queries.count() // options.wave)

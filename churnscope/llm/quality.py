@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from churnscope.llm.common import WORD, let, text_or_empty, words_of
+from churnscope.llm.common import WORD, fresh, let, text_or_empty, words_of
 
 SYMBOLS = "[#*$%&|<>]"
 #: Frequent function words of English, German, French and Spanish (fixed values).
@@ -45,7 +45,7 @@ DEFAULT_THRESHOLDS = (
 )
 
 _WINDOW = 8
-_LOW = (1 << 28) - 1  # positions; a text of 2 GB has fewer words
+_LOW = (1 << 28) - 1  # positions: an array of more words than that can't be a value in Spark, at 8 bytes each and 2 GB a value
 
 
 def _words_in_repeats(words: Column) -> Column:
@@ -149,4 +149,7 @@ def quality_rules(docs: DataFrame, text_col: str = "text", thresholds=DEFAULT_TH
 
 def quality_stage(docs: DataFrame) -> DataFrame:
     """The documents that the rules keep, with the columns they came with."""
-    return quality_rules(docs).where(F.col("_q_quality.kept")).drop("_q_quality")
+    prefix, columns = "_q_", docs.columns
+    while fresh(columns, f"{prefix}quality") != f"{prefix}quality":
+        prefix += "_"
+    return quality_rules(docs, prefix=prefix).where(F.col(f"{prefix}quality.kept")).select(*[F.col(f"`{c}`") for c in columns])

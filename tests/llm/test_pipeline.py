@@ -42,3 +42,32 @@ def test_near_copies_from_80_percent_go(spark):
     rows = [(i, " ".join(w)) for i, w in enumerate([words, near, far])]
     kept = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
     assert {x.doc_id for x in kept.collect()} == {0, 2}
+
+
+def test_pipeline_with_nulls_repeats_clashes_and_long_texts(spark, tmp_path):
+    r = random.Random(18)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
+    clean = [" ".join([*(word() for _ in range(40)), "the of and to", *(word() for _ in range(40))]) for _ in range(4)]
+    texts = [*clean, clean[0], None, "", "the of and to " + " ".join(word() for _ in range(60_000))]
+    rows = [(i if i != 2 else None, t, None if i == 3 else "en", None if i == 1 else "s", len(t or "")) + ("x",) * 7 for i, t in enumerate(texts)]
+    rows += [rows[1]] * 2
+    extra = ["_q_quality", "_mix", "_secrets", "kept_id", "text_hash", "_ids", "node"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in extra)
+    for name, data in (("full", rows), ("none", [])):
+        spark.createDataFrame(data, schema).write.parquet(str(tmp_path / name / "documents.parquet"))
+    frame = spark.read.parquet(str(tmp_path / "full" / "documents.parquet"))
+    counts = []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, frame, str(tmp_path / "full"))
+        if k < 4:
+            assert out.columns == frame.columns
+        out.write.parquet(str(tmp_path / f"stage{k}"))
+        frame = spark.read.parquet(str(tmp_path / f"stage{k}"))
+        counts.append(sorted((x.doc_id is None, x.doc_id) for x in frame.select("doc_id").collect()))
+        if k < 4:
+            assert {c: frame.select(c).distinct().first()[0] for c in extra} == dict.fromkeys(extra, "x")
+    ids = lambda k: [i for _, i in counts[k]]
+    assert ids(0) == [0, 1, 1, 1, 3, 4, 7, None]  # null and empty texts go
+    assert ids(1) == ids(2) == [0, 1, 1, 1, 3, 7, None]  # the copy goes; repeated rows stay, as does the one without an id
+    assert set(ids(4)) <= set(ids(2)) and ids(3) == ids(4) and frame.where("doc_id = 7").count() > 0
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
