@@ -52,11 +52,11 @@ class MaxentOptions:
     buckets: int = 1024
     rows: tuple[int, int, int] = (1 << 15, 1 << 14, 1 << 14)
     frequent: int = 1 << 17
-    steps: int = 8
-    rate: float = 0.8
+    steps: int = 4
+    rate: float = 1.0
     prior: float = 8.0
     smoothing: float = 0.1
-    chunk: int = 1 << 16
+    chunk: int = 1 << 12
 
     @property
     def table(self) -> int:
@@ -172,14 +172,20 @@ class Model:
 
     def counts(self, leaf: np.ndarray, one: np.ndarray, two: np.ndarray, seen: np.ndarray, expected: np.ndarray) -> None:
         """Add to what was seen and what is expected, by weight but those of biases; their difference is the gradient."""
-        for k in range(0, len(leaf), self.o.chunk):
-            part = slice(k, k + self.o.chunk)
-            rows, ways = self.places(leaf[part], one[part], two[part])
-            chances, rows = np.exp(self.log_chances(rows)), rows[:, 1:]
-            seen += np.bincount((rows * _WAYS + ways[:, None]).ravel(), minlength=seen.size)
-            flat = rows.ravel()
+        wide = 8 * self.o.chunk  # adding up walks over all weights, so it is done for several chunks at once
+        for first in range(0, len(leaf), wide):
+            n = min(wide, len(leaf) - first)
+            features, chances = np.empty((3, 3, n), dtype=np.int64), np.empty((3, n, _WAYS), dtype=np.float32)
+            taken = np.empty((3, n), dtype=np.int64)
+            for k in range(0, n, self.o.chunk):
+                to, part = slice(k, k + self.o.chunk), slice(first + k, min(first + k + self.o.chunk, first + n))
+                rows, taken[:, to] = self.places(leaf[part], one[part], two[part])
+                chances[:, to] = np.exp(self.log_chances(rows))
+                features[:, :, to] = rows[:, 1:]
+            seen += np.bincount((features * _WAYS + taken[:, None]).ravel(), minlength=seen.size)
+            flat = features.ravel()
             for way in range(_WAYS):
-                share = np.repeat(chances[:, None, :, way], rows.shape[1], axis=1).ravel()
+                share = np.repeat(chances[:, None, :, way], 3, axis=1).ravel()
                 expected[:, way] += np.bincount(flat, share, minlength=len(expected))
 
 
