@@ -46,7 +46,8 @@ _WAYS = 16
 @dataclass(frozen=True)
 class MaxentOptions:
     """``words`` and ``buckets`` share the 4096 leaves. ``rows``: rows of 16 weights of the
-    bigram, skip and joint features. ``prior``: counts that a weight needs to move."""
+    bigram, skip and joint features. ``prior``: counts that a weight needs to move.
+    ``task``: tokens, about, that a training task counts before it sends its sums."""
 
     words: int = 3072
     buckets: int = 1024
@@ -57,6 +58,7 @@ class MaxentOptions:
     prior: float = 8.0
     smoothing: float = 0.1
     chunk: int = 1 << 12
+    task: int = 1 << 22
 
     @property
     def table(self) -> int:
@@ -228,7 +230,9 @@ def train(tokens: DataFrame, sent, vocabulary: Vocabulary, options: MaxentOption
             at = np.flatnonzero((seen > 0) | (expected.ravel() > 1e-4))
             yield pd.DataFrame({"at": at.astype(np.int32), "seen": seen[at].astype(np.float32), "expected": expected.ravel()[at].astype(np.float32)})
 
-        sums = tokens.where(F.col("part") == step).select("tokens").mapInPandas(counted, "at int, seen float, expected float")
+        # sums are as large as the weights, so a task takes enough tokens to be worth them
+        part = tokens.where(F.col("part") == step).select("tokens").coalesce(max(1, -(-vocabulary.total // (options.steps * options.task))))
+        sums = part.mapInPandas(counted, "at int, seen float, expected float")
         sums = sums.groupBy("at").agg(F.sum("seen").cast("float").alias("seen"), F.sum("expected").cast("float").alias("expected"))
         seen, expected = np.zeros(w.size, dtype=np.float32), np.zeros(w.size, dtype=np.float32)
         for row in sums.mapInPandas(_packed, "at binary, seen binary, expected binary").collect():  # 12 bytes a weight
