@@ -1,7 +1,7 @@
 """URL filters: fixed host and path rules first, then mined association rules.
 
-FP-growth mines combinations of URL tokens that go with a verdict in labelled URLs;
-rules are pruned by support, confidence and lift. At match time an inverted index
+FP-growth, stopped at the longest rule allowed, mines combinations of URL tokens that go
+with a verdict in labelled URLs; all tokens of a URL take part. Rules are pruned by support, confidence and lift. At match time an inverted index
 from token to rules finds the rules whose tokens a URL holds.
 
 Defined results: a null or empty URL, or one without ``://``, has empty host and path,
@@ -15,11 +15,12 @@ of that name is replaced.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import pandas as pd
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,10 +51,8 @@ BASE_RULES = (
 class MiningOptions:
     """A rule needs ``min_support`` of all labelled URLs, ``min_confidence`` and ``min_lift``.
 
-    Of each labelled URL at most ``telling`` tokens are mined, those whose verdict is
-    least even (the bound of the fitted sample): so a URL adds to 2 ** telling sets at
-    most, and no more than 2 ** telling / min_support sets are frequent, whatever the
-    URLs look like. Rules of more than ``max_tokens`` tokens are left out.
+    Rules have at most ``max_tokens`` tokens, and sets aren't grown beyond that. All tokens
+    of a URL are mined: ``telling``, which once capped them, decides nothing any more.
     """
 
     min_support: float = 0.005
@@ -94,25 +93,68 @@ def url_tokens(url: Column, host: Column, path: Column) -> Column:
                                      F.when(host.contains("-"), bare).otherwise(F.array().cast("array<string>"))))
 
 
-def _telling(labelled: DataFrame, options: MiningOptions) -> DataFrame:
-    """Rows (items): each row's most telling tokens that have support, and its verdict.
+def _ranked(labelled: DataFrame, growing: list[str]) -> DataFrame:
+    """Distinct rows (items, verdict) with their number ``n``: each row's tokens by their places in ``growing``, in order."""
+    sent = labelled.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(growing)})
 
-    The tokens with support are at most (tokens of a URL on average) / min_support.
-    """
-    n, block = labelled.agg(F.count("*"), F.coalesce(F.avg((F.col("verdict") == "block").cast("double")), F.lit(0.0))).first()
-    each = labelled.select(F.explode("tokens").alias("token"), (F.col("verdict") == "block").cast("double").alias("blocked"))
-    known = each.groupBy("token").agg(F.count("*").alias("n"), F.avg("blocked").alias("blocked")).where(F.col("n") >= options.min_support * n)
-    # how far, in deviations, a token's share of blocked URLs lies from the overall one
-    weight = {r.token: abs(r.blocked - block) * r.n**0.5 for r in known.collect()}
-    sent = labelled.sparkSession.sparkContext.broadcast(weight)
-
-    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         of = sent.value
         for batch in batches:
-            kept = [sorted((t for t in tokens if t in of), key=lambda t: (-of[t], t))[: options.telling] for tokens in batch["tokens"]]
-            yield pd.DataFrame({"items": [[*k, f"verdict={v}"] for k, v in zip(kept, batch["verdict"])]})
+            yield pd.DataFrame({"items": [sorted(of[t] for t in tokens if t in of) for tokens in batch["tokens"]], "verdict": batch["verdict"]})
+
+    return labelled.mapInPandas(rank, "items array<int>, verdict string").where(F.size("items") > 1).groupBy("items", "verdict").agg(F.count("*").alias("n"))
+
+
+def _by_verdict(counts: DataFrame, keys: list[str], least: int) -> DataFrame:
+    """(keys, n, by): rows of each key and, of verdicts with ``least`` rows, struct(verdict, n); keys without any are left out."""
+    support = F.when(F.col("n") >= least, F.struct("verdict", "n"))
+    return counts.groupBy(*keys).agg(F.sum("n").alias("n"), F.collect_list(support).alias("by")).where("size(by) > 0")
 
-    return labelled.mapInPandas(choose, "items array<string>")
+
+def _associations(labelled: DataFrame, options: MiningOptions) -> list[tuple[str, frozenset[str], float]]:
+    """(verdict, tokens, confidence) of every rule that no smaller set of its tokens makes needless, and of some others.
+
+    FP-growth to a fixed depth: a set's conditional base holds, of each row with the set,
+    the tokens commoner than the set's; equal bases are merged, tokens with support in a
+    base extend the set, and their bases follow. Two kinds of sets aren't extended, as
+    their extensions only repeat the confidence of smaller sets: those whose rows all
+    have one verdict, and those with as many rows as the set that they extend.
+    The tokens with support are at most (tokens of a URL on average) / min_support.
+    """
+    totals = {r.verdict: r.n for r in labelled.groupBy("verdict").agg(F.count("*").alias("n")).collect()}
+    rows = sum(totals.values())
+    least = max(1, math.ceil(options.min_support * rows))
+    share = F.create_map(*[F.lit(x) for v, n in totals.items() if n >= least for x in (v, n / rows)])
+
+    def rules(sets: DataFrame, tokens: str) -> list:
+        each = sets.select(F.col(tokens).alias("tokens"), "n", F.explode("by").alias("v")).select("tokens", "v.verdict", (F.col("v.n") / F.col("n")).alias("confidence"))
+        return each.where((F.col("confidence") >= options.min_confidence) & (F.col("confidence") / share[F.col("verdict")] >= options.min_lift)).collect()
+
+    mixed = ~F.exists("by", lambda x: x["n"] == F.col("n"))
+    each = labelled.select(F.explode("tokens").alias("token"), "verdict").groupBy("token", "verdict").agg(F.count("*").alias("n"))
+    single = materialize(_by_verdict(each, ["token"], least), "tokens")
+    found = [(r.verdict, frozenset([r.tokens]), r.confidence) for r in rules(single, "token")]
+    growing = single.where(mixed & (F.col("n") < rows)).select("token", "n").orderBy(F.desc("n"), "token").collect()
+    if options.max_tokens < 2 or len(growing) < 2:
+        return found
+    names = [r.token for r in growing]
+    sizes = labelled.sparkSession.createDataFrame([(i, r.n) for i, r in enumerate(growing)], "item int, total long")
+    # rows (set, total, base, verdict, n); total: rows with the set
+    bases = _ranked(labelled, names).select("verdict", "n", "items", F.posexplode("items").alias("place", "item")).where("place > 0").join(F.broadcast(sizes), "item").select(
+        F.array("item").alias("set"), "total", F.slice("items", F.lit(1), F.col("place")).alias("base"), "verdict", "n")
+    for size in range(2, options.max_tokens + 1):
+        bases = materialize(bases.groupBy("set", "total", "base", "verdict").agg(F.sum("n").alias("n")), "bases")
+        counts = bases.select("set", "total", F.explode("base").alias("item"), "verdict", "n").groupBy("set", "total", "item", "verdict").agg(F.sum("n").alias("n"))
+        grown = materialize(_by_verdict(counts, ["set", "total", "item"], least).where("n < total"), "grown")
+        found += [(r.verdict, frozenset(names[i] for i in r.tokens), r.confidence) for r in rules(grown.withColumn("tokens", F.concat("set", F.array("item"))), "tokens")]
+        if size < options.max_tokens:
+            live = grown.where(mixed).groupBy("set").agg(F.map_from_entries(F.collect_list(F.struct("item", "n"))).alias("live"))
+            kept = F.filter("base", lambda x: F.map_contains_key(F.col("live"), x))
+            bases = bases.join(live, "set").select("set", "live", kept.alias("base"), "verdict", "n").select(
+                "set", "live", "base", "verdict", "n", F.posexplode("base").alias("place", "item")).where("place > 0").select(
+                F.concat("set", F.array("item")).alias("set"), F.col("live")[F.col("item")].alias("total"),
+                F.slice("base", F.lit(1), F.col("place")).alias("base"), "verdict", "n")
+    return found
 
 
 def mine_rules(labelled: DataFrame, options: MiningOptions = MiningOptions()) -> list[tuple[str, tuple[str, ...], float]]:
@@ -122,17 +164,12 @@ def mine_rules(labelled: DataFrame, options: MiningOptions = MiningOptions()) ->
     """
     if labelled.isEmpty():
         return []
-    items = materialize(_telling(labelled, options), "items")
-    model = FPGrowth(itemsCol="items", minSupport=options.min_support, minConfidence=options.min_confidence).fit(items)
-    found = model.associationRules.where(
-        F.element_at("consequent", 1).startswith("verdict=") & (F.size("antecedent") <= options.max_tokens)
-        & ~F.exists("antecedent", lambda x: x.startswith("verdict=")) & (F.col("lift") >= options.min_lift)).collect()
-    kept: list[tuple[str, tuple[str, ...], float]] = []
-    for r in sorted(found, key=lambda r: (len(r.antecedent), -r.confidence, sorted(r.antecedent))):
-        verdict, tokens = r.consequent[0].removeprefix("verdict="), frozenset(r.antecedent)
-        if not any(v == verdict and set(t) <= tokens and c >= r.confidence for v, t, c in kept):
-            kept.append((verdict, tuple(sorted(tokens)), r.confidence))
-    return kept
+    kept: dict[tuple[str, frozenset[str]], float] = {}
+    for verdict, tokens, confidence in sorted(_associations(labelled, options), key=lambda r: (len(r[1]), -r[2], sorted(r[1]), r[0])):
+        smaller = (frozenset(s) for k in range(1, len(tokens)) for s in combinations(tokens, k))
+        if not any(kept.get((verdict, s), -1.0) >= confidence for s in smaller):
+            kept[verdict, tokens] = confidence
+    return [(verdict, tuple(sorted(tokens)), confidence) for (verdict, tokens), confidence in kept.items()]
 
 
 def _matcher(rules: list[tuple[str, tuple[str, ...], float]], default: str):

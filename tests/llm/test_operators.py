@@ -206,6 +206,24 @@ def brute_rules(rows, o):
     return kept
 
 
+def test_url_rules_of_many_tokens(spark):
+    """Rules whose tokens are the least telling of more than ten in their URLs."""
+    r = random.Random(8)
+    rows = []
+    for _ in range(400):
+        a, b = r.random() < 0.5, r.random() < 0.5  # neither alone tells anything
+        noise = [f"n{k}" for k in range(16) if r.random() < (0.95 if a == b else 0.75)]  # tell a little each
+        rows.append(([f"q:{k}" for k in ("always", f"a{a}", f"b{b}", *noise)], "block" if a == b else "allow"))
+    labelled = spark.createDataFrame(rows, "tokens array<string>, verdict string")
+    options = url_rules.MiningOptions(min_support=0.05)
+    rules = url_rules.mine_rules(labelled, options)
+    assert {("block", ("q:aTrue", "q:bTrue"), 1.0), ("allow", ("q:aFalse", "q:bTrue"), 1.0)} <= set(rules)
+    assert sorted((v, c, x) for c, v, x in brute_rules(rows, options)) == sorted(rules)
+    # two hundred keys in every URL add nothing
+    wide = spark.createDataFrame([([f"q:{k}" for k in range(200)] + t[1:3], v) for t, v in rows], "tokens array<string>, verdict string")
+    assert sorted(url_rules.mine_rules(wide, options)) == sorted((v, c, x) for c, v, x in brute_rules([(t[1:3], v) for t, v in rows], options))
+
+
 def test_url_rules_are_mined(spark):
     r = random.Random(14)
     rows = []
