@@ -41,6 +41,9 @@ from churnscope.llm.dedup import Shingler
 END = np.uint64(0x0A0A0A0A0A0A0A0A)
 START = 1 << 12
 _WAYS = 16
+#: Weights whose sums go in one row, and the schema of these rows.
+_BLOCK = 1 << 12
+_BLOCKS = "block int, seen binary, expected binary"
 
 
 @dataclass(frozen=True)
@@ -145,50 +148,70 @@ class Model:
 
     def __init__(self, weights: np.ndarray, options: MaxentOptions):
         self.w, self.o = weights, options
+        # where no sum of weights can leave the range of exp, the largest need not be taken off
+        nodes, features = weights[: 1 + _WAYS + _WAYS**2], weights[1 + _WAYS + _WAYS**2 :]
+        self.tame = bool(nodes.max() + 3 * features.max() < 80 and nodes.max(axis=1).min() + 3 * features.min() > -80)
 
     def places(self, leaf: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows [level, feature, token] and ways [level, token]."""
+        """Rows [feature, level, token] and ways [level, token]."""
         nodes = np.stack([np.zeros_like(leaf), 1 + (leaf >> 8), 1 + _WAYS + (leaf >> 4)])
         ways = np.stack([leaf >> 8, (leaf >> 4) & 15, leaf & 15])
         at, out = 1 + _WAYS + _WAYS**2, [nodes]
         for kind, (context, rows) in enumerate(zip((one, two, one * (2 * START) + two), self.o.rows)):
-            out.append(at + (_hash((context * 4 + kind) * 512 + nodes) % np.uint64(rows)).astype(np.int64))
+            hashed = _hash((context * 4 + kind) * 512 + nodes)
+            hashed = hashed % np.uint64(rows) if rows & (rows - 1) else hashed & np.uint64(rows - 1)
+            out.append(at + hashed.astype(np.int64))
             at += rows
-        return np.stack(out, axis=1), ways
+        return np.stack(out), ways
 
-    def log_chances(self, rows: np.ndarray) -> np.ndarray:
-        """[level, token, way]: natural logarithms of the chances of each way."""
-        logits = self.w[rows].sum(axis=1, dtype=np.float32)
-        logits -= logits.max(axis=-1, keepdims=True)
-        return logits - np.log(np.exp(logits).sum(axis=-1, keepdims=True))
+    def buffers(self, n: int) -> np.ndarray:
+        """Two arrays [level, token, way] that ``logits`` and its callers fill: new ones for each chunk cost more than what is done in them."""
+        return np.empty((2, 3, n, _WAYS), dtype=self.w.dtype)
+
+    def logits(self, rows: np.ndarray, out: np.ndarray, spare: np.ndarray) -> None:
+        np.take(self.w, rows[0], axis=0, out=out, mode="clip")
+        for feature in rows[1:]:
+            np.take(self.w, feature, axis=0, out=spare, mode="clip")
+            out += spare
+        if not self.tame:
+            out -= out.max(axis=-1, keepdims=True)
 
     def scores(self, leaf: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         """log10 P(leaf | context) of each token."""
-        out = np.empty(len(leaf))
+        out, logits, spare = np.empty(len(leaf)), *self.buffers(min(self.o.chunk, len(leaf)))
         for k in range(0, len(leaf), self.o.chunk):
             part = slice(k, k + self.o.chunk)
             rows, ways = self.places(leaf[part], one[part], two[part])
-            chosen = np.take_along_axis(self.log_chances(rows), ways[..., None], axis=2)
-            out[part] = chosen[..., 0].sum(axis=0, dtype=np.float64) / np.log(10)
+            if ways.shape[1] < logits.shape[1]:
+                logits, spare = self.buffers(ways.shape[1])
+            self.logits(rows, logits, spare)
+            chosen = np.take_along_axis(logits, ways[..., None], axis=2)[..., 0]
+            chosen -= np.log(np.einsum("ijk->ij", np.exp(logits, out=spare)))
+            out[part] = chosen.sum(axis=0, dtype=np.float64) / np.log(10)
         return out
 
     def counts(self, leaf: np.ndarray, one: np.ndarray, two: np.ndarray, seen: np.ndarray, expected: np.ndarray) -> None:
         """Add to what was seen and what is expected, by weight but those of biases; their difference is the gradient."""
         wide = 8 * self.o.chunk  # adding up walks over all weights, so it is done for several chunks at once
+        logits, spare = self.buffers(min(self.o.chunk, len(leaf)))
         for first in range(0, len(leaf), wide):
             n = min(wide, len(leaf) - first)
-            features, chances = np.empty((3, 3, n), dtype=np.int64), np.empty((3, n, _WAYS), dtype=np.float32)
+            features, chances = np.empty((3, 3, n), dtype=np.int64), np.empty((_WAYS, 3, n))
             taken = np.empty((3, n), dtype=np.int64)
             for k in range(0, n, self.o.chunk):
                 to, part = slice(k, k + self.o.chunk), slice(first + k, min(first + k + self.o.chunk, first + n))
                 rows, taken[:, to] = self.places(leaf[part], one[part], two[part])
-                chances[:, to] = np.exp(self.log_chances(rows))
-                features[:, :, to] = rows[:, 1:]
-            seen += np.bincount((features * _WAYS + taken[:, None]).ravel(), minlength=seen.size)
+                if rows.shape[2] < logits.shape[1]:
+                    logits, spare = self.buffers(rows.shape[2])
+                self.logits(rows, logits, spare)
+                np.exp(logits, out=spare)
+                spare /= np.einsum("ijk->ij", spare)[..., None]
+                chances[:, :, to] = np.moveaxis(spare, 2, 0)
+                features[:, :, to] = rows[1:]
+            seen += np.bincount((features * _WAYS + taken).ravel(), minlength=seen.size)
             flat = features.ravel()
             for way in range(_WAYS):
-                share = np.repeat(chances[:, None, :, way], 3, axis=1).ravel()
-                expected[:, way] += np.bincount(flat, share, minlength=len(expected))
+                expected[:, way] += np.bincount(flat, np.tile(chances[way].ravel(), 3), minlength=len(expected))
 
 
 def _initial(vocabulary: Vocabulary, options: MaxentOptions) -> np.ndarray:
@@ -214,6 +237,25 @@ def move(w: np.ndarray, seen: np.ndarray, expected: np.ndarray, options: MaxentO
     w += seen
 
 
+def _blocks(seen: np.ndarray, expected: np.ndarray) -> Iterator[pd.DataFrame]:
+    """Sums of all weights, packed: 8 bytes a weight, which rows of single weights would take several times over."""
+    starts = [k for k in range(0, len(seen), _BLOCK) if seen[k : k + _BLOCK].any() or expected[k : k + _BLOCK].any()]
+    if starts:
+        packed = lambda x: [x[k : k + _BLOCK].astype(np.float32).tobytes() for k in starts]
+        yield pd.DataFrame({"block": np.array(starts, dtype=np.int32) // _BLOCK, "seen": packed(seen), "expected": packed(expected)})
+
+
+def _added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row for each block of a partition that has all rows of its blocks."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for block, *packed in zip(batch["block"], batch["seen"], batch["expected"]):
+            values = np.stack([np.frombuffer(x, np.float32) for x in packed]).astype(np.float64)
+            sums[block] = sums[block] + values if block in sums else values
+    for block, (seen, expected) in sums.items():
+        yield pd.DataFrame({"block": [block], "seen": [seen.astype(np.float32).tobytes()], "expected": [expected.astype(np.float32).tobytes()]})
+
+
 def train(tokens: DataFrame, sent, vocabulary: Vocabulary, options: MaxentOptions) -> np.ndarray:
     """One pass over (part, tokens), a gradient step for each part."""
     w, spark = _initial(vocabulary, options), tokens.sparkSession
@@ -227,34 +269,27 @@ def train(tokens: DataFrame, sent, vocabulary: Vocabulary, options: MaxentOption
                 hashes, ends = _joined(batch["tokens"].array)
                 leaves = v.find(hashes)[2]
                 model.counts(leaves, *contexts(leaves, ends), seen, expected)
-            at = np.flatnonzero((seen > 0) | (expected.ravel() > 1e-4))
-            yield pd.DataFrame({"at": at.astype(np.int32), "seen": seen[at].astype(np.float32), "expected": expected.ravel()[at].astype(np.float32)})
+            expected[(expected <= 1e-4) & (seen.reshape(expected.shape) == 0)] = 0
+            yield from _blocks(seen, expected.ravel())
 
         # sums are as large as the weights, so a task takes enough tokens to be worth them
         part = tokens.where(F.col("part") == step).select("tokens").coalesce(max(1, -(-vocabulary.total // (options.steps * options.task))))
-        sums = part.mapInPandas(counted, "at int, seen float, expected float")
-        sums = sums.groupBy("at").agg(F.sum("seen").cast("float").alias("seen"), F.sum("expected").cast("float").alias("expected"))
+        sums = part.mapInPandas(counted, _BLOCKS).repartition("block").mapInPandas(_added, _BLOCKS)
         seen, expected = np.zeros(w.size, dtype=np.float32), np.zeros(w.size, dtype=np.float32)
-        for row in sums.mapInPandas(_packed, "at binary, seen binary, expected binary").collect():  # 12 bytes a weight
-            at = np.frombuffer(row["at"], np.int32)
+        for row in sums.collect():  # 8 bytes a weight
+            at = slice(row["block"] * _BLOCK, (row["block"] + 1) * _BLOCK)
             seen[at], expected[at] = np.frombuffer(row["seen"], np.float32), np.frombuffer(row["expected"], np.float32)
         weights.unpersist()
         move(w, seen.reshape(w.shape), expected.reshape(w.shape), options)
     return w
 
 
-def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        if len(batch):
-            yield pd.DataFrame({c: [batch[c].to_numpy(kind).tobytes()] for c, kind in (("at", np.int32), ("seen", np.float32), ("expected", np.float32))})
-
-
 def _tokens(docs: DataFrame, options: MaxentOptions) -> DataFrame:
     """(doc_id, held_out, tokens) in folders by ``part``: training parts from 0, and -1 for what is held out."""
     out = held_out(F.col("doc_id"))
     part = F.when(out, -1).otherwise(F.pmod(F.xxhash64(F.lit("part"), F.col("doc_id")), F.lit(options.steps)).cast("int"))
     rows = docs.select("doc_id", "text", out.alias("held_out"), part.alias("part"))
-    return materialize(rows.mapInPandas(_tokenize, "doc_id long, held_out boolean, part int, tokens binary"), "tokens", by="part")
+    return materialize(rows.mapInPandas(_tokenize, "doc_id long, held_out boolean, part int, tokens binary"), "tokens", by="part", codec="zstd")
 
 
 def fit(tokens: DataFrame, options: MaxentOptions) -> tuple[Vocabulary, np.ndarray, DataFrame]:
@@ -304,7 +339,7 @@ def score_documents(docs: DataFrame, options: MaxentOptions = MaxentOptions()) -
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rest array<long>, times array<long>"
     scored = tokens.select("doc_id", "held_out", "tokens").mapInPandas(partly, schema)
-    first = materialize(scored.withColumn("row", F.monotonically_increasing_id()), "scores")
+    first = materialize(scored.withColumn("row", F.monotonically_increasing_id()), "scores", codec="zstd")
     rare = first.select("row", F.explode(F.arrays_zip("rest", "times")).alias("x")).select("row", F.col("x.rest").alias("token"), F.col("x.times").alias("times"))
     totals = spark.createDataFrame([(vocabulary.bucket_totals.tolist(),)], "totals array<double>")  # one row of ``buckets`` numbers
     n = F.coalesce("n", F.lit(0))

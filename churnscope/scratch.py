@@ -31,15 +31,16 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own_dir[0]}"
 
 
-def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+def materialize(df: DataFrame, name: str, by: str | None = None, codec: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder, in folders by a column's values if one is named, and read it back.
 
     That cuts lineage: a lost executor then costs a re-read of Parquet, not a
-    recomputation. ``drop_scratch`` deletes what a session has written.
+    recomputation. ``codec``: Parquet's compression, else the session's. ``drop_scratch``
+    deletes what a session has written.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/churnscope/{name}-{uuid.uuid4().hex}"
-    (df.write if by is None else df.write.partitionBy(by)).parquet(path)
+    (df.write if by is None else df.write.partitionBy(by)).parquet(path, compression=codec)
     _written.append((spark, path))
     table = spark.read.schema(df.schema).parquet(path)
     table._scratch_path = path

@@ -161,6 +161,44 @@ def test_lm_chances_add_up():
         assert (value() - before) / 0.01 == pytest.approx(gradient[at], rel=0.05, abs=0.2)
 
 
+def test_lm_sums_are_packed(spark):
+    """What two training tasks send adds up, takes 8 bytes a weight at most, and leaves out blocks without sums."""
+    rng = np.random.default_rng(2)
+    n = 3 * maxent._BLOCK + 16
+    tasks = [(rng.integers(0, 9, n).astype(float), rng.random(n)) for _ in range(2)]
+    for sums in tasks[0] + tasks[1]:
+        sums[maxent._BLOCK : 2 * maxent._BLOCK] = 0
+    sent = [r for x in tasks for f in maxent._blocks(*x) for r in f.itertuples(index=False)]
+    assert len(sent) == 6 and sum(len(r.seen) + len(r.expected) for r in sent) <= 8 * 2 * n
+    got = {r.block: r for r in spark.createDataFrame(sent, maxent._BLOCKS).repartition("block").mapInPandas(maxent._added, maxent._BLOCKS).collect()}
+    assert sorted(got) == [0, 2, 3]
+    for i, name in enumerate(("seen", "expected")):
+        want = tasks[0][i] + tasks[1][i]
+        for b, r in got.items():
+            assert np.frombuffer(r[name], np.float32) == pytest.approx(want[b * maxent._BLOCK : (b + 1) * maxent._BLOCK], rel=1e-6)
+    assert not list(maxent._blocks(np.zeros(n), np.zeros(n)))
+
+
+def test_lm_weights_beyond_exp():
+    """Weights whose sums exp can't take score as those that differ by a constant do; chunks of any length agree."""
+    rng = np.random.default_rng(3)
+    o = maxent.MaxentOptions(rows=(64, 32, 32))
+    w = (rng.standard_normal((o.table, 16)) * 0.3).astype(np.float32)
+    leaf, one, two = (rng.integers(0, 4096, 1000) for _ in range(3))
+    plain = maxent.Model(w, o)
+    for shift in (-200, 200):
+        shifted = maxent.Model(w + np.float32(shift), o)
+        assert plain.tame and not shifted.tame
+        assert shifted.scores(leaf, one, two) == pytest.approx(plain.scores(leaf, one, two), abs=2e-3)
+    short = maxent.Model(w, maxent.MaxentOptions(rows=(64, 32, 32), chunk=7))
+    assert short.scores(leaf, one, two) == pytest.approx(plain.scores(leaf, one, two), abs=1e-5)
+    sums = []
+    for model in (plain, short):
+        sums.append((np.zeros(w.size), np.zeros(w.shape)))
+        model.counts(leaf, one, two, *sums[-1])
+    assert (sums[0][0] == sums[1][0]).all() and np.abs(sums[0][1] - sums[1][1]).max() < 1e-3
+
+
 def test_lm_vocabulary_and_contexts():
     o = maxent.MaxentOptions(words=3072, frequent=4)
     tokens = np.array([5, -7, 1024 * 9 + 5, 40], dtype=np.int64)
