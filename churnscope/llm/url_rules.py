@@ -41,7 +41,7 @@ class UrlRule:
 BASE_RULES = (
     UrlRule("block", "com", "/en/"),
     UrlRule("allow", "example.com", "/en/7"),
-    UrlRule("block", "net", "/de/"),
+    UrlRule("allow", "net", "/de/"),
     UrlRule("block", "example.net", "/de/8"),
     UrlRule("block", "org", "/es/"),
 )

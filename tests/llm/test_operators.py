@@ -221,6 +221,14 @@ def test_url_rules(spark):
     assert got[10].host == "a"
 
 
+def test_url_rules_have_the_words_of_the_contract(spark):
+    contract = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
+    assert {r.name: r.verdict for r in url_rules.BASE_RULES} == contract
+    pages = spark.createDataFrame([(i, f"https://a.{name}1") for i, name in enumerate(contract)], "page_id long, url string")
+    got = {r._url.rule: r._url.verdict for r in url_rules.url_filter(pages, spark.createDataFrame([], "page_id long, verdict string")).collect()}
+    assert got == contract
+
+
 def brute_rules(rows, o):
     """Rules by counting all token sets up to o.max_tokens; rows of (tokens, verdict)."""
     from itertools import combinations
