@@ -90,8 +90,9 @@ def churn(changes: DataFrame, commits: DataFrame, head: DataFrame, options: Hist
 def author_accumulators(changes: DataFrame, commits: DataFrame, head: DataFrame, options: HistoryOptions = DEFAULT) -> DataFrame:
     """Per path and author: touches, commits that change lines, lines, weighted lines."""
     lines = F.col("added") + F.col("deleted")
-    weight = H.bulk_weight(F.col("breadth")) * H.recency_weight(F.col("head_ts"), F.col("ts"), options.half_life_days)
-    return with_commits(_with_breadth(changes), commits, head).groupBy("path", "author").agg(
+    weight = H.bulk_weight(F.col("breadth")) * F.col("recency")
+    rows = with_commits(_with_breadth(changes), commits, head).withColumn("recency", H.recency_weight(F.col("head_ts"), F.col("ts"), options.half_life_days))
+    return rows.groupBy("path", "author").agg(
         F.count("*").alias("touches"), F.sum(F.when(lines > 0, 1).otherwise(0)).alias("meaningful_commits"),
         F.sum(lines).alias("changed_lines"), F.sum(lines * weight).alias("line_score"))
 

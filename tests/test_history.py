@@ -1,6 +1,9 @@
 import math
 
+from pyspark.sql import functions as F
+
 from churnscope.config import DAY, HistoryOptions
+from churnscope.functions import history as H
 from churnscope.operators import changes as C
 from churnscope.operators import coupling as K
 from churnscope.operators import ownership as O
@@ -68,6 +71,12 @@ def test_bulk_commits_count_less(spark):
     assert math.isclose(row.line_score, 10 * math.sqrt(0.4))
 
 
+def test_recency_has_the_last_bit_of_the_c_library(spark):
+    """Lines of 20 and, a half-life before, of 40 weigh alike or not as the SQL's engine says."""
+    ages = spark.range(3000).select("id", H.recency_weight(F.lit(HEAD), HEAD - F.col("id") * DAY).alias("w"), H.recency_weight(F.lit(HEAD), HEAD + F.col("id")).alias("ahead"))
+    assert [(r.w, r.ahead) for r in ages.orderBy("id").collect()] == [(math.pow(0.5, i * DAY / float(DAY) / 730.0), 1.0) for i in range(3000)]
+
+
 def test_ownership_compaction(spark):
     acc = spark.createDataFrame(
         [("f", a, 5, 5, lines, float(lines)) for a, lines in (("a", 500), ("b", 300), ("c", 200), ("d", 150), ("e", 5))] + [("g", "z", 1, 1, 0, 0.0)],

@@ -78,6 +78,13 @@ def test_explain_counts_what_it_does_not_list(spark):
     assert [x.source_path for x in got["p/5.go"].inbound] == ["p/0.go", "p/1.go"] and got["p/5.go"].inbound_count == 5
 
 
+def test_six_decimals_as_the_sql_rounds(spark):
+    from churnscope.plans.queries import r6
+
+    rows = spark.createDataFrame([(6.8996224999999995,), (5.6131174999999995,), (0.25,), (None,)], "x double")
+    assert [r.x for r in rows.select(*r6("x")).collect()] == [6.899623, 5.613118, 0.25, None]
+
+
 def test_empty_project(spark):
     s = R.file_scores(facts(spark).limit(0), context(spark))
     p = R.project_score(s, facts(spark, dict(language=None)), "unavailable").first()
