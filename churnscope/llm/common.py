@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from churnscope.scratch import drop_scratch, materialize, scratch_until, shared_dir  # noqa: F401
+from churnscope.scratch import drop_scratch, fresh, lookup_join, materialize, scratch_until, shared_dir  # noqa: F401
 
 #: One word: a run of anything but the six ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -48,14 +48,6 @@ def unit_hash(value: Column, seed: str) -> Column:
     return F.conv(digits, 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def fresh(taken: list[str], name: str) -> str:
-    """``name``, lengthened until no column in ``taken`` has it, in whatever case."""
-    have = {c.lower() for c in taken}
-    while name.lower() in have:
-        name += "_"
-    return name
-
-
 def spread_join(left: DataFrame, right: DataFrame, on: str, by: str, how: str = "inner", *, counts: DataFrame | None = None, hot: int = 2000, least: int = 200, salts: int = 32) -> DataFrame:
     """Join of any number of rows per key with a table that has one row per key.
 
@@ -73,23 +65,6 @@ def spread_join(left: DataFrame, right: DataFrame, on: str, by: str, how: str =
     return spread.join(copies, [on, salt], how).drop(salt)
 
 
-def lookup_join(left: DataFrame, right: DataFrame, on: list[str], spread: list[str], *, rows: int = 50_000, salts: int = 16) -> DataFrame:
-    """Left join with a materialized lookup table that has one row per key.
-
-    At most ``rows`` rows (counted, keys of at most 16 MB in all) are broadcast.
-    Beyond that both sides are shuffled, with the left side salted by the columns
-    in ``spread`` so that no key, however common, meets in one task.
-    """
-    width = F.sum(sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in on), F.lit(0)))
-    n, size = right.agg(F.count("*"), F.coalesce(width, F.lit(0))).first()
-    if n <= rows and size <= 16 << 20:
-        return left.join(F.broadcast(right), on, "left")
-    salt = fresh([*left.columns, *right.columns], "_salt")
-    salted = left.withColumn(salt, F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
-    copies = right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [*on, salt], "left").drop(salt)
-
-
 def running(values: Column, op, zero: int, block: int = 256) -> Column:
     """For each place of an array of longs, ``op`` over all values up to it; ``op`` is associative.
 

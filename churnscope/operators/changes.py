@@ -7,7 +7,7 @@ All results are lazy; partial aggregation is Catalyst's.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnscope.config import DAY, HistoryOptions
@@ -108,6 +108,43 @@ def cochange_pairs(changes: DataFrame, options: HistoryOptions = DEFAULT) -> Dat
     return left.join(right, "commit_id").where("left_path < right_path").groupBy("left_path", "right_path").agg(F.count("*").alias("pair_count"))
 
 
+def touches(changes: DataFrame, commits: DataFrame, head: DataFrame, options: HistoryOptions = DEFAULT) -> DataFrame:
+    """All that histories of files need, once: (path, author, ts, recency, breadth, added, deleted, peers).
+
+    ``changes`` are collapsed and hashed by commit, so nothing but commits is shuffled.
+    ``peers`` lists the files of a commit of 2 to ``cochange_max_files`` files, on the row
+    of its first file. Changes of unknown commits only have a path and peers.
+    """
+    commit = Window.partitionBy("commit_id")
+    few = F.col("breadth").between(2, options.cochange_max_files)
+    wide = changes.withColumn("breadth", F.count("*").over(commit)).withColumns({
+        "peers": F.collect_list(F.when(few, F.col("path"))).over(commit), "_first": F.min("path").over(commit)})
+    of = commits.select("commit_id", "author", "ts").join(F.broadcast(head)).withColumn("recency", H.recency_weight(F.col("head_ts"), F.col("ts"), options.half_life_days))
+    return wide.join(of.drop("head_ts"), "commit_id", "left").select(
+        "path", "author", "ts", "recency", "breadth", "added", "deleted", F.when(few & (F.col("path") == F.col("_first")), F.col("peers")).alias("peers"))
+
+
+def commit_files(changes: DataFrame, options: HistoryOptions = DEFAULT) -> DataFrame:
+    """(peers): the files of each commit of 2 to ``cochange_max_files`` files."""
+    narrow = changes.withColumn("breadth", F.count("*").over(Window.partitionBy("commit_id"))).where(F.col("breadth").between(2, options.cochange_max_files))
+    return narrow.groupBy("commit_id").agg(F.collect_list("path").alias("peers")).select("peers")
+
+
+def partner_rows(lists: DataFrame) -> DataFrame:
+    """(path, partner, pair_count), both directions of all pairs, from ``peers`` of commits; hashed by path.
+
+    Each file gets its commits' lists, which are bounded, and counts their members; so
+    pairs are shuffled as lists and never one by one.
+    """
+    sets = lists.where("peers IS NOT NULL").select(F.explode("peers").alias("path"), "peers").repartition("path")
+    return sets.select("path", F.explode("peers").alias("partner")).where("path <> partner").groupBy("path", "partner").agg(F.count("*").alias("pair_count"))
+
+
+def first_partners(rows: DataFrame, n: int = 10) -> DataFrame:
+    """(path, partner, pair_count, n): the ``n`` leading partners of each path, with their place."""
+    return rows.withColumn("n", F.row_number().over(Window.partitionBy("path").orderBy(F.desc("pair_count"), "partner"))).where(F.col("n") <= n)
+
+
 def partners(pairs: DataFrame) -> DataFrame:
     """Both directions of the pairs, from one pass over them: (path, partner, pair_count)."""
     way = lambda a, b: F.struct(F.col(a).alias("path"), F.col(b).alias("partner"), F.col("pair_count").alias("pair_count"))

@@ -106,12 +106,15 @@ def file_scores(facts: DataFrame, context: DataFrame) -> DataFrame:
     return rows.withColumn("score", S.clamp01(total)).withColumns({"risk_10": F.col("score") * 10.0, "band": S.risk_band(F.col("score"))})
 
 
+def term_rows(*first: str) -> Column:
+    """Structs (first, term, raw_value, normalized_value, weight, contribution) of a file's seven terms, as an array."""
+    return F.array(*[F.struct(*[F.lit(i).alias(c) for c in first], F.lit(k).alias("term"), F.col(f"raw_{k}").alias("raw_value"), F.col(f"n_{k}").alias("normalized_value"),
+                              F.lit(w).alias("weight"), (_or0(F.col(f"n_{k}")) * w).alias("contribution")) for i, (k, w) in enumerate(FILE_WEIGHTS.items())])
+
+
 def score_terms(scores: DataFrame) -> DataFrame:
-    """Seven rows per file: (path, term, raw_value, normalized_value, weight, contribution)."""
-    rows = F.array(*[F.struct(
-        F.lit(i).alias("term_index"), F.lit(k).alias("term"), F.col(f"raw_{k}").alias("raw_value"), F.col(f"n_{k}").alias("normalized_value"),
-        F.lit(w).alias("weight"), (_or0(F.col(f"n_{k}")) * w).alias("contribution")) for i, (k, w) in enumerate(FILE_WEIGHTS.items())])
-    return scores.select("path", F.inline(rows))
+    """Seven rows per file: (path, term_index, term, raw_value, normalized_value, weight, contribution)."""
+    return scores.select("path", F.inline(term_rows("term_index")))
 
 
 def _coded(codes: list[Column]) -> Column:

@@ -16,10 +16,8 @@ from churnscope.functions import text as X
 from churnscope.operators import changes as C
 from churnscope.operators import risk as R
 from churnscope.operators import snapshots as N
-from churnscope.plans import reports
 from churnscope.plans.binding import Binding, sql
 from churnscope.plans.queries import query
-from churnscope.scratch import materialize, with_rank
 from churnscope.sources import git_log
 from churnscope.sources.parsers import parse_files
 
@@ -258,9 +256,7 @@ LEFT JOIN (SELECT source_path AS path, string_agg(target_package, ',' ORDER BY t
 LEFT JOIN (SELECT path, string_agg(term, ',' ORDER BY term) AS x FROM terms GROUP BY path) t USING (path)""", "files", "owners", "partners", "resolved", "edges", "terms"))
 def explain_lists(b: Binding) -> DataFrame:
     """What explain lists of every file, in its order."""
-    facts = materialize(b.facts(), "facts")
-    scores = with_rank(R.file_scores(facts, b.context()), "path", falling=("score",))
-    row = reports.explain(facts, scores, b.owners(), b.pairs(), b.resolved(), b.edges(), b.files().select("path"), importers=3)
+    row = b.explained(importers=3)
     joined = lambda c, *names: F.coalesce(F.array_join(F.transform(c, lambda x: F.concat_ws(":", *[F.coalesce(x[n].cast("string"), F.lit("-")) for n in names])), ","), F.lit(""))
     return row.select("path", joined("owners", "owner_rank", "owner", "touches").alias("owners"), joined("cochange_partners", "partner", "pair_count").alias("partners"),
                       joined("references", "idx", "raw_target", "resolved_package").alias("imports"), joined("outbound", "target_package").alias("outbound"), joined("terms", "term").alias("terms"))

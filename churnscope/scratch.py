@@ -1,4 +1,4 @@
-"""Intermediate tables in the folder that driver and executors share."""
+"""Intermediate tables in the folder that driver and executors share, ranks and look-ups."""
 
 from __future__ import annotations
 
@@ -97,3 +97,28 @@ def with_rank(rows: DataFrame, key: str, falling: tuple[str, ...] = (), rising:
         before += n
     ranks = placed.join(F.broadcast(spark.createDataFrame(sizes, "part long, before long")), "part")
     return rows.join(ranks.select(key, (F.col("before") + F.col("place") + 1).cast("int").alias(into)), key)
+
+
+def fresh(taken: list[str], name: str) -> str:
+    """``name``, lengthened until no column in ``taken`` has it, in whatever case."""
+    have = {c.lower() for c in taken}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
+def lookup_join(left: DataFrame, right: DataFrame, on: list[str], spread: list[str], *, rows: int = 50_000, salts: int = 16) -> DataFrame:
+    """Left join with a materialized lookup table that has one row per key.
+
+    At most ``rows`` rows (counted, keys of at most 16 MB in all) are broadcast.
+    Beyond that both sides are shuffled, with the left side salted by the columns
+    in ``spread`` so that no key, however common, meets in one task.
+    """
+    width = F.sum(sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in on), F.lit(0)))
+    n, size = right.agg(F.count("*"), F.coalesce(width, F.lit(0))).first()
+    if n <= rows and size <= 16 << 20:
+        return left.join(F.broadcast(right), on, "left")
+    salt = fresh([*left.columns, *right.columns], "_salt")
+    salted = left.withColumn(salt, F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
+    copies = right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(copies, [*on, salt], "left").drop(salt)

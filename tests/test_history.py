@@ -1,4 +1,5 @@
 import math
+import random
 
 from pyspark.sql import functions as F
 
@@ -96,3 +97,36 @@ def test_imports_resolve_to_the_first_known_package(spark):
     edges = K.dependency_edges(resolved)
     assert edges.count() == 2 and K.coupling_out(edges).first().coupling_out == 2
     assert K.dependency_edges(K.resolve_imports(refs, packages, None)).count() == 1
+
+
+def test_histories_and_partners_equal_the_single_steps(spark):
+    """One pass over touches and lists of peers give what churn, ownership and pairs give."""
+    r = random.Random(3)
+    commits = spark.createDataFrame([(c, f"a{c % 7}", HEAD - r.randrange(900) * DAY) for c in range(120)], "commit_id long, author string, ts long")
+    raw = [(c, f"f{r.randrange(12):02}", r.randrange(40), r.randrange(3)) for c in range(123) for _ in range(r.randrange(1, 9))]
+    flat = C.collapse(spark.createDataFrame(raw, "commit_id long, path string, added long, deleted long"))
+    options = HistoryOptions(cochange_max_files=5)
+    touches = C.touches(flat, commits, head(spark), options)
+    want = {(x.path, x.partner): x.pair_count for x in C.partners(C.cochange_pairs(flat, options)).collect()}
+    for lists in (touches, C.commit_files(flat, options)):
+        assert {(x.path, x.partner): x.pair_count for x in C.partner_rows(lists).collect()} == want and max(want.values()) > 1
+    acc, got = C.author_accumulators(flat, commits, head(spark)), {x.path: x for x in O.file_histories(touches, head(spark)).collect()}
+    churn = {x.path: x.asDict() for x in C.churn(flat, commits, head(spark)).collect()}
+    assert churn == {p: {c: x[c] for c in churn[p]} for p, x in got.items()}
+    assert {x.path: x.n for x in acc.groupBy("path").agg(F.count("*").alias("n")).collect()} == {p: x.author_count for p, x in got.items()}
+    owners = sorted((x.path, x.owner_rank, x.owner, round(x.share, 9), x.touches) for x in O.ownership(acc).collect())
+    assert owners == sorted((p, i, "others" if o.is_other else o.author, round(o.share, 9), o.touches) for p, x in got.items() for i, o in enumerate(x.owners, 1))
+
+
+def test_references_are_resolved_in_place(spark):
+    """A package that most files import must not gather its references in one task."""
+    packages = spark.createDataFrame([("hot/a.go", "hot"), ("b.go", ".")], "path string, package string")
+    refs = spark.range(2000, numPartitions=4).select(F.concat(F.lit("f"), "id").alias("source_path"), F.lit(0).alias("idx"), F.lit("app/hot").alias("raw_target"))
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    resolved = K.resolve_targets(refs, packages, "app", ["source_path"])
+    plan = resolved._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert "hashpartitioning" not in plan and resolved.where("resolved_package = 'hot'").count() == 2000
+    odd = spark.createDataFrame([(None,), ("",), ("app",), (" app/hot/ ",), ("fmt",)], "raw_target string")
+    assert [x.resolved_package for x in K.resolve_targets(odd, packages, "app", ["raw_target"]).collect()] == [None, ".", ".", "hot", None]
