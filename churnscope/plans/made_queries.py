@@ -122,7 +122,7 @@ SELECT p_partkey, f + 1 AS function_count, p_partkey % 2 AS method_count, 3 AS t
 FROM (SELECT *, p_size % 3 AS f, p_partkey % 4 AS d FROM part)""")
 def go_structure(b: Binding) -> DataFrame:
     """Go sources made from keys: imports, functions with nested branches and a loop with ``&&``, a method with a switch."""
-    part, empty = b.table("part"), F.lit("")
+    part, empty = b.spread("part", "p_partkey"), F.lit("")
     times = lambda n, text: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.when(i < n, text(i)).otherwise(empty)), "")
     d, f = F.col("p_partkey") % 4, F.col("p_size") % 3
     imports = F.when(d == 0, empty).otherwise(F.concat(F.lit('import (\n\t"fmt"\n'), F.when(d > 1, '\tx "app/x"\n').otherwise(empty), F.when(d > 2, "\t`os`\n").otherwise(empty), F.lit(")\n")))
@@ -143,7 +143,7 @@ def parser_guards(b: Binding) -> DataFrame:
     """Sources that a parser can't take, each with its note."""
     content = _case("p_partkey", F.lit(bytearray(b"package p")), F.lit(bytearray(b"a\0b")), F.lit(bytearray(b"package \xff")), F.lit(bytearray(b"package p\nfunc f( {")), F.lit(bytearray(b"package p\n")), F.lit(bytearray(b"x")))
     path = F.concat(F.col("p_partkey").cast("string"), _case("p_partkey", ".go", ".GO", ".go", ".go", ".Go", ".rs"))
-    rows = parse_files(b.table("part").select(path.alias("path"), content.alias("content"), (F.col("p_partkey") % 6 == 0).alias("truncated")))
+    rows = parse_files(b.spread("part", "p_partkey").select(path.alias("path"), content.alias("content"), (F.col("p_partkey") % 6 == 0).alias("truncated")))
     return rows.select(F.regexp_extract("path", r"^\d+", 0).cast("bigint").alias("p_partkey"), "parser_status", "attempts", "language",
                        F.array_join(F.transform("diagnostics", lambda x: x["code"]), ",").alias("notes"))
 

@@ -1,6 +1,6 @@
 import pytest
 
-from churnscope.gosyntax import analyze
+from churnscope.gosyntax import SyntaxProblem, analyze, tokenize
 from churnscope.sources.parsers import GoParser, parse_file
 
 
@@ -33,3 +33,18 @@ def test_problems_are_notes():
     assert row["diagnostics"][0]["code"] == "invalid_utf8" and row["complexity"] == 0
     assert parse_file("a.go", b"x", True, [GoParser()])["diagnostics"][0]["code"] == "truncated_source"
     assert parse_file("a.rs", b"x", False, [GoParser()])["parser_status"] == "unsupported"
+
+
+def test_newlines_end_statements_after_operands_only():
+    kinds = [x for _, x in tokenize("x\n+ 1 // c\n/* a\nb */return\nfunc (\n)\n.5e+3 /* q */\n")]
+    assert kinds == ["x", ";", "+", "1", ";", "return", ";", "func", "(", ")", ";", ".5e+3", ";"]
+    with pytest.raises(SyntaxProblem, match="unreadable text at 4"):
+        tokenize("a \t\r#")
+
+
+def test_sources_of_one_small_file_are_parsed_in_several_tasks(spark):
+    from churnscope.plans import made_queries  # noqa: F401
+    from churnscope.plans.queries import QUERIES
+
+    for name in ("go_structure", "parser_guards"):
+        assert QUERIES[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 2
